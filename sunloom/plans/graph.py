@@ -37,3 +37,36 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
     found = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     found = found.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).unionByName(alone)
     return found.groupBy("node").agg(F.min("component").alias("component"))
+
+
+def cheapest_path(edges: DataFrame, nodes: DataFrame, start: str, goal: str, max_rounds: int = 1000) -> DataFrame:
+    """(step, node, cost): the cheapest path between two nodes (operator I8); no rows if there is none.
+
+    edges: u, v, weight; nodes: node, id. An edge costs 0 between nodes of one id, else 1 - weight, either way. Rounds
+    relax all edges of the nodes whose cost fell; of equal costs the least predecessor counts. Costs count in
+    millionths, so that sums of them compare exactly.
+    """
+    ids = nodes.select("node", "id")
+    e = edges.select("u", "v", "weight").join(ids.toDF("u", "iu"), "u").join(ids.toDF("v", "iv"), "v")
+    cost = F.when(F.col("iu") == F.col("iv"), 0).otherwise(F.round((1 - F.col("weight")) * 1_000_000)).cast("long")
+    e = e.select("u", "v", cost.alias("c"))
+    e = table(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "c")), "path_edges")
+    best = table(nodes.where(F.col("node") == start).select("node", F.lit(0).cast("long").alias("d"), F.lit(0).alias("hops"), F.lit(None).cast(nodes.schema["node"].dataType).alias("pred"), F.lit(True).alias("new")), "path_best")
+    for _ in range(max_rounds):
+        front = best.where("new").select(F.col("node").alias("u"), "d", "hops")
+        reach = front.join(e, "u").select(F.col("v").alias("node"), (F.col("d") + F.col("c")).alias("d"), (F.col("hops") + 1).alias("hops"), F.col("u").alias("pred"))
+        both = best.select("node", "d", "hops", "pred", F.lit(0).alias("__new")).unionByName(reach.withColumn("__new", F.lit(1)))
+        low = both.groupBy("node").agg(F.min(F.struct("d", "hops", "pred", "__new")).alias("s"))
+        best = table(low.select("node", "s.d", "s.hops", "s.pred", (F.col("s.__new") == 1).alias("new")), "path_best")
+        if best.where("new").isEmpty():
+            break
+    path, at = [], goal
+    while at is not None:  # as many lookups as the path has steps
+        row = best.where(F.col("node") == at).select("d", "pred").first()
+        if row is None:
+            path = []
+            break
+        path.append((at, row.d / 1_000_000))
+        at = row.pred
+    rows = [(k, n, d) for k, (n, d) in enumerate(reversed(path))]
+    return edges.sparkSession.createDataFrame(rows, "step int, node string, cost double")

@@ -1 +1 @@
-
+"""Reading and writing rasters and maps."""
