@@ -1,94 +1,181 @@
-"""Exact, cached encoding with a lower-casing word BPE of the tokenizers library.
+"""Exact, remembered encoding with a lower-casing word BPE of the tokenizers library.
 
-The vocabulary's pre-tokens never reach across ASCII white space, so a text is cut there and each piece is looked up;
-the library encodes only pieces that a worker has not met. A piece's ids are kept as little-endian unsigned 32-bit
-bytes, so that a text's ids are one join.
+The vocabulary's pre-tokens never reach across ASCII white space, so a text is cut there. The words of many texts are
+hashed and looked up as arrays; the library encodes only words that a worker does not remember.
 """
 
 from __future__ import annotations
 
 import os
 import string
-from collections.abc import Iterator
 
-_SPACES = str.maketrans({c: " " for c in "\t\n\r\x0b\x0c"})
+import numpy as np
+
+from .bytebpe import byte_letters
+
 _PUNCT = string.punctuation
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[list(b" \t\n\r\x0b\x0c")] = True
+_P, _ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
+_M = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base & _ALL, dtype=np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
 
 class WordEncoder:
-    """encode_all(texts): the ids of each text (null: none), as bytes. Keeps at most max_words pieces."""
+    """encode_all(texts): the ids of each text (null: none), as little-endian unsigned 32-bit bytes.
+
+    Words are known by a 64-bit polynomial hash of their bytes, mixed with their length. Of more than max_words, those
+    used last are kept.
+    """
 
-    def __init__(self, path: str, max_words: int = 400_000):
+    def __init__(self, path: str, max_words: int = 1_500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self._tok, self._max = Tokenizer.from_file(path), max_words
+        self._tok, self._max, self._turn = Tokenizer.from_file(path), max_words, 0
         self._tok.no_truncation()
         self._tok.no_padding()
-        self._known: dict[str, bytes] = {"": b""}
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self._tok.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _learn(self, pieces: set[str]) -> None:
-        """A piece that ends in punctuation after a letter or digit is two: its parts are encoded once for all."""
-        known, split, plain = self._known, [], set()
-        for piece in pieces:
-            word = piece.lower() if piece.isascii() and "<|" not in piece else piece
-            head = word.rstrip(_PUNCT)
-            if head and len(head) < len(word) and head[-1].isalnum() and "<|" not in piece:
-                split.append((piece, head, word[len(head) :]))
-                plain.update((head, word[len(head) :]))
-            elif word is not piece and word != piece:
-                split.append((piece, word, ""))
-                plain.add(word)
+        # the same model for words that are one pre-token of letters: it takes many in a text, each ends in a final token
+        self._bare = Tokenizer(self._tok.model)
+        self._bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocab = self._tok.get_vocab()
+        self._final = np.zeros(1 + max(vocab.values()), dtype=bool)
+        self._final[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self._letters = dict(enumerate(byte_letters()))
+        self._grow(1 << 21)
+        self._hash, self._at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self._n, self._used = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self._flat, self._end = np.zeros(1 << 16, np.uint32), 0
+
+    def _grow(self, n: int) -> None:
+        self._pow, self._inv = _powers(_P, n), _powers(pow(_P, -1, 1 << 64), n)
+
+    def _words(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, hash) of every word of a buffer."""
+        if len(raw) > len(self._pow):
+            self._grow(2 * len(raw))
+        edge = np.flatnonzero(np.diff(_SPACE[raw].view(np.int8), prepend=np.int8(1), append=np.int8(1)))
+        start, end = edge[::2], edge[1::2]
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw + np.uint64(1)) * self._pow[: len(raw)], dtype=np.uint64)])
+        h = (total[end] - total[start]) * self._inv[start] + (end - start).astype(np.uint64) * np.uint64(_P)
+        h = (h ^ (h >> np.uint64(32))) * _M
+        return start, end, h ^ (h >> np.uint64(29))
+
+    def _remember(self, h: np.ndarray, n: np.ndarray, flat: np.ndarray) -> None:
+        """Add words with distinct hashes, n[i] ids each in a row in flat."""
+        while self._end + len(flat) > len(self._flat):
+            self._flat = np.concatenate([self._flat, np.zeros_like(self._flat)])
+        self._flat[self._end : self._end + len(flat)] = flat
+        at = self._end + np.cumsum(n) - n
+        self._end += len(flat)
+        place = np.searchsorted(self._hash, h)
+        new = np.ones(len(h), bool) if not len(self._hash) else self._hash[np.minimum(place, len(self._hash) - 1)] != h
+        h, n, at = h[new], n[new], at[new]
+        order = np.argsort(h)
+        place = np.searchsorted(self._hash, h[order])
+        self._hash, self._at = np.insert(self._hash, place, h[order]), np.insert(self._at, place, at[order])
+        self._n, self._used = np.insert(self._n, place, n[order]), np.insert(self._used, place, self._turn)
+
+    def _forget(self) -> None:
+        keep = self._used >= np.sort(self._used)[len(self._used) // 2]
+        if keep.all():
+            keep = np.zeros(len(self._used), bool)
+        h, n, at = self._hash[keep], self._n[keep], self._at[keep]
+        flat = self._flat[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        used = self._used[keep]
+        self._hash, self._at, self._n, self._used = h, np.cumsum(n) - n, n, used
+        self._flat, self._end = np.concatenate([flat, np.zeros(max(1 << 16, len(flat)), np.uint32)]), len(flat)
+
+    @staticmethod
+    def _parts(word: str) -> list[str]:
+        """A word that ends in punctuation after a letter or digit is two, which are encoded once for all."""
+        if "<|" in word:
+            return [word]
+        small = word.lower() if word.isascii() else word
+        head = small.rstrip(_PUNCT)
+        return [head, small[len(head) :]] if head and len(head) < len(small) and head[-1].isalnum() else [small]
+
+    def _encode(self, buffer: bytes, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, number of ids, ids) of the words of a buffer. whole: new words go to the library as they are."""
+        start, end, h = self._words(np.frombuffer(buffer, dtype=np.uint8))
+        one, first, back = np.unique(h, return_index=True, return_inverse=True)
+        place = np.searchsorted(self._hash, one)
+        miss = np.ones(len(one), bool) if not len(self._hash) else self._hash[np.minimum(place, len(self._hash) - 1)] != one
+        if miss.any():
+            words = [buffer[a:b].decode() for a, b in zip(start[first[miss]].tolist(), end[first[miss]].tolist(), strict=True)]
+            if whole:
+                n, flat = self._ask(words)
             else:
-                plain.add(piece)
-        new = [x for x in plain if x not in known]
-        known.update(zip(new, self._ids(new), strict=True))
-        for piece, head, tail in split:
-            known[piece] = known[head] + known[tail]
-
-    def _slices(self, text: str, most: int = 1 << 20) -> Iterator[list[str]]:
-        text, at = text.translate(_SPACES) if "\t" in text or "\r" in text or "\x0b" in text or "\x0c" in text else text.replace("\n", " "), 0
+                parts = list(map(self._parts, words))
+                _, count, flat = self._encode(" ".join([p for ps in parts for p in ps]).encode(), True)
+                sizes = np.array([len(ps) for ps in parts])
+                n = np.add.reduceat(count, np.cumsum(sizes) - sizes).astype(np.int32)
+            self._remember(one[miss], n, flat)
+            place = np.searchsorted(self._hash, one)
+        self._used[place] = self._turn
+        n, at = self._n[place][back].astype(np.int64), self._at[place][back]
+        out = self._flat[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        return start, n, out
+
+    def _ask(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids, ids) of words from the library. Lower-case Latin-1 letters need no normaliser."""
+        plain = [w.isalpha() and (w.isascii() or max(w) < "\u0100") and w == w.lower() for w in words]
+        easy = [w if w.isascii() else w.encode().decode("latin-1").translate(self._letters) for w, p in zip(words, plain, strict=True) if p]
+        ids = [self._bare.encode_batch_fast([" ".join(easy[i : i + 1000])], add_special_tokens=False)[0].ids for i in range(0, len(easy), 1000)]
+        rest = [e.ids for e in self._tok.encode_batch_fast([w for w, p in zip(words, plain, strict=True) if not p], add_special_tokens=False)]
+        first = np.array([x for i in ids for x in i], dtype=np.uint32)
+        flat = np.concatenate([first, np.array([x for i in rest for x in i], dtype=np.uint32)])
+        n = np.zeros(len(words), dtype=np.int32)
+        n[np.array(plain, dtype=bool)] = np.diff(np.flatnonzero(self._final[first]), prepend=-1)
+        n[~np.array(plain, dtype=bool)] = [len(i) for i in rest]
+        order = np.argsort(~np.array(plain, dtype=bool), kind="stable")
+        at = np.zeros(len(words), dtype=np.int64)
+        at[order] = np.cumsum(n[order]) - n[order]
+        return n, flat[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+    def _slices(self, text: str, most: int = 1 << 20) -> list[str]:
+        out, at = [], 0
         while len(text) - at > most:
             cut = text.find(" ", at + most)
             if cut < 0:
                 break
-            yield text[at:cut].split(" ")
+            out.append(text[at:cut])
             at = cut
-        yield text[at:].split(" ") if at else text.split(" ")
+        return [*out, text[at:]]
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = []
-        todo: list[tuple[int, list[str]]] = []
+        out: list[bytes] = [b""] * len(texts)
+        todo: list[tuple[int, bytes]] = []
         held = 0
 
         def flush() -> None:
             nonlocal held
-            new = set().union(*(p for _, p in todo)).difference(self._known)
-            if new:
-                if len(self._known) + len(new) > self._max:
-                    self._known = {"": b""}
-                    new = set().union(*(p for _, p in todo)) - {""}
-                self._learn(new)
-            get = self._known.__getitem__
-            for i, pieces in todo:
-                out[i] += b"".join(map(get, pieces))
+            if not todo:
+                return
+            self._turn += 1
+            if len(self._hash) > self._max:
+                self._forget()
+            sizes = np.array([len(b) + 1 for _, b in todo])
+            start, n, ids = self._encode(b" ".join(b for _, b in todo), False)
+            ends = np.concatenate([[0], np.cumsum(n)])
+            cut = ends[np.searchsorted(start, np.concatenate([[0], np.cumsum(sizes)]))].tolist()
+            for (i, _), a, b in zip(todo, cut[:-1], cut[1:], strict=True):
+                out[i] += ids[a:b].tobytes()
             todo.clear()
             held = 0
 
         for i, text in enumerate(texts):
-            out.append(b"")
-            for pieces in self._slices(text) if text else ():
-                todo.append((i, pieces))
-                held += len(pieces)
-                if held > 150_000:
+            for part in self._slices(text) if text else ():
+                todo.append((i, part.encode()))
+                held += len(part)
+                if held > 1_000_000:
                     flush()
-        if todo:
-            flush()
+        flush()
         return out
 
 
