@@ -53,6 +53,8 @@ def choose_cadence(obs: DataFrame, centers: DataFrame, half_minutes: float, time
     if most > max_group:
         raise ValueError(f"a group has {most} candidates for overlapping windows; the limit is {max_group}")
 
+    wanted = [center, *obs.columns]
+
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.assign(__gap=(rows["__t"] - rows["__c"]).abs()).sort_values(["__c", "__gap", "__t", key])
         used, done, keep = set(), set(), []
@@ -61,9 +63,9 @@ def choose_cadence(obs: DataFrame, centers: DataFrame, half_minutes: float, time
                 done.add(at)
                 used.add(k)
                 keep.append(i)
-        return rows.loc[keep, [center, *obs.columns]]
+        return rows.loc[keep, wanted]
 
-    schema = pairs.select(center, *obs.columns).schema
+    schema = pairs.select(wanted).schema
     return pairs.groupBy(*group).applyInPandas(pick, schema)
 
 
