@@ -79,38 +79,40 @@ class _Ends:
             if not open_ or not self.refine(open_):
                 return [a for a, _ in found]
 
-    def path(self, capacity: int, shards: int, sure: bool) -> list[int] | None:
-        """Greedy cuts under a capacity, or None if the shards run out. sure: with lower bounds, else with upper."""
+    def path(self, capacity: int, shards: int, sure: bool) -> tuple[list[int], bool]:
+        """Greedy cuts under a capacity, and whether they reach the end. sure: by lower bounds, else by upper ones.
+
+        A greedy walk that meets a group larger than the capacity stands still from there on.
+        """
         at, cuts = 0, []
         for _ in range(shards):
-            nxt = self.below(at + capacity)[0 if sure else 1]
-            if nxt <= at:
-                return None
-            cuts.append(at := nxt)
-            if at >= self.total:
-                return cuts
-        return None
+            at = max(at, self.below(at + capacity)[0 if sure else 1])
+            cuts.append(at)
+        return cuts, at >= self.total
 
     def least(self, shards: int, sure: bool) -> int:
         lo, hi = max(1, -(-self.total // shards)), self.total
         while lo < hi:
             mid = (lo + hi) // 2
-            lo, hi = (lo, mid) if self.path(mid, shards, sure) else (mid + 1, hi)
+            lo, hi = (lo, mid) if self.path(mid, shards, sure)[1] else (mid + 1, hi)
         return lo
 
 
+def block_widths(windows: Sequence[tuple[int, int]], summary: int) -> list[int]:
+    """Widths of the blocks that each window is cut into: about `summary` in all, and two a window at least."""
+    span = sum(b - a + 1 for a, b in windows)
+    return [max(1, min(-(-span // summary), (b - a + 2) // 2)) for a, b in windows]
+
+
 def minimax_cuts(ends: _Ends, shards: int) -> tuple[int, list[int]]:
     """The smallest feasible capacity, and cuts under it: each as near to an equal share as the capacity lets it."""
     if not ends.total:
         return 0, []
     while True:
         low, high = ends.least(shards, sure=False), ends.least(shards, sure=True)
-        a, b = ends.path(low, shards, sure=True) or [], ends.path(high, shards, sure=False) or []
-        a += [ends.total] * (shards - len(a))
-        b += [ends.total] * (shards - len(b))
-        ranges = [(p + low, q + high) for p, q in zip([0, *a], [0, *b], strict=True)]
-        if low == high and a == b or not ends.refine(ranges):
-            break
+        a, b = ends.path(low, shards, sure=True)[0], ends.path(high, shards, sure=False)[0]
+        if not ends.refine([(p + low, q + high) for p, q in zip([0, *a], [0, *b], strict=True)]):
+            break  # no cut of a capacity between the bounds is in doubt, so they are equal
     cap = high
     back, at = [], ends.total
     for _ in range(shards - 1):
@@ -158,10 +160,8 @@ def minimax_shards(rows: DataFrame, id_col: str, size_col: str, group_cols: Sequ
     line = written(line.select("__o", *g, "__salt", (F.col("__end") + F.col("__s0")).alias("__end"), (F.col("__row") + F.col("__n0")).alias("__row"), "__first"), "shard_line")
 
     def summarise(windows: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-        span = sum(b - a + 1 for a, b in windows)
         block, base = None, 0
-        for a, b in windows:
-            width = max(1, -(-span // SUMMARY))
+        for (a, b), width in zip(windows, block_widths(windows, SUMMARY), strict=True):
             here = F.lit(base) + F.floor((F.col("__end") - a) / width).cast("long")
             fits = F.col("__end").between(a, b)
             block = F.when(fits, here) if block is None else block.when(fits, here)
