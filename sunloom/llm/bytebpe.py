@@ -36,9 +36,9 @@ def byte_letters() -> list[str]:
 
 
 class ByteBpe:
-    """Encoder and decoder for one vocabulary file. Keeps at most max_words chunks of text."""
+    """Encoder and decoder for one vocabulary file. Keeps the chunks of text last used, at most twice max_words."""
 
-    def __init__(self, path: str, max_words: int = 400_000):
+    def __init__(self, path: str, max_words: int = 700_000):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -72,8 +72,9 @@ class ByteBpe:
         self._chunk = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
         self._stop = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         self._max, self.exact = max_words, 0
-        self._words: dict[str, list[int]] = {}
+        self._words: dict[str, tuple[bytes, bytes]] = {}
         self._chunks: dict[str, tuple[bytes, bytes]] = {}
+        self._older: dict[str, tuple[bytes, bytes]] = {}
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         want = a * self._size + b
@@ -181,17 +182,30 @@ class ByteBpe:
         for k in np.flatnonzero(fail).tolist():
             guess[k] = self.merge(raw[k])
         self.exact += int(fail.sum())
-        self._words.update(zip(words, guess, strict=True))
+        said = self._said.__getitem__
+        self._words.update((w, (array("I", ids).tobytes(), "".join(map(said, ids)).encode())) for w, ids in zip(words, guess, strict=True))
+
+    def _split(self, chunk: str) -> list[str]:
+        """Pre-tokens of a chunk; letters, or letters and a stop or comma, need no pattern."""
+        body = chunk[1:] if chunk[0] == " " else chunk
+        if body.isalpha():
+            return [chunk]
+        if body[-1:] in (".", ",") and body[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+        return self._pre.findall(chunk)
 
     def _fill(self, new: list[str]) -> None:
-        split = [self._pre.findall(c) for c in new]
+        split = list(map(self._split, new))
         words = list({w for s in split for w in s}.difference(self._words))
         if words:
             self.learn(words)
-        get, said = self._words.__getitem__, self._said.__getitem__
-        for chunk, words in zip(new, split, strict=True):
-            ids = get(words[0]) if len(words) == 1 else [i for w in words for i in get(w)]
-            self._chunks[chunk] = (array("I", ids).tobytes(), "".join(map(said, ids)).encode())
+        get = self._words.__getitem__
+        for chunk, parts in zip(new, split, strict=True):
+            if len(parts) == 1:
+                self._chunks[chunk] = get(parts[0])
+            else:
+                found = list(map(get, parts))
+                self._chunks[chunk] = (b"".join([f[0] for f in found]), b"".join([f[1] for f in found]))
 
     def encode_all(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bytes]]:
         """Per text the ids, and their decimals with a comma after each.
@@ -210,12 +224,15 @@ class ByteBpe:
         yield from self._look_up(held)
 
     def _look_up(self, held: list[tuple[list[list[str]], list[str]]]) -> Iterator[tuple[np.ndarray, bytes]]:
-        every = set().union(*(c for parts, _ in held for c in parts))
-        new = every.difference(self._chunks)
+        new = set().union(*(c for parts, _ in held for c in parts)).difference(self._chunks)
         if new:
-            if len(self._chunks) + len(new) > self._max:
-                self._chunks, self._words, new = {}, {}, every
-            self._fill(list(new))
+            if len(self._chunks) + len(new) > self._max:  # what the last span did not use goes
+                self._older, self._words = self._chunks, {}
+                self._chunks = {}
+                new = set().union(*(c for parts, _ in held for c in parts))
+            again = new.intersection(self._older)
+            self._chunks.update((c, self._older[c]) for c in again)
+            self._fill(list(new - again))
         get = self._chunks.__getitem__
         for parts, stops in held:
             found: list[tuple[bytes, bytes]] = []
