@@ -98,7 +98,7 @@ class WordEncoder:
             return [word]
         small = word.lower() if word.isascii() else word
         head = small.rstrip(_PUNCT)
-        return [head, small[len(head) :]] if head and len(head) < len(small) and head[-1].isalnum() else [small]
+        return [head, small[len(head) :]] if head and len(head) < len(small) and head.lower()[-1].isalnum() else [small]
 
     def _encode(self, buffer: bytes, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, number of ids, ids) of the words of a buffer. whole: new words go to the library as they are."""

@@ -14,7 +14,7 @@ from sunloom.llm.queries import vocabulary
 from sunloom.llm.wordbpe import WordEncoder
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-ODD = ["", "   ", "<|endoftext|>", "a<|endoftext|>b  ", "\n\n a", "x" * 5000, " " * 300 + "a", "é" * 700, "ΑΣ ΣΑΣ. İx ǅ", "﻿a​b", "éa ́b", "don't we'LL I'm 'tis", "日本語 中the ing\x85\xa0\x1c", "Thea, thea. THEA!! th3a"]
+ODD = ["", "   ", "<|endoftext|>", "a<|endoftext|>b  ", "\n\n a", "x" * 5000, " " * 300 + "a", "é" * 700, "ΑΣ ΣΑΣ. İx ǅ", "﻿a​b", "éa ́b", "don't we'LL I'm 'tis", "日本語 中the ing\x85\xa0\x1c", "Thea, thea. THEA!! th3a", "İ' İ. ª, º", "a\u180e.\u2003b \x1c,1\x1f\u3000x"]
 
 
 def random_texts(n):
