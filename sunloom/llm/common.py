@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes of an Arrow batch sent to Python, so that long texts don't pile up in a worker.
-ARROW_ROWS, ARROW_BYTES = 2000, 16 << 20
+from ..plans.tables import shared_dir
+from ..plans.tables import table as written
 
+__all__ = ["bound_batches", "crc_of_id", "documents", "shared_dir", "sized_broadcast", "written"]
 
-def session_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession
+#: Rows and bytes of an Arrow batch sent to Python, so that long texts don't pile up in a worker.
+ARROW_ROWS, ARROW_BYTES = 2000, 16 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -23,23 +21,6 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a new one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, and survives lost executors."""
-    spark = session_of(df)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
