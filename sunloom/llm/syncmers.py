@@ -9,7 +9,6 @@ anchors whose places rise in both.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,9 +59,13 @@ def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprint(raw: bytes) -> tuple[int, np.ndarray, np.ndarray]:
-    """(level, hashes, places): the anchors whose hash ends in `level` zero bits, level rising with their number."""
+    """(level, hashes, places): the anchors whose hash ends in `level` zero bits, level rising with the number of distinct
+    hashes, as far as anchors stay. Of a hash that repeats, every place is listed."""
     h, at = anchors(raw)
-    level = max(0, (len(h) // ANCHORS).bit_length() - 1) if len(h) > 2 * ANCHORS else 0
+    distinct = np.unique(h)
+    level = max(0, (len(distinct) // ANCHORS).bit_length() - 1) if len(distinct) > 2 * ANCHORS else 0
+    while level and (distinct & np.uint64((1 << level) - 1)).all():
+        level -= 1
     if level:
         keep = (h & np.uint64((1 << level) - 1)) == 0
         h, at = h[keep], at[keep]
@@ -77,28 +80,40 @@ def written_out(f: tuple[int, np.ndarray, np.ndarray]) -> str:
     return f"{level}:" + ";".join(f"{x >> 16:x}@{p:x}" for x, p in zip(h.tolist(), at.tolist(), strict=True))
 
 
+def _chain(a: list[int], b: list[int]) -> int:
+    """Length of the longest common subsequence: equal ends are cut off, then a bit for each place of b, a step of a at a
+    time, so that a hash that repeats costs no more than others."""
+    n = min(len(a), len(b))
+    head = next((k for k in range(n) if a[k] != b[k]), n)
+    tail = next((k for k in range(n - head) if a[-1 - k] != b[-1 - k]), n - head)
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    both = set(a) & set(b)
+    b = [x for x in b if x in both]
+    at: dict[int, int] = {}
+    for k, x in enumerate(b):
+        at[x] = at.get(x, 0) | 1 << k
+    full = (1 << len(b)) - 1
+    left = full
+    for x in a:
+        if x in both:
+            hit = left & at[x]
+            left = (left + hit | left - hit) & full
+    return head + tail + len(b) - left.bit_count()
+
+
 def likeness(a: tuple, b: tuple) -> float:
     """Anchors on the longest chain that rises in both texts, over the larger number of anchors; 1 for equal texts.
 
-    Levels are brought to the higher one first. Of a hash that repeats, every place counts, at most 8 a text.
+    Levels are brought to the higher one first. Of a hash that repeats, every place counts.
     """
     level = max(a[0], b[0])
     mask = np.uint64((1 << level) - 1)
-    (ha, pa_), (hb, pb) = (((h, p) if lv == level else (h[(h & mask) == 0], p[(h & mask) == 0])) for lv, h, p in (a, b))
+    ha, hb = (h if lv == level else h[(h & mask) == 0] for lv, h, _ in (a, b))
     if not len(ha) or not len(hb):
         return 0.0
     if len(ha) == len(hb) and np.array_equal(ha, hb):
         return 1.0
-    places: dict[int, list[int]] = {}
-    for x, p in zip(hb.tolist(), pb.tolist(), strict=True):
-        places.setdefault(x, []).append(p)
-    tails: list[int] = []
-    for x in ha.tolist():
-        if x in places:
-            for p in reversed(places[x][:8]):  # falling, so that one anchor adds one link at most
-                k = bisect_left(tails, p)
-                tails[k : k + 1] = [p]
-    return len(tails) / max(len(ha), len(hb))
+    return _chain(ha.tolist(), hb.tolist()) / max(len(ha), len(hb))
 
 
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

@@ -153,6 +153,34 @@ def test_fingerprints_of_odd_texts(spark):
     assert syncmers.fingerprint_pairs(some.limit(0)).count() == 0
 
 
+def test_likeness_counts_every_place_of_repeated_anchors():
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for k, y in enumerate(b):
+                new.append(row[k] + 1 if x == y else max(new[k], row[k + 1]))
+            row = new
+        return row[-1]
+
+    rng = np.random.default_rng(7)
+    for n, kinds in ((0, 1), (1, 1), (40, 1), (60, 3), (90, 12), (130, 400)):
+        a, b = (rng.integers(0, kinds, int(rng.integers(n // 2, n + 1))).tolist() for _ in range(2))
+        assert syncmers._chain(a, b) == plain(a, b) and syncmers._chain(a, a[:5] + b + a[-5:]) == plain(a, a[:5] + b + a[-5:])
+    line = "the same line of a page comes again and again, word for word\n"
+    f, g = syncmers.fingerprint((line * 60).encode()), syncmers.fingerprint((line * 45 + "and now for something else").encode())
+    assert abs(syncmers.likeness(f, g) - plain(f[1].tolist(), g[1].tolist()) / max(len(f[1]), len(g[1]))) < 1e-12 and syncmers.likeness(f, g) > 0.7
+
+
+def test_long_text_of_few_anchors_keeps_some():
+    for k in range(40):  # several hundred anchors of few hashes
+        raw = (f"line {k} of the page " * 400).encode()
+        h, _ = syncmers.anchors(raw)
+        assert len(h) > 2 * syncmers.ANCHORS
+        level, kept, _ = syncmers.fingerprint(raw)
+        assert level == 0 and np.array_equal(kept, h)
+
+
 def split_url(url):
     if url is None or "://" not in url:
         return "", ""
