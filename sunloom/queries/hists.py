@@ -189,4 +189,4 @@ def a32_window_moments(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def a34_fit_scaling(spark: SparkSession, d: str) -> DataFrame:
     daily = px(spark, d).groupBy("instrument", "date_obs", hist.bin_of(hist.log_intensity(F.col("data")), Y_EDGES).alias("i_int")).agg(F.count("*").alias("n"))
-    return hist.fit_scaling(daily, selection.weekly_centers(spark, T0, T1).where("dayofyear(center) % 28 < 7"), "R", Y_EDGES)
+    return hist.fit_scaling(daily, selection.weekly_centers(spark, T0, T1), "R", Y_EDGES)

@@ -121,3 +121,9 @@ def i9_expand_path(spark: SparkSession, d: str) -> DataFrame:
     return wide.agg(F.count("*").alias("n_nodes"))
 
 
+@query()
+def i9_expand_cheapest_path(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes (v and weight null) and edges around the path of i8."""
+    nodes, edges = _graph(spark, d)
+    wide, inside = tracks.expand_path(i8_cheapest_path(spark, d), edges, nodes, 0.9)
+    return wide.select(F.col("node").alias("u"), F.lit(None).cast("string").alias("v"), F.lit(None).cast("double").alias("weight")).unionByName(inside)

@@ -251,3 +251,43 @@ def test_stream_equals_batch_tracking(spark):
     a = {(r.frame, r.region): r.id for r in QUERIES["i5_track"](spark, "/root/testdata/sf0.001").collect()}
     b = {(r.frame, r.region): r.id for r in QUERIES["t4_track_stream"](spark, "/root/testdata/sf0.001").collect()}
     assert a == b and a
+
+
+def test_components_of_all_orders(spark):
+    from sunloom.queries import QUERIES
+
+    d, at = "/root/testdata/sf0.001", {}
+
+    def root(n):
+        while at.setdefault(n, n) != n:
+            n = at[n]
+        return n
+
+    for r in spark.read.parquet(f"{d}/orders.parquet").select("o_custkey", "o_orderkey").collect():
+        p, q_ = sorted((root(r.o_custkey), root(r.o_orderkey % 1000 + 1000000)))
+        at[q_] = p
+    assert {r.node: r.component for r in QUERIES["i7_components_all"](spark, d).collect()} == {n: root(n) for n in list(at)}
+
+
+def test_scaling_is_fitted_at_every_weekly_centre(spark):
+    from sunloom.queries import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    want = {(r.instrument, r.center) for r in QUERIES["a3_window_hist"](spark, d).select("instrument", "center").distinct().collect()}
+    got = QUERIES["a34_fit_scaling"](spark, d).collect()
+    assert len(got) == len(want) > 0 and {(r.instrument, r.center) for r in got} == want
+
+
+def test_expanded_path_has_nodes_and_edges(spark):
+    from sunloom.queries import QUERIES
+    from sunloom.queries.tracks import _graph
+
+    d = "/root/testdata/sf0.001"
+    nodes, edges = (x.collect() for x in _graph(spark, d))
+    path = {r.node for r in QUERIES["i8_cheapest_path"](spark, d).collect()}
+    near = path | {b for e in edges if e.weight >= 0.9 for a, b in ((e.u, e.v), (e.v, e.u)) if a in path}
+    ids = {n.id for n in nodes if n.node in near}
+    wide = {n.node for n in nodes if n.id in ids}
+    rows = QUERIES["i9_expand_cheapest_path"](spark, d).collect()
+    assert sorted(r.u for r in rows if r.v is None) == sorted(wide)
+    assert sorted((r.u, r.v, r.weight) for r in rows if r.v is not None) == sorted((e.u, e.v, e.weight) for e in edges if {e.u, e.v} <= wide) != []
