@@ -238,7 +238,7 @@ def w11_mask_outline(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def a17_detect_ensemble(spark: SparkSession, d: str) -> DataFrame:
-    return regions.detect_ensemble(_frames(spark, d), regions.random_thresholds(spark, 3, 10.0, 20.0, 2.0, 1), iters=3)
+    return regions.detect_ensemble(_frames(spark, d), regions.random_thresholds(spark, 3, 10.0, 20.0, 2.0, 1))
 
 
 @query(f"""WITH {GROWN}, e AS (SELECT frame, min(iy) AS y0, max(iy) AS y1, min(ix) AS x0, max(ix) AS x1 FROM fr GROUP BY 1), c AS (SELECT fr.* FROM fr JOIN e USING (frame) WHERE iy > y0 AND iy < y1 AND ix > x0 AND ix < x1)
@@ -248,6 +248,13 @@ def a30_threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
     return regions.threshold_sweep(_frames(spark, d), pairs).select("frame", "draw", "n_holes")
 
 
+@query()
+def a30_threshold_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Growth until nothing changes for each pair of a grid; a30_threshold_sweep, which has SQL, has seeds only."""
+    pairs = [(k, t1, t2) for k, (t1, t2) in enumerate((a, b) for a in (5.0, 10.0, 15.0) for b in (20.0, 30.0, 40.0))]
+    return regions.threshold_sweep(_frames(spark, d), spark.createDataFrame(pairs, "draw int, t1 double, t2 double"))
+
+
 @query(f"WITH {GROWN} SELECT frame, CAST(sum(CASE WHEN value <= 10 THEN 1 ELSE 0 END) AS BIGINT) AS area_a, CAST(sum(CASE WHEN value <= 12 THEN 1 ELSE 0 END) AS BIGINT) AS area_b FROM fr GROUP BY 1")
 def a35_compare_detections(spark: SparkSession, d: str) -> DataFrame:
     f = _frames(spark, d)

@@ -176,6 +176,12 @@ def a31_optimal_bins(spark: SparkSession, d: str) -> DataFrame:
     return rounded(hist.optimal_bins(read(spark, d, "lineitem"), "l_quantity", 20, 120), 8, "fd_width")
 
 
+@query()
+def a31_optimal_bins_full(spark: SparkSession, d: str) -> DataFrame:
+    """All of the operator's range, [20, 700); the SQL of a31_optimal_bins searches a part of it."""
+    return rounded(hist.optimal_bins(read(spark, d, "lineitem"), "l_quantity"), 8, "fd_width")
+
+
 @query(f"""WITH {WINDOW}, m AS (SELECT instrument, center, sum(n * (i_int + 0.5) * 0.1) / sum(n) AS mean, sum(n * pow((i_int + 0.5) * 0.1, 2)) / sum(n) AS sq FROM wh GROUP BY 1, 2)
   SELECT instrument, center, round(mean, 6)::DOUBLE AS mean, round(sqrt(sq - mean * mean), 5)::DOUBLE AS std, round(CASE WHEN instrument = 'A' THEN 1.05 * mean + 0.1 ELSE mean END, 6)::DOUBLE AS scaled_mean,
   round(CASE WHEN instrument = 'A' THEN 0.05 * mean + 0.1 ELSE 0 END, 6)::DOUBLE AS mean_shift FROM m""")

@@ -291,3 +291,57 @@ def test_expanded_path_has_nodes_and_edges(spark):
     rows = QUERIES["i9_expand_cheapest_path"](spark, d).collect()
     assert sorted(r.u for r in rows if r.v is None) == sorted(wide)
     assert sorted((r.u, r.v, r.weight) for r in rows if r.v is not None) == sorted((e.u, e.v, e.weight) for e in edges if {e.u, e.v} <= wide) != []
+
+
+def frames_as_arrays(spark, d):
+    from sunloom.queries.grids import _frames
+
+    px = _frames(spark, d).toPandas()
+    shape = (px.iy.max() + 1, px.ix.max() + 1)
+    for frame, p in px.groupby("frame"):
+        lo, hi = p[["iy", "ix"]].min(), p[["iy", "ix"]].max()
+        v = np.full(shape, np.nan)
+        v[p.iy, p.ix] = p.value
+        yield frame, v[lo.iy : hi.iy + 1, lo.ix : hi.ix + 1], (int(lo.iy), int(lo.ix))
+
+
+def test_ensemble_grows_until_nothing_changes(spark):
+    from sunloom.queries import QUERIES
+
+    d = "/root/testdata/sf0.01"
+    draws = [(r.t1, r.t2) for r in regions.random_thresholds(spark, 3, 10.0, 20.0, 2.0, 1).collect()]
+    got = {(r.frame, r.iy, r.ix): r.chd for r in QUERIES["a17_detect_ensemble"](spark, d).collect()}
+    late = 0
+    for frame, v, (y0, x0) in frames_as_arrays(spark, d):
+        ok = ~np.isnan(v)
+        want = np.mean([grow_reference(v, ok, a, b, 3, 1000) for a, b in draws], axis=0)
+        late += (want > np.mean([grow_reference(v, ok, a, b, 3, 3) for a, b in draws], axis=0)).sum()
+        for y, x in zip(*np.nonzero(ok), strict=True):
+            assert abs(got[frame, y + y0, x + x0] - want[y, x]) < 1e-12
+    assert late > 0  # holes of a fourth round or later
+
+
+def test_threshold_grid_grows(spark):
+    from sunloom.queries import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    frames = {f: v for f, v, _ in frames_as_arrays(spark, d)}
+    rows = QUERIES["a30_threshold_grid"](spark, d).collect()
+    assert len(rows) == 9 * len(frames) and all(r.t1 < r.t2 for r in rows)
+    for r in rows:
+        v = frames[r.frame]
+        assert r.n_holes == (grow_reference(v, ~np.isnan(v), r.t1, r.t2, 3, 1000) == 1).sum()
+    assert any(r.n_holes > (frames[r.frame][1:-1, 1:-1] <= r.t1).sum() for r in rows)
+
+
+def test_optimal_bins_over_the_whole_range(spark):
+    from sunloom.queries import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    v = np.array([float(r.l_quantity) for r in spark.read.parquet(f"{d}/lineitem.parquet").select("l_quantity").collect()])
+    lo, hi = v.min(), v.max()
+    costs = []
+    for n in range(20, 700):
+        k = np.bincount(np.minimum(np.floor((v - lo) / (hi - lo) * n).astype(int), n - 1), minlength=n)
+        costs.append((2 * k.mean() - k.var()) / ((hi - lo) / n) ** 2)
+    assert QUERIES["a31_optimal_bins_full"](spark, d).first().bins == 20 + int(np.argmin(costs))
