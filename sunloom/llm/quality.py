@@ -33,6 +33,10 @@ _CLASS = _class_of_byte()
 _USED = len(CLASSES) - 1  # all but the bytes that continue a character
 
 
+#: Counts of words that a task holds before it sends them on.
+HELD = 200_000
+
+
 @dataclass(frozen=True)
 class QualityRules:
     """Limits. Distances lie in 0 to 1. Histograms shorter than min_chars or min_words are not judged."""
@@ -42,7 +46,6 @@ class QualityRules:
     min_chars: int = 100
     min_words: int = 50
     common_words: int = 64
-    word_share: float = 0.001
 
 
 def class_counts(raw: bytes) -> np.ndarray:
@@ -95,39 +98,44 @@ def base_counts(text: str, raw: bytes, words: list[bytes]) -> tuple[int, int, in
 def language_references(docs: DataFrame, rules: QualityRules) -> list[tuple[str, list[float], dict[str, float]]]:
     """Per lang value: median shares of character classes, and shares of its most common words.
 
-    All documents count; medians, so that junk does not bend them. Each batch sends its shares, and the words that make up at least word_share of its words
-    of a language; the sums of those are, for words common throughout, all their occurrences. What reaches the driver
-    is bounded by the number of languages. A null lang counts as none.
+    All documents count; medians, so that junk does not bend them. Each batch sends its shares, each task its counts of all
+    words, as often as it holds HELD of them; their sums are exact. What reaches the driver is bounded by the number of
+    languages. A null lang counts as none.
     """
-    share = rules.word_share
+
+    def sent(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) or [()] * 4
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols[:3]), pa.array(cols[3], pa.int64())], ["lang", "kind", "word", "n"])
+
+    def sums_of(words: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        for lang, found in words.items():
+            yield sent([(lang, "total", "", sum(found.values())), *((lang, "word", w.decode(errors="replace"), n) for w, n in found.items())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[str, Counter] = defaultdict(Counter)
         for batch in batches:
-            rows, words = [], defaultdict(Counter)
+            rows = []
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = (text or "").encode()
                 words[lang].update(raw.split())
                 if len(raw) >= rules.min_chars:
                     seen = class_counts(raw)
                     rows += [(lang, c, "", round(v)) for c, v in zip(CLASSES, (1e6 * seen / seen.sum()).tolist(), strict=False)]
-            for lang, found in words.items():
-                total = sum(found.values())
-                rows.append((lang, "total", "", total))
-                rows += [(lang, "word", w.decode(errors="replace"), n) for w, n in found.items() if n >= share * total]
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols[:3]), pa.array(cols[3], pa.int64())], ["lang", "kind", "word", "n"])
+            yield sent(rows)
+            if sum(map(len, words.values())) >= HELD:
+                yield from sums_of(words)
+                words.clear()
+        yield from sums_of(words)
 
     known = docs.where("lang IS NOT NULL").select(F.col("lang").cast("string"), F.col("text").cast("string"))
     bound_batches(docs.sparkSession)
-    sums = known.mapInArrow(count, "lang string, kind string, word string, n long").groupBy("lang", "kind", "word").agg(
-        F.sum("n").alias("total"), F.percentile_approx("n", 0.5, 1000).alias("median")
-    )
-    sums = sums.select("lang", "kind", "word", F.when(F.col("kind").isin("word", "total"), F.col("total")).otherwise(F.col("median")).alias("n"))
-    sums = written(sums, "language_counts")
+    sent_ = written(known.mapInArrow(count, "lang string, kind string, word string, n long"), "language_counts")
+    sums = sent_.where("kind IN ('word', 'total')").groupBy("lang", "kind", "word").agg(F.sum("n").alias("n"))
+    medians = sent_.where("kind NOT IN ('word', 'total')").groupBy("lang", "kind", "word").agg(F.percentile_approx("n", 0.5, 1000).alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     top = sums.where("kind = 'word'").withColumn("rank", rank).where(F.col("rank") <= rules.common_words).drop("rank")
     found: dict[str, dict] = defaultdict(lambda: {"words": {}})
-    for r in sums.where("kind <> 'word'").unionByName(top).collect():
+    for r in sums.where("kind = 'total'").unionByName(medians).unionByName(top).collect():
         if r.kind == "word":
             found[r.lang]["words"][r.word] = r.n
         else:

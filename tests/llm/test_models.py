@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -63,6 +64,20 @@ def test_jensen_shannon_bounds():
     assert d[0, 0] == 0 and abs(d[0, 1] - 1) < 1e-12 and 0 < d[1, 0] < 1 and d[2, 0] == 1
 
 
+def test_common_words_are_exact_counts(spark, docs):
+    flat = spark.createDataFrame([(10**6 + k, " ".join(f"u{(k * 37 + j) % 3000}" for j in range(90)), "zz", None, 0) for k in range(400)], DOCS)
+    some = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(flat)
+    want = {}
+    for r in some.where("lang IS NOT NULL").collect():
+        want.setdefault(r.lang, Counter()).update((r.text or "").encode().split())
+    rules = quality.QualityRules()
+    got = {r[0]: r[2] for r in quality.language_references(some.repartition(7), rules)}
+    assert set(got) == set(want)
+    for lang, words in want.items():
+        top = sorted(words.items(), key=lambda x: (-x[1], x[0]))[: rules.common_words]
+        assert got[lang] == {w.decode(): n / words.total() for w, n in top}
+
+
 def test_rules_without_languages(spark):
     rows = quality.judge(odd(spark)).orderBy("doc_id").collect()
     assert [r.kept for r in rows] == [False] * 8 and rows[4].char_distance is None
