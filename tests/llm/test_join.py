@@ -93,6 +93,17 @@ def test_join_of_repeated_and_empty(spark):
     assert jaccard.link_documents(docs.limit(0)).count() == 0 and jaccard.keep_one(docs.limit(0)).count() == 0
 
 
+def test_links_through_rows_without_an_id(spark):
+    words = [f"w{k}" for k in range(100)]
+    late, both = words[:96] + list("abcd"), list("efgh") + words[4:96] + list("abcd")
+    texts = {1: " ".join(words), 2: " ".join(late), 3: " ".join(both)}
+    want = brute(texts, jaccard.Join(3, 90))
+    assert want[3][1] == 1 and brute({1: texts[1], 3: texts[3]}, jaccard.Join(3, 90))[3][1] == 3  # only 2 connects them
+    docs = spark.createDataFrame([(None if k == 2 else k, t, "en", "s", 0) for k, t in texts.items()], DOCS)
+    rows = jaccard.link_documents(docs, jaccard.Join(3, 90)).collect()
+    assert sorted((r.n_shingles, r.component_id) for r in rows) == sorted(want.values())
+
+
 def test_pipeline_stages(spark):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
