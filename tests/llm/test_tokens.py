@@ -58,6 +58,35 @@ def test_word_encoder_equals_library_and_forgets(spark):
     assert enc.encode_all([None]) == [b""] and enc.encode_all([]) == []
 
 
+def test_words_of_one_hash_keep_their_own_ids(spark):
+    """Thue-Morse words and their complements have one polynomial hash, whatever its base; then all hashes are made to collide."""
+    path = vocabulary("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+
+    def want(texts):
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
+
+    word = "".join("ab"[k.bit_count() & 1] for k in range(4096))
+    other = word.translate(str.maketrans("ab", "ba"))
+    pairs = [t for n in (64, 256, 1024, 2048, 4096) for t in (word[:n], other[:n])]
+    assert WordEncoder(path).encode_all(pairs) == want(pairs)
+    enc = WordEncoder(path)
+    words_of = enc._words
+    enc._words = lambda raw, gap: (lambda a, b, h: (a, b, h % np.uint64(5)))(*words_of(raw, gap))
+    assert enc.encode_all(ODD * 2) == want(ODD * 2)
+    docs = table(spark, pairs).coalesce(1)
+    rows = {r.doc_id: r for r in packing.pack_documents(docs, path).where("start = 0").collect()}
+    ids = [x + (2).to_bytes(4, "little") for x in want(pairs)]
+    assert all(rows[k].ids_crc32 == zlib.crc32(x[: 4 * 4096]) and rows[k].doc_tokens == len(x) // 4 for k, x in enumerate(ids))
+
+
+def test_very_long_texts_are_cut_at_any_white_space():
+    path = vocabulary("word_bpe_49k.json")
+    text = "x" * 700_000 + "\n" + "日本語 テキスト\n" * 30_000 + "Word, word. " * 100_000
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert WordEncoder(path).encode_all(["a", text])[1] == np.array(want, dtype="<u4").tobytes()
+
+
 def test_digests_of_nulls_and_empty_tables(spark):
     docs = table(spark, ["", None, "the"])
     rows = {r.doc_id: r for r in digest_documents(docs, vocabulary("byte_bpe_50k.json")).collect()}
