@@ -31,14 +31,14 @@ class Shape:
 
 
 class _Hasher:
-    """Word to bucket, remembered for at most a million words."""
+    """Word to bucket, remembered for about 100,000 words."""
 
     def __init__(self, words: int):
         self.words, self.known = words, {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         known = self.known
-        if len(known) > 1_000_000:
+        if len(known) > 100_000:
             known.clear()
         new = set(words).difference(known)
         known.update((w, zlib.crc32(w.lower().strip(b".,;:!?")) % self.words) for w in new)

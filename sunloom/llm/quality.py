@@ -103,13 +103,13 @@ def language_references(docs: DataFrame, rules: QualityRules) -> list[tuple[str,
     languages. A null lang counts as none.
     """
 
-    def sent(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows, strict=True)) or [()] * 4
-        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols[:3]), pa.array(cols[3], pa.int64())], ["lang", "kind", "word", "n"])
+    def sent(lang: list | pa.Array, kind: list | pa.Array, word: list | pa.Array, n: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(c if isinstance(c, pa.Array) else pa.array(c, pa.string()) for c in (lang, kind, word)), pa.array(n, pa.int64())], ["lang", "kind", "word", "n"])
 
     def sums_of(words: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
         for lang, found in words.items():
-            yield sent([(lang, "total", "", sum(found.values())), *((lang, "word", w.decode(errors="replace"), n) for w, n in found.items())])
+            yield sent([lang], ["total"], [""], [sum(found.values())])
+            yield sent(pa.repeat(lang, len(found)), pa.repeat("word", len(found)), pa.array((w.decode(errors="replace") for w in found), pa.string()), list(found.values()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter] = defaultdict(Counter)
@@ -121,7 +121,7 @@ def language_references(docs: DataFrame, rules: QualityRules) -> list[tuple[str,
                 if len(raw) >= rules.min_chars:
                     seen = class_counts(raw)
                     rows += [(lang, c, "", round(v)) for c, v in zip(CLASSES, (1e6 * seen / seen.sum()).tolist(), strict=False)]
-            yield sent(rows)
+            yield sent(*(list(zip(*rows, strict=True)) or [()] * 4))
             if sum(map(len, words.values())) >= HELD:
                 yield from sums_of(words)
                 words.clear()
