@@ -11,7 +11,7 @@ from ..plans.tables import table as written
 __all__ = ["bound_batches", "crc_of_id", "documents", "shared_dir", "sized_broadcast", "written"]
 
 #: Rows and bytes of an Arrow batch sent to Python, so that long texts don't pile up in a worker.
-ARROW_ROWS, ARROW_BYTES = 2000, 16 << 20
+ARROW_ROWS, ARROW_BYTES = 400, 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
