@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, written
 from .wordbpe import encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -61,13 +61,14 @@ def token_pieces(docs: DataFrame, path: str, end_id: int = 2, room: int = 4096)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 
 
-def pack(pieces: DataFrame, n_rows: int, room: int = 4096, group_rows: int = 4096) -> DataFrame:
-    """pieces with sequence_id and offset. Groups hold about group_rows pieces each, dealt by a hash of document and
-    start, so neither their number of rows nor a worker's memory grows with the input; n_rows sets how many there are.
+def pack(pieces: DataFrame, room: int = 4096, group_rows: int = 4096) -> DataFrame:
+    """pieces with sequence_id and offset. Groups hold about group_rows pieces each, dealt by a hash of each row's place in
+    the written table, so equal rows spread as others do, and neither a group nor a worker's memory grows with the input.
 
     sequence_id is unique over groups (group times 2**32 plus the sequence's place in it), offsets are gapless.
     """
-    groups = max(1, -(-n_rows // group_rows))
+    pieces = written(pieces, "token_pieces")  # a row's place must not change when a task runs again
+    groups = max(1, -(-pieces.count() // group_rows))
 
     def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "start", "ids_crc32"], kind="stable")
@@ -76,10 +77,10 @@ def pack(pieces: DataFrame, n_rows: int, room: int = 4096, group_rows: int = 409
         rows["offset"] = [o for _, o in spots]
         return rows.drop(columns="__group")
 
-    group = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups))
+    group = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups))
     return pieces.withColumn("__group", group).groupBy("__group").applyInPandas(place, PACKED)
 
 
 def pack_documents(docs: DataFrame, path: str, end_id: int = 2, room: int = 4096, group_rows: int = 4096) -> DataFrame:
     """All documents packed into sequences of at most room ids; an empty table gives no rows."""
-    return pack(token_pieces(docs, path, end_id, room), docs.count(), room, group_rows)
+    return pack(token_pieces(docs, path, end_id, room), room, group_rows)
