@@ -7,7 +7,6 @@ is fitted one-versus-rest; both fold into one coefficient matrix, so scoring is
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,20 +15,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, crc_of_id
+from .common import bound_batches, crc_of_id, sized_broadcast, written
 
-_LETTER = re.compile(r"[^\W\d_]")
 _FOLD = bytes(range(256)).lower()
 
 
 @dataclass(frozen=True)
 class Shape:
-    """per_language and languages bound the training sample; landmarks and grams the model."""
+    """per_language bounds the training sample of each language; landmarks (two a language at least) and grams the model."""
 
     grams: int = 8192
     landmarks: int = 128
     per_language: int = 400
-    languages: int = 64
     ridge: float = 1e-2
 
 
@@ -69,7 +66,7 @@ def fit(x: np.ndarray, y: list[str], shape: Shape) -> Model:
     if not langs:
         return Model([], np.zeros((0, shape.grams), np.float32), np.zeros((1, 0), np.float32))
     rows = {c: [i for i, v in enumerate(y) if v == c] for c in langs}
-    pick = [i for k in range(len(y)) for c in langs for i in rows[c][k : k + 1]][: shape.landmarks]
+    pick = [i for k in range(len(y)) for c in langs for i in rows[c][k : k + 1]][: max(shape.landmarks, 2 * len(langs))]
     z = x[pick]
     values, vectors = np.linalg.eigh(kernel(z, z).astype(np.float64))
     good = values > 1e-6 * values.max()
@@ -82,18 +79,16 @@ def fit(x: np.ndarray, y: list[str], shape: Shape) -> Model:
 
 
 def train(docs: DataFrame, shape: Shape = Shape()) -> Model:
-    """Fit on at most per_language documents of each of at most `languages` values of lang (the most frequent).
+    """Fit on about per_language documents of each value of lang; all values are learnt.
 
     Only rows whose crc fold is not 2 and whose text and lang aren't null count; they are chosen by a hash of doc_id.
     """
     spark = docs.sparkSession
     ok = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (crc_of_id() % 4 != 2)).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
-    counts = ok.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(shape.languages).collect()
-    space = 1 << 30
-    cut = F.lit(-1)
-    for r in counts:
-        cut = F.when(F.col("lang") == r["lang"], int(space * min(1.0, shape.per_language / r["count"]))).otherwise(cut)
-    sample = ok.where(F.pmod(F.xxhash64("doc_id"), F.lit(space)) < cut).select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    counts = written(ok.groupBy("lang").count(), "lang_counts")
+    languages, space = counts.count(), 1 << 30
+    cut = F.least(F.lit(1.0), shape.per_language / F.col("count")) * space
+    sample = ok.join(sized_broadcast(counts, languages, 100_000), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(space)) < cut).select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,7 +97,7 @@ def train(docs: DataFrame, shape: Shape = Shape()) -> Model:
 
     bound_batches(spark)
     got = sample.select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(run, "doc_id long, lang string, bits binary")
-    got = got.orderBy("doc_id", "bits").limit(2 * shape.per_language * max(1, len(counts))).toArrow()
+    got = got.orderBy("doc_id", "bits").limit(2 * shape.per_language * max(1, languages)).toArrow()
     bits = np.frombuffer(b"".join(got["bits"].to_pylist()), dtype=np.uint8).reshape(-1, shape.grams // 8)
     return fit(np.unpackbits(bits, axis=1).astype(np.float32), got["lang"].to_pylist(), shape)
 
@@ -110,8 +105,9 @@ def train(docs: DataFrame, shape: Shape = Shape()) -> Model:
 def predict(docs: DataFrame, model: Model, shape: Shape = Shape()) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document.
 
-    `und` with score 0 if the text is null or has no letter, or nothing was learned. score: the winning language's
-    share of a softmax over the regression values.
+    `und` with score 0 if the text is null or has no letter (number characters are none), or nothing was learned. score:
+    the winning language's share of a softmax over the regression values; of equal ones the first name wins. A row without
+    a doc_id is not held out.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
@@ -120,7 +116,7 @@ def predict(docs: DataFrame, model: Model, shape: Shape = Shape()) -> DataFrame:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             langs, scores = ["und"] * len(texts), [0.0] * len(texts)
-            todo = [i for i, t in enumerate(texts) if t and m.langs and _LETTER.search(t)]
+            todo = [i for i, t in enumerate(texts) if t and m.langs and any(map(str.isalpha, t))]
             for k in range(0, len(todo), 256):
                 part = todo[k : k + 256]
                 x = np.empty((len(part), shape.grams), dtype=np.float32)
@@ -135,4 +131,4 @@ def predict(docs: DataFrame, model: Model, shape: Shape = Shape()) -> DataFrame:
 
     bound_batches(docs.sparkSession)
     out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
-    return out.select("doc_id", (crc_of_id() % 4 == 2).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(crc_of_id() % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
