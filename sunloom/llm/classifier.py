@@ -156,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, shape: Shape = Shape()) -> Machine
 
 
 def score_documents(docs: DataFrame, model: Machine, shape: Shape = Shape(), threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document; a null text is scored as the empty one."""
+    """doc_id, held_out, score, predicted of every document; a null text is scored as the empty one, a null doc_id not held out."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +168,7 @@ def score_documents(docs: DataFrame, model: Machine, shape: Shape = Shape(), thr
 
     bound_batches(docs.sparkSession)
     out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
-    return out.select("doc_id", (crc_of_id() % 5 == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(crc_of_id() % 5 == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, model: Machine, shape: Shape = Shape(), threshold: float = 0.3) -> DataFrame:
