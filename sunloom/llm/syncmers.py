@@ -58,12 +58,12 @@ def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return outer[at], at
 
 
-def fingerprint(raw: bytes) -> tuple[int, np.ndarray, np.ndarray]:
+def fingerprint(raw: bytes, aim: int | None = ANCHORS) -> tuple[int, np.ndarray, np.ndarray]:
     """(level, hashes, places): the anchors whose hash ends in `level` zero bits, level rising with the number of distinct
-    hashes, as far as anchors stay. Of a hash that repeats, every place is listed."""
+    hashes, as far as anchors stay. Of a hash that repeats, every place is listed. aim None: all anchors stay."""
     h, at = anchors(raw)
     distinct = np.unique(h)
-    level = max(0, (len(distinct) // ANCHORS).bit_length() - 1) if len(distinct) > 2 * ANCHORS else 0
+    level = max(0, (len(distinct) // aim).bit_length() - 1) if aim and len(distinct) > 2 * aim else 0
     while level and (distinct & np.uint64((1 << level) - 1)).all():
         level -= 1
     if level:
@@ -77,7 +77,14 @@ def fingerprint(raw: bytes) -> tuple[int, np.ndarray, np.ndarray]:
 
 def written_out(f: tuple[int, np.ndarray, np.ndarray]) -> str:
     level, h, at = f
-    return f"{level}:" + ";".join(f"{x >> 16:x}@{p:x}" for x, p in zip(h.tolist(), at.tolist(), strict=True))
+    return f"{level}:" + ";".join(f"{x:x}@{p:x}" for x, p in zip(h.tolist(), at.tolist(), strict=True))
+
+
+def parsed(text: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """A fingerprint from its written form."""
+    level, _, rest = text.partition(":")
+    pairs = [x.split("@") for x in rest.split(";")]
+    return int(level), np.array([int(h, 16) for h, _ in pairs], np.uint64), np.array([int(p, 16) for _, p in pairs])
 
 
 def _chain(a: list[int], b: list[int]) -> int:
@@ -119,13 +126,14 @@ def likeness(a: tuple, b: tuple) -> float:
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def fingerprint_pairs(docs: DataFrame, parts: int | None = None) -> DataFrame:
+def fingerprint_pairs(docs: DataFrame, parts: int | None = None, aim: int | None = ANCHORS) -> DataFrame:
     """Every text, its edited text and its successor by doc_id, fingerprinted and compared.
 
     Documents are cut into ranges of doc_id at quantiles; the first of each range goes to the range before it too
     (that of the first range to the last), so each range is worked through alone and in order. A null text is empty,
     a null doc_id comes before all; rows of one doc_id stand in the order of their text's hash. A lone document
-    follows itself. The texts are shuffled once.
+    follows itself. The texts are shuffled once. Fingerprints sample the anchors by the last bits of their hashes, down to
+    about `aim` to 2 * aim, and equal likenesses come of the written fingerprints; with aim None they hold all anchors.
     """
     spark = docs.sparkSession
     parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -148,12 +156,12 @@ def fingerprint_pairs(docs: DataFrame, parts: int | None = None) -> DataFrame:
             text, cut = doc[3], len(doc[3]) // 4
             edited = text[: len(text) - cut] + nxt[3][:cut]
             raw = edited.encode()
-            f = fingerprint(raw)
+            f = fingerprint(raw, aim)
             return (None if doc[4] else doc[1], len(text), hashlib.sha256(raw).hexdigest(), written_out(doc[5]), written_out(f), likeness(doc[5], f), likeness(doc[5], nxt[5]))
 
         for batch in batches:
             for rng, i, halo, text, no_id in zip(*(c.to_pylist() for c in batch.columns[:5]), strict=True):
-                doc = (rng, i, halo, text, no_id, fingerprint(text.encode()))
+                doc = (rng, i, halo, text, no_id, fingerprint(text.encode(), aim))
                 if held is not None and not held[2] and held[0] == rng:
                     done.append(pair(held, doc))
                 if held is None or held[0] != rng or not held[2]:
