@@ -33,6 +33,8 @@ _CLASS = _class_of_byte()
 _USED = len(CLASSES) - 1  # all but the bytes that continue a character
 
 
+#: Shares of character classes are counted in steps of 1 / STEPS for their medians.
+STEPS = 10_000
 #: Counts of words that a task holds before it sends them on.
 HELD = 200_000
 
@@ -98,7 +100,7 @@ def base_counts(text: str, raw: bytes, words: list[bytes]) -> tuple[int, int, in
 def language_references(docs: DataFrame, rules: QualityRules) -> list[tuple[str, list[float], dict[str, float]]]:
     """Per lang value: median shares of character classes, and shares of its most common words.
 
-    All documents count; medians, so that junk does not bend them. Each batch sends its shares, each task its counts of all
+    All documents count, exactly, however they are dealt; medians, so that junk does not bend them. Each batch sends its shares, each task its counts of all
     words, as often as it holds HELD of them; their sums are exact. What reaches the driver is bounded by the number of
     languages. A null lang counts as none.
     """
@@ -120,7 +122,7 @@ def language_references(docs: DataFrame, rules: QualityRules) -> list[tuple[str,
                 words[lang].update(raw.split())
                 if len(raw) >= rules.min_chars:
                     seen = class_counts(raw)
-                    rows += [(lang, c, "", round(v)) for c, v in zip(CLASSES, (1e6 * seen / seen.sum()).tolist(), strict=False)]
+                    rows += [(lang, c, "", round(v)) for c, v in zip(CLASSES, (STEPS * seen / seen.sum()).tolist(), strict=False)]
             yield sent(*(list(zip(*rows, strict=True)) or [()] * 4))
             if sum(map(len, words.values())) >= HELD:
                 yield from sums_of(words)
@@ -131,7 +133,10 @@ def language_references(docs: DataFrame, rules: QualityRules) -> list[tuple[str,
     bound_batches(docs.sparkSession)
     sent_ = written(known.mapInArrow(count, "lang string, kind string, word string, n long"), "language_counts")
     sums = sent_.where("kind IN ('word', 'total')").groupBy("lang", "kind", "word").agg(F.sum("n").alias("n"))
-    medians = sent_.where("kind NOT IN ('word', 'total')").groupBy("lang", "kind", "word").agg(F.percentile_approx("n", 0.5, 1000).alias("n"))
+    shares = sent_.where("kind NOT IN ('word', 'total')").groupBy("lang", "kind", "word", "n").agg(F.count("*").alias("times"))  # at most STEPS + 1 a class
+    group = Window.partitionBy("lang", "kind", "word")
+    shares = shares.withColumn("upto", F.sum("times").over(group.orderBy("n"))).withColumn("all", F.sum("times").over(group))
+    medians = shares.where("2 * upto >= all").groupBy("lang", "kind", "word").agg(F.min("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     top = sums.where("kind = 'word'").withColumn("rank", rank).where(F.col("rank") <= rules.common_words).drop("rank")
     found: dict[str, dict] = defaultdict(lambda: {"words": {}})

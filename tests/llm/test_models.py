@@ -228,3 +228,71 @@ def test_mined_rules_find_a_planted_host(spark):
     rows = [([f"h:{h}", "h:com", f"p:{k % 3}"], h == "spam") for k in range(300) for h in ("spam", "good")]
     got = urls.mine_rules(spark.createDataFrame(rows, "items array<string>, bad boolean")).collect()
     assert [(r["items"], r.rare, r.confidence) for r in got] == [(["h:spam"], "h:spam", 1.0)]
+
+
+def test_references_do_not_depend_on_layout(spark, docs):
+    rules = quality.QualityRules()
+    one, many = (quality.language_references(docs.repartition(n), rules) for n in (1, 64))
+    assert one == many
+    shares = {}
+    for r in docs.where("lang IS NOT NULL").collect():
+        raw = (r.text or "").encode()
+        if len(raw) >= rules.min_chars:
+            seen = quality.class_counts(raw)
+            shares.setdefault(r.lang, []).append([round(v) for v in (quality.STEPS * seen / seen.sum()).tolist()])
+    for lang, got, _ in one:
+        middle = np.sort(np.array(shares[lang]), axis=0)[(len(shares[lang]) - 1) // 2]
+        assert np.allclose(got, middle / middle.sum())
+
+
+def test_rules_verdict_by_plain_formula(spark, docs):
+    """kept by a plain Jensen-Shannon distance on histograms counted character by character and word by word."""
+    rules = quality.QualityRules()
+    refs = quality.language_references(docs, rules)
+    kind = {c: k for k, chars in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\r\x0b\x0c", "\n", ".,;:?'\"-()", quality.SYMBOLS)) for c in chars}
+
+    def apart(p, q):
+        m = {k: (p.get(k, 0) + q.get(k, 0)) / 2 for k in {*p, *q}}
+        return (sum(x[k] * np.log2(x[k] / m[k]) for x in (p, q) for k in x if x[k] > 0) / 2) ** 0.5
+
+    common = {w for r in refs for w in r[2]}
+    for r in quality.judge(docs, rules, refs).join(docs.select("doc_id", "text"), "doc_id").collect():
+        words = (r.text or "").encode().split()
+        chars = Counter(kind.get(c, 7 if ord(c) < 128 else 8) for c in r.text or "")
+        seen = Counter(w.decode() if w.decode() in common else None for w in words)
+        kept = not r.base_failed
+        if chars.total() >= rules.min_chars:
+            kept &= min(apart({k: n / chars.total() for k, n in chars.items()}, dict(enumerate(ref[1]))) for ref in refs) <= rules.char_distance
+        if len(words) >= rules.min_words:
+            kept &= min(apart({k: n / len(words) for k, n in seen.items()}, {**ref[2], None: 1 - sum(ref[2].values())}) for ref in refs) <= rules.word_distance
+        assert r.kept == kept
+
+
+def test_number_characters_are_no_letters_and_null_ids_are_not_held_out(spark, docs, labels):
+    rows = spark.createDataFrame([(None, "½ ² Ⅷ ①", None, None, 0), (None, "the house", "en", None, 0), (2, "x", "en", None, 0), (2, "x", "en", None, 0)], DOCS)
+    got = langid.predict(rows, langid.train(docs)).collect()
+    assert [r.lang_pred == "und" for r in got if r.doc_id is None] == [True, False] and len(got) == 4
+    assert not any(r.held_out for r in got if r.doc_id is None)
+    scored = classifier.score_documents(rows, classifier.train(docs, labels)).collect()
+    assert len(scored) == 4 and all(isinstance(r.held_out, bool) for r in scored)
+
+
+def test_every_language_is_learnt(spark):
+    rows = [(k, f"{chr(0x4E00 + 7 * (k % 70))}{chr(0x3000 + 64 + k % 70)} " * 30, f"l{k % 70:02}", None, 0) for k in range(1400)]
+    some = spark.createDataFrame(rows, DOCS)
+    model = langid.train(some)
+    assert len(model.langs) == 70 and len(model.landmarks) >= 140
+    got = langid.predict(some, model).join(some.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert np.mean([r.lang == r.lang_pred for r in got]) > 0.9
+
+
+def test_written_fingerprints_give_the_likeness(spark, docs):
+    rows = {r.doc_id: r for r in syncmers.fingerprint_pairs(docs).collect()}
+    ids = sorted(rows)
+    for i, j in zip(ids, ids[1:] + ids[:1], strict=True):
+        a, b, c = (syncmers.parsed(x) for x in (rows[i].fingerprint, rows[i].edited_fingerprint, rows[j].fingerprint))
+        assert rows[i].near_edited == syncmers.likeness(a, b) and rows[i].near_next == syncmers.likeness(a, c)
+    text = " ".join(f"word{k * k}" for k in range(3000)).encode()
+    twice = syncmers.fingerprint(text), syncmers.fingerprint(text + b" " + text)
+    assert syncmers.likeness(*twice) == syncmers.likeness(*(syncmers.parsed(syncmers.written_out(f)) for f in twice))
+    assert len(syncmers.fingerprint(text, None)[1]) == len(syncmers.anchors(text)[1])

@@ -200,3 +200,13 @@ def test_shards_of_copies_nulls_and_clashing_columns(spark):
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
     assert len({r["shard"] for r in rows if r.doc_id < 300}) == 1 and max(sizes.values()) >= 300 * 258
     assert sharding.shard_documents(docs.limit(0), 24).count() == 0
+
+
+def test_equal_rows_spread_over_groups(spark):
+    docs = table(spark, ["the same text"]).select("*", F.explode(F.sequence(F.lit(1), F.lit(3000)))).drop("col")
+    rows = packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), group_rows=300).collect()
+    sizes = {}
+    for r in rows:
+        sizes[r.sequence_id >> 32] = sizes.get(r.sequence_id >> 32, 0) + 1
+    assert len(rows) == 3000 and len(sizes) == 10 and max(sizes.values()) < 420
+    assert sorted((r.sequence_id, r.offset) for r in rows) == sorted({(r.sequence_id, r.offset) for r in rows})
