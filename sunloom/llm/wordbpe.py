@@ -22,7 +22,7 @@ _SPACE[list(b" \t\n\r\x0b\x0c")] = True
 _SPACES = re.compile(rb"[ \t\n\r\x0b\x0c]")
 _P, _ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
 #: Bytes of a longest remembered word, of all remembered words, of a slice of a text, and of texts that are worked on at once.
-LONGEST, MOST_BYTES, SLICE, AT_ONCE = 256, 16 << 20, 1 << 16, 1 << 18
+LONGEST, MOST_BYTES, SLICE, AT_ONCE = 256, 16 << 20, 1 << 17, 1 << 19
 _M = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -44,7 +44,7 @@ class WordEncoder:
     are kept. A text of any length takes memory for its bytes, its ids and AT_ONCE bytes of words.
     """
 
-    def __init__(self, path: str, max_words: int = 200_000):
+    def __init__(self, path: str, max_words: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -144,8 +144,8 @@ class WordEncoder:
             place = place[back]
             alone |= self._size[place] != size
             seen = ~alone
-            body = _runs(self._from[place[seen]], size[seen])
-            same = self._bytes[body] == raw[_runs(start[seen], size[seen])]
+            body = raw[~gap] if seen.all() else raw[_runs(start[seen], size[seen])]
+            same = self._bytes[_runs(self._from[place[seen]], size[seen])] == body
             if len(same):
                 ends = np.cumsum(size[seen])
                 alone[np.flatnonzero(seen)[~np.logical_and.reduceat(same, ends - size[seen])]] = True
