@@ -39,13 +39,12 @@ def round_day(t: Column) -> Column:
 
 
 def rotation_relative(cr_earth: Column, lon: Column) -> Column:
-    """Decimal rotation number of an observer at Carrington longitude lon, within half a turn of Earth's."""
-    whole = F.floor(cr_earth)
-    lon_earth = F.pmod(1 - (cr_earth - whole) * 360, F.lit(360.0))
-    diff = lon_earth - lon
-    turn = F.pmod(diff, F.lit(360.0))
-    ahead = F.when((lon_earth < 180) & (turn < 180) & (diff < 0), 1.0).when((lon_earth >= 180) & (turn >= 180) & (diff >= 0), -1.0).otherwise(0.0)
-    return whole + F.pmod(1.0 - lon / 360.0, F.lit(360.0)) + ahead
+    """Decimal rotation number of an observer at Carrington longitude lon, the one nearest to Earth's.
+
+    Longitude falls by 360 in a rotation, so the number is -lon / 360 but for whole turns; of two as near, the greater.
+    """
+    part = -lon / 360
+    return part + F.floor(cr_earth - part + 0.5)
 
 
 #: First second of 1958-based atomic time from which so many leap seconds have passed.

@@ -13,7 +13,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
 
     Large-star and small-star rounds: each node's greater neighbours are hung on its least neighbour, then its lesser
     ones. A round is two aggregations and two joins over a table of at most as many edges, their number falls to one
-    a node, and rounds grow as the logarithm of a component's diameter. Nulls and loops are no edges, but a loop's
+    a node, and rounds grow as the logarithm of a component's diameter; beyond max_rounds it raises. Nulls and loops are no edges, but a loop's
     node is a node. The fixpoint is reached when a round changes nothing.
     """
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
@@ -34,6 +34,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
         if (got.n, got.h) == mark:
             break
         mark = (got.n, got.h)
+    else:
+        raise RuntimeError(f"components changed still in round {max_rounds}")
     found = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     found = found.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).unionByName(alone)
     return found.groupBy("node").agg(F.min("component").alias("component"))
@@ -60,6 +62,8 @@ def cheapest_path(edges: DataFrame, nodes: DataFrame, start: str, goal: str, max
         best = table(low.select("node", "s.d", "s.hops", "s.pred", (F.col("s.__new") == 1).alias("new")), "path_best")
         if best.where("new").isEmpty():
             break
+    else:
+        raise RuntimeError(f"paths became cheaper still in round {max_rounds}")
     path, at = [], goal
     while at is not None:  # as many lookups as the path has steps
         row = best.where(F.col("node") == at).select("d", "pred").first()

@@ -52,9 +52,8 @@ def m8_degradation(spark: SparkSession, d: str) -> DataFrame:
     return rounded(calibration.degradation_factor(images(spark, d), table).select("data_id", "factor"), 6, "factor")
 
 
-@query(f"""WITH {IMAGES}, a AS (SELECT data_id, cr_rot, floor(cr_rot) AS w, value - floor(value / 360) * 360 AS lon FROM cat), b AS (SELECT *, 1 - (cr_rot - w) * 360 - floor((1 - (cr_rot - w) * 360) / 360) * 360 AS e FROM a),
-  c AS (SELECT *, e - lon AS diff, e - lon - floor((e - lon) / 360) * 360 AS turn FROM b)
-  SELECT data_id, round(w + 1 - lon / 360 + CASE WHEN e < 180 AND turn < 180 AND diff < 0 THEN 1 WHEN e >= 180 AND turn >= 180 AND diff >= 0 THEN -1 ELSE 0 END, 8) AS rotation FROM c""")
+@query(f"""WITH {IMAGES}, a AS (SELECT data_id, cr_rot, floor(cr_rot) + k - (value - floor(value / 360) * 360) / 360 AS near FROM cat, (VALUES (-1), (0), (1), (2)) v(k))
+  SELECT data_id, round(arg_min(near, abs(near - cr_rot)), 8) AS rotation FROM a GROUP BY data_id""")
 def m10_rotation_relative(spark: SparkSession, d: str) -> DataFrame:
     lon = F.pmod("value", F.lit(360.0))
     return rounded(images(spark, d).select("data_id", times.rotation_relative(F.col("cr_rot"), lon).alias("rotation")), 8, "rotation")

@@ -189,7 +189,8 @@ def test_time_functions(spark):
 
     assert one(times.round_hours(F.lit(datetime(2020, 1, 1, 23, 0)), 2)) == datetime(2020, 1, 2)
     assert one(times.utc_of_atomic(F.lit(1861920037.0))) == datetime(2017, 1, 1)
-    assert abs(one(times.rotation_relative(F.lit(2100.25), F.lit(270.0))) - 2100.25) < 1.0
+    for earth, lon, want in [(2100.25, 270.0, 2100.25), (2100.05, 350.0, 2100 + 10 / 360), (2100.05, 10.0, 2100 - 10 / 360), (2100.95, 350.0, 2101 + 10 / 360), (2100.95, 10.0, 2101 - 10 / 360), (2100.1, 0.0, 2100.0), (2100.1, 360.0, 2100.0), (2100.9, 0.0, 2101.0)]:
+        assert abs(one(times.rotation_relative(F.lit(earth), F.lit(lon))) - want) < 1e-9
     assert one(times.path_of_time(F.lit("2020-01-02T03:04"))) == "20200102_0304"
     assert [r.center.day for r in selection.weekly_centers(spark, datetime(2020, 1, 1), datetime(2020, 1, 20)).collect()] == [6, 13, 20]
 
@@ -345,3 +346,10 @@ def test_optimal_bins_over_the_whole_range(spark):
         k = np.bincount(np.minimum(np.floor((v - lo) / (hi - lo) * n).astype(int), n - 1), minlength=n)
         costs.append((2 * k.mean() - k.var()) / ((hi - lo) / n) ** 2)
     assert QUERIES["a31_optimal_bins_full"](spark, d).first().bins == 20 + int(np.argmin(costs))
+
+
+def test_unfinished_rounds_raise(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(64)], "src long, dst long")
+    with pytest.raises(RuntimeError):
+        components(chain, max_rounds=2)
+    assert {r.component for r in components(chain).collect()} == {0}
