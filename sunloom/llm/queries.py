@@ -5,9 +5,14 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bytebpe, classifier, jaccard, langid, packing, quality, sharding, syncmers, tokenfile, urls
 from .common import documents, shared_dir
+from .sql import ORACLE_SQL
+
+#: DuckDB has no models, codecs and hashes of the queries without SQL; they are tested against brute force.
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 END_ID, ROOM, SHARDS = 2, 4096, 24
 
@@ -28,7 +33,8 @@ def op2_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(documents(spark, sf_dir))
+    judged = quality.judge(documents(spark, sf_dir))
+    return judged.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
 def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,5 +85,3 @@ QUERIES = {
     )
 }
 
-#: DuckDB has none of these methods' models, codecs and fixpoints; they are tested against brute force.
-ORACLE_SQL: dict[str, str] = {}
