@@ -82,7 +82,7 @@ def project_image(px: DataFrame, grid: DataFrame, observers: DataFrame, x0: floa
     axes x0 + ix * dx, y0 + iy * dy. Cells behind the limb have null mu and data (distance: the limb as seen from
     there), and so has a cell one of whose four pixels is missing. Each cell asks for four pixels by an equi-join.
     """
-    cells = grid.crossJoin(F.broadcast(observers))  # the result has a row for each cell and image
+    cells = grid.crossJoin(observers)  # the result has a row for each cell and image
     x, y, z = map_to_image(F.col("phi"), F.col("sinlat"), F.col("cr_lon"), F.col("cr_lat"), F.col("crota2"), r0)
     limb = 0.0 if distance is None else r0 * r0 / distance
     scale = F.lit(1.0) if distance is None else 1 / (1 - z / distance)

@@ -15,13 +15,14 @@ from ..plans.asof import asof_bracket
 from ..plans.graph import components
 
 
-def region_overlap(px_a: DataFrame, px_b: DataFrame, key_a: Sequence[str] = ("frame_a", "region_a"), key_b: Sequence[str] = ("frame_b", "region_b")) -> DataFrame:
+def region_overlap(px_a: DataFrame, px_b: DataFrame, key_a: Sequence[str] = ("frame_a", "region_a"), key_b: Sequence[str] = ("frame_b", "region_b"), by: Sequence[str] = ()) -> DataFrame:
     """Shared area of each pair of regions that share pixels, and its share of either.
 
-    px_a, px_b: keys, iy, ix, da. Pairs come from an equi-join on the pixel, so regions apart never meet.
+    px_a, px_b: keys, iy, ix, da, and the columns of `by`, which both must share (such as the number of the later
+    frame). Pairs come from an equi-join on those and the pixel, so regions apart never meet.
     """
     size_a, size_b = px_a.groupBy(*key_a).agg(F.sum("da").alias("__a")), px_b.groupBy(*key_b).agg(F.sum("da").alias("__b"))
-    shared = px_a.select(*key_a, "iy", "ix", "da").join(px_b.select(*key_b, "iy", "ix"), ["iy", "ix"]).groupBy(*key_a, *key_b).agg(F.sum("da").alias("shared"))
+    shared = px_a.select(*key_a, *by, "iy", "ix", "da").join(px_b.select(*key_b, *by, "iy", "ix"), [*by, "iy", "ix"]).groupBy(*key_a, *key_b).agg(F.sum("da").alias("shared"))
     out = shared.join(size_a, list(key_a)).join(size_b, list(key_b))
     return out.select(*key_a, *key_b, "shared", (F.col("shared") / F.col("__a")).alias("share_a"), (F.col("shared") / F.col("__b")).alias("share_b"))
 
@@ -66,12 +67,12 @@ def match_regions(overlaps: DataFrame, thr: float = 0.0, weight: str = "proximit
     w = F.col("hours") if weight == "age" else 1 / (1 + F.col("hours"))
     mean = (F.col("share_new") + F.col("share_old")) / 2
     score = overlaps.groupBy("region", "label").agg((F.sum(w * mean) / F.when(F.sum(w) > 0, F.sum(w))).alias("score"))
-    best = score.groupBy("region").agg(F.max_by(F.struct("label", "score"), F.struct(F.round("score", 12), -F.hash("label"))).alias("b"))
+    best = score.groupBy("region").agg(F.min_by(F.struct("label", "score"), F.struct(-F.round("score", 12), F.col("label"))).alias("b"))
     over = F.coalesce(F.col("b.score") > thr, F.lit(False))
     return best.select("region", F.when(over, F.col("b.label")).alias("label"), F.col("b.score").alias("score"))
 
 
-TRACKED = "run long, frame int, region long, id long, count int"
+TRACKED = "run long, frame long, region long, id long, count int"
 
 
 def fold_tracks(regions: pd.DataFrame, overlaps: pd.DataFrame, thr: float, window_hours: float, weight: str, state: dict | None = None) -> pd.DataFrame:
@@ -132,20 +133,21 @@ def track(regions: DataFrame, region_px: DataFrame, thr: float = 0.0, window_hou
     def fold(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return fold_tracks(a, b, thr, window_hours, weight)
 
-    rows = regions.select(F.col("run").cast("long"), F.col("frame").cast("int"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("region").cast("long"))
+    rows = regions.select(F.col("run").cast("long"), F.col("frame").cast("long"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("region").cast("long"))
     return rows.groupBy("run").cogroup(o.groupBy("run")).applyInPandas(fold, TRACKED)
 
 
-def connect(tracked: DataFrame, region_px: DataFrame, thr: float = 0.0) -> DataFrame:
+def connect(tracked: DataFrame, region_px: DataFrame, thr: float = 0.0, by: Sequence[str] = ()) -> DataFrame:
     """Edges (u, v, weight) between a region and those of the frame before, and the latest earlier ones of its id.
 
-    tracked: frame, region, id, count; region_px: frame, region, iy, ix, da. An edge needs a mean overlap over thr;
-    nodes are named frame_id_count, weights have three decimals.
+    tracked: frame, region, id, count; region_px: frame, region, iy, ix, da; both with the columns of `by`, such as the
+    run, over which no edge goes. Frame numbers are not shared by runs. An edge needs a mean overlap over thr; nodes
+    are named frame_id_count, weights have three decimals.
     """
-    t = tracked.select("frame", "region", "id", F.concat_ws("_", "frame", "id", "count").alias("node"))
-    frames = t.select("frame").distinct().withColumn("prev", F.lag("frame").over(Window.orderBy("frame")))  # one row a frame
-    last = t.select("id", "frame").distinct().withColumn("same", F.lag("frame").over(Window.partitionBy("id").orderBy("frame")))
-    now = t.join(frames, "frame").join(last, ["id", "frame"], "left")
+    t = tracked.select(*by, "frame", "region", "id", F.concat_ws("_", "frame", "id", "count").alias("node"))
+    frames = t.select(*by, "frame").distinct().withColumn("prev", F.lag("frame").over(Window.partitionBy(*by).orderBy("frame")))  # one row a frame
+    last = t.select(*by, "id", "frame").distinct().withColumn("same", F.lag("frame").over(Window.partitionBy(*by, "id").orderBy("frame")))
+    now = t.join(frames, [*by, "frame"]).join(last, [*by, "id", "frame"], "left")
     old = t.select(F.col("frame").alias("of"), F.col("id").alias("oid"), F.col("region").alias("oregion"), F.col("node").alias("u"))
     near = now.join(old, F.col("of") == F.col("prev")).select("frame", "region", "node", "of", "oregion", "u")
     back = now.where("same <> prev").join(old, (F.col("of") == F.col("same")) & (F.col("oid") == F.col("id"))).select("frame", "region", "node", "of", "oregion", "u")

@@ -61,9 +61,13 @@ MONTHLY = """par AS (SELECT l_suppkey AS supp, CAST(date_trunc('month', l_shipda
 
 
 def pixels(spark: SparkSession, d: str) -> DataFrame:
-    """lineitem as maps of 20 x 40 pixels: the row of least order and price in each cell."""
+    """lineitem as maps of 20 x 40 pixels: the row of least order and price in each cell.
+
+    Every 2000 order numbers are a series of maps, one a line number, so the number of maps follows the table; map_id
+    is ten times the series plus the line number.
+    """
     li = read(spark, d, "lineitem").select(
-        F.col("l_linenumber").alias("map_id"), (F.col("l_suppkey") % 20).cast("int").alias("iy"), (F.col("l_partkey") % 40).cast("int").alias("ix"), "l_orderkey", "l_extendedprice", "l_discount", "l_returnflag", "l_quantity"
+        F.expr("l_orderkey div 2000 * 10 + l_linenumber").alias("map_id"), (F.col("l_suppkey") % 20).cast("int").alias("iy"), (F.col("l_partkey") % 40).cast("int").alias("ix"), "l_orderkey", "l_extendedprice", "l_discount", "l_returnflag", "l_quantity"
     )
     one = li.groupBy("map_id", "iy", "ix").agg(F.min(F.struct("l_orderkey", "l_extendedprice", "l_discount", "l_returnflag", "l_quantity")).alias("r"))
     return one.select(
@@ -72,7 +76,7 @@ def pixels(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-PIXELS = """px AS (SELECT l_linenumber AS map_id, CAST(l_suppkey % 20 AS INTEGER) AS iy, CAST(l_partkey % 40 AS INTEGER) AS ix,
+PIXELS = """px AS (SELECT l_orderkey // 2000 * 10 + l_linenumber AS map_id, CAST(l_suppkey % 20 AS INTEGER) AS iy, CAST(l_partkey % 40 AS INTEGER) AS ix,
   arg_min(l_extendedprice, (l_orderkey, l_extendedprice, l_discount, l_returnflag, l_quantity)) AS data, arg_min(1 - l_discount, (l_orderkey, l_extendedprice, l_discount, l_returnflag, l_quantity)) AS mu,
   arg_min(CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, (l_orderkey, l_extendedprice, l_discount, l_returnflag, l_quantity)) AS chd, min(l_orderkey) AS origin_image,
   arg_min(l_quantity, (l_orderkey, l_extendedprice, l_discount, l_returnflag, l_quantity)) AS value FROM lineitem GROUP BY 1, 2, 3)"""

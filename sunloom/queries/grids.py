@@ -38,6 +38,11 @@ def _low(spark: SparkSession, d: str) -> DataFrame:
     return mask_low(pixels(spark, d), least=20000.0)
 
 
+def _logged(df: DataFrame) -> DataFrame:
+    """df with the logarithm of its data: means of decimals, which may end in a 5, are not rounded themselves."""
+    return rounded(df.withColumn("log_data", F.log10("data")).drop("data"), 9, "log_data")
+
+
 @query(f"WITH {LOW} SELECT map_id, iy, ix, data FROM lo")
 def f9_mask_low(spark: SparkSession, d: str) -> DataFrame:
     return _low(spark, d).select("map_id", "iy", "ix", "data")
@@ -53,11 +58,12 @@ def a14_merge_mu_weighted(spark: SparkSession, d: str) -> DataFrame:
     return rounded(merge.merge_synoptic(_low(spark, d), weight="mu"), 8, "chd")
 
 
-@query(f"""WITH {LOW}, w AS (SELECT map_id, CASE WHEN map_id = 1 THEN 0.4 ELSE 0.1 END AS weight FROM (SELECT DISTINCT map_id FROM px))
-  SELECT iy, ix, round(sum(weight * data) / sum(CASE WHEN data IS NOT NULL THEN weight END), 6)::DOUBLE AS data, round(sum(weight * mu) / sum(weight), 8)::DOUBLE AS mu, round(sum(weight * chd) / sum(weight), 8)::DOUBLE AS chd FROM lo JOIN w USING (map_id) GROUP BY 1, 2""")
+@query(f"""WITH {LOW}, w AS (SELECT map_id, CASE WHEN map_id % 10 = 1 THEN 0.4 ELSE 0.1 END AS weight FROM (SELECT DISTINCT map_id FROM px))
+  SELECT iy, ix, round(log10(sum(weight * data) / sum(CASE WHEN data IS NOT NULL THEN weight END)), 9)::DOUBLE AS log_data, round(sum(weight * mu) / sum(weight), 8)::DOUBLE AS mu, round(sum(weight * chd) / sum(weight), 8)::DOUBLE AS chd FROM lo JOIN w USING (map_id) GROUP BY 1, 2""")
 def a15_merge_weighted(spark: SparkSession, d: str) -> DataFrame:
-    w = spark.createDataFrame([(k, 0.4 if k == 1 else 0.1) for k in range(1, 8)], "map_id int, weight double")
-    return rounded(rounded(merge.merge_weighted(_low(spark, d), w), 6, "data"), 8, "mu", "chd")
+    w = pixels(spark, d).select("map_id").distinct().withColumn("weight", F.when(F.col("map_id") % 10 == 1, 0.4).otherwise(0.1))
+    w = w.crossJoin(w.agg(F.sum("weight").alias("total"))).select("map_id", (F.col("weight") / F.col("total")).alias("weight"))  # total: one row
+    return rounded(_logged(merge.merge_weighted(_low(spark, d), w)), 8, "mu", "chd")
 
 
 GAUSS = "gw AS (SELECT map_id, exp(-pow((0.5 + (rn - 1) / n::DOUBLE - 1) / 0.15, 2) / 2) AS g FROM (SELECT map_id, row_number() OVER (ORDER BY map_id) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT map_id FROM px)))"
@@ -94,15 +100,15 @@ OV = """oy AS (SELECT i AS iy, k AS ny, greatest(0, least(i + 1, (k + 1) * 20.0
 
 
 @query(f"""WITH {LOW}, {OV}, s AS (SELECT map_id, CAST(ny AS INTEGER) AS iy, CAST(nx AS INTEGER) AS ix, sum(oy.w * ox.w * data) AS s, sum(CASE WHEN data IS NOT NULL THEN oy.w * ox.w END) AS a FROM lo JOIN oy USING (iy) JOIN ox USING (ix) WHERE oy.w > 0 AND ox.w > 0 GROUP BY 1, 2, 3)
-  SELECT map_id, iy, ix, round(CASE WHEN a >= 0.4999 THEN s / a END, 2)::DOUBLE AS data FROM s""")
+  SELECT map_id, iy, ix, round(CASE WHEN a >= 0.4999 THEN log10(s / a) END, 9)::DOUBLE AS log_data FROM s""")
 def j12_resample(spark: SparkSession, d: str) -> DataFrame:
     edges = [[float(k) for k in range(41)], [float(k) for k in range(21)], [k * 40 / 15 for k in range(16)], [k * 20 / 6 for k in range(7)]]
-    return rounded(grid.resample(_low(spark, d), *edges, least_area=0.4999), 2, "data")
+    return _logged(grid.resample(_low(spark, d), *edges, least_area=0.4999))
 
 
-@query(f"""WITH {PIXELS}, m AS (SELECT map_id, iy, avg(data) AS m FROM px WHERE iy IN (0, 19) GROUP BY 1, 2) SELECT map_id, iy, ix, round(coalesce(m, data), 6) AS data FROM px LEFT JOIN m USING (map_id, iy)""")
+@query(f"""WITH {PIXELS}, m AS (SELECT map_id, iy, avg(data) AS m FROM px WHERE iy IN (0, 19) GROUP BY 1, 2) SELECT map_id, iy, ix, round(log10(coalesce(m, data)), 9) AS log_data FROM px LEFT JOIN m USING (map_id, iy)""")
 def m15_average_poles(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(grid.average_poles(pixels(spark, d), 19).select("map_id", "iy", "ix", "data"), 6, "data")
+    return _logged(grid.average_poles(pixels(spark, d), 19).select("map_id", "iy", "ix", "data"))
 
 
 @query(f"""WITH {LOW}, m AS (SELECT map_id, iy, sum(data * (CASE WHEN ix = 0 THEN 1.0 ELSE 3.0 END)) / sum(CASE WHEN data IS NOT NULL THEN CASE WHEN ix = 0 THEN 1.0 ELSE 3.0 END END) AS m FROM lo WHERE ix IN (0, 39) GROUP BY 1, 2)
@@ -325,18 +331,24 @@ def j14_reproject_polar(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def j15_project_points(spark: SparkSession, d: str) -> DataFrame:
     pts = _sphere(spark, d).select(F.col("vec_id").alias("point_id"), "theta", "phi", (F.col("label") - 4.5).alias("flux"))
-    mesh = _with_area(pixels(spark, d).where("map_id = 1")).select("iy", "ix", "theta", "phi", "da").distinct()
+    mesh = _with_area(pixels(spark, d)).select("iy", "ix", "theta", "phi", "da").distinct()
     return rounded(grid.project_points(pts, mesh, 0.2), 6, "br")
 
 
-@query("""WITH RECURSIVE e AS (SELECT o_custkey AS u, o_orderkey % 1000 + 1000000 AS v FROM orders WHERE o_orderkey % 20 = 0), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
-  w(n, r) AS (SELECT u, u FROM b UNION SELECT b.v, w.r FROM w JOIN b ON b.u = w.n) SELECT n AS node, min(r) AS component FROM w GROUP BY 1""")
+def _least_reached(edges: str) -> str:
+    """SQL of components: every node keeps the least node that reached it, and hands it on whenever it falls."""
+    return f"""WITH RECURSIVE e AS ({edges}), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+  w(node, component) USING KEY (node) AS (SELECT DISTINCT u, u FROM b UNION SELECT b.v, min(w.component) FROM w JOIN b ON b.u = w.node JOIN recurring.w AS now ON now.node = b.v WHERE w.component < now.component GROUP BY b.v)
+  SELECT node, component FROM w"""
+
+
+@query(_least_reached("SELECT o_custkey AS u, o_orderkey % 1000 + 1000000 AS v FROM orders"))
 def i7_components(spark: SparkSession, d: str) -> DataFrame:
-    e = read(spark, d, "orders").where("o_orderkey % 20 = 0").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 1000 + 1000000).alias("dst"))
-    return components(e)
+    """Customers and the last three digits of their orders' numbers."""
+    return components(read(spark, d, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 1000 + 1000000).alias("dst")))
 
 
-@query()
+@query(_least_reached("SELECT l_orderkey AS u, l_suppkey * 1000003 + l_partkey + 1000000000 AS v FROM lineitem"))
 def i7_components_all(spark: SparkSession, d: str) -> DataFrame:
-    """All orders; a recursive SQL takes too long for them, and i7_components, which has one, keeps a part."""
-    return components(read(spark, d, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 1000 + 1000000).alias("dst")))
+    """Orders tied by what they hold of the same supplier: many components, and a row of lineitem is an edge."""
+    return components(read(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), (F.col("l_suppkey") * 1000003 + F.col("l_partkey") + 1000000000).alias("dst")))

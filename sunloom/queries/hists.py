@@ -169,17 +169,21 @@ def a29_subsample_cadence(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi, count(*) AS n, quantile_cont(l_quantity, 0.75) - quantile_cont(l_quantity, 0.25) AS iqr FROM lineitem),
-  v AS (SELECT l_quantity AS v, count(*) AS k FROM lineitem GROUP BY 1), c AS (SELECT bins, least(floor((v - lo) / (hi - lo) * bins), bins - 1) AS i, sum(k) AS k FROM v, s, (SELECT unnest(range(20, 120)) AS bins) GROUP BY 1, 2),
+  v AS (SELECT l_quantity AS v, count(*) AS k FROM lineitem GROUP BY 1), c AS (SELECT bins, least(floor((v - lo) / (hi - lo) * bins), bins - 1) AS i, sum(k) AS k FROM v, s, (SELECT unnest(range(20, 700)) AS bins) GROUP BY 1, 2),
   t AS (SELECT bins, sum(k * k)::DOUBLE AS sq FROM c GROUP BY 1), u AS (SELECT bins, (2 * n / bins::DOUBLE - (sq / bins - pow(n / bins::DOUBLE, 2))) / pow((hi - lo) / bins, 2) AS cost FROM t, s)
   SELECT round(2 * iqr / cbrt(n), 8) AS fd_width, CAST(arg_min(bins, (cost, bins)) AS INTEGER) AS bins FROM u, s GROUP BY 1""")
 def a31_optimal_bins(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(hist.optimal_bins(read(spark, d, "lineitem"), "l_quantity", 20, 120), 8, "fd_width")
+    return rounded(hist.optimal_bins(read(spark, d, "lineitem"), "l_quantity"), 8, "fd_width")
 
 
-@query()
+@query("""WITH p AS (SELECT floor(l_extendedprice / 100) AS v FROM lineitem), s AS (SELECT min(v) AS lo, max(v) AS hi, count(*) AS n, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr FROM p),
+  c AS (SELECT bins, least(floor((v - lo) / (hi - lo) * bins), bins - 1) AS i, count(*) AS k FROM p, s, (SELECT unnest(range(20, 700)) AS bins) GROUP BY 1, 2),
+  t AS (SELECT bins, sum(k * k)::DOUBLE AS sq FROM c GROUP BY 1), u AS (SELECT bins, (2 * n / bins::DOUBLE - (sq / bins - pow(n / bins::DOUBLE, 2))) / pow((hi - lo) / bins, 2) AS cost FROM t, s)
+  SELECT round(2 * iqr / cbrt(n), 8) AS fd_width, CAST(arg_min(bins, (cost, bins)) AS INTEGER) AS bins FROM u, s GROUP BY 1""")
 def a31_optimal_bins_full(spark: SparkSession, d: str) -> DataFrame:
-    """All of the operator's range, [20, 700); the SQL of a31_optimal_bins searches a part of it."""
-    return rounded(hist.optimal_bins(read(spark, d, "lineitem"), "l_quantity"), 8, "fd_width")
+    """Prices in hundreds, which take more values than there are bins."""
+    prices = read(spark, d, "lineitem").select(F.floor(F.col("l_extendedprice") / 100).cast("double").alias("price"))
+    return rounded(hist.optimal_bins(prices, "price"), 8, "fd_width")
 
 
 @query(f"""WITH {WINDOW}, m AS (SELECT instrument, center, sum(n * (i_int + 0.5) * 0.1) / sum(n) AS mean, sum(n * pow((i_int + 0.5) * 0.1, 2)) / sum(n) AS sq FROM wh GROUP BY 1, 2)

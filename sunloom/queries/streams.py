@@ -53,13 +53,15 @@ def t4_track_stream(spark: SparkSession, d: str) -> DataFrame:
     px = _region_px(spark, d)
     ts = lambda c: F.timestamp_micros(F.col(c).cast("long") * 2 * HOUR)
     size = px.groupBy("frame", "region").agg(F.sum("da").alias("size"))
-    a, b = px.select("frame", "region", "iy", "ix", "da"), px.select(F.col("frame").alias("of"), F.col("region").alias("oreg"), "iy", "ix")
-    shared = a.join(b, ["iy", "ix"]).where("of < frame").groupBy("frame", "region", "of", "oreg").agg(F.sum("da").alias("s"))
+    run = F.floor(F.col("frame") / 10).alias("run")  # a series of maps
+    a, b = px.select(run, "frame", "region", "iy", "ix", "da"), px.select(run, F.col("frame").alias("of"), F.col("region").alias("oreg"), "iy", "ix")
+    shared = a.join(b, ["run", "iy", "ix"]).where("of < frame").groupBy("frame", "region", "of", "oreg").agg(F.sum("da").alias("s"))
     both = shared.join(size, ["frame", "region"]).join(size.toDF("of", "oreg", "osize"), ["of", "oreg"])
     old = both.groupBy("frame", "region").agg(F.collect_list(F.struct(F.col("of").alias("old_frame"), F.col("oreg").alias("old_region"), (F.col("s") / F.col("size")).alias("share_new"), (F.col("s") / F.col("osize")).alias("share_old"))).alias("old"))
-    links = size.select("frame", "region").join(old, ["frame", "region"], "left").select(F.lit(1).cast("long").alias("run"), F.col("frame").cast("int").alias("frame"), ts("frame").alias("ts"), F.col("region").cast("long").alias("region"), "old")
+    links = size.select("frame", "region").join(old, ["frame", "region"], "left").select(run, "frame", ts("frame").alias("ts"), F.col("region").cast("long").alias("region"), "old")
     store, checkpoint = _place(spark, "t4")
-    links.coalesce(1).sortWithinPartitions("frame", "region").write.parquet(f"{store}-links")
+    # a series lies in one file, its frames in order
+    links.repartition("run").sortWithinPartitions("run", "frame", "region").write.parquet(f"{store}-links")
     feed = jobs.read_feed(spark, f"{store}-links", links.schema)
     jobs.run_batches(jobs.track_stream(feed, 0.1, 168.0), checkpoint, lambda batch, n: batch.write.mode("append").parquet(store))
     return spark.read.parquet(store)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import tracks
 from ..plans.graph import cheapest_path
-from .base import query, read, rounded
+from .base import PIXELS, pixels, query, read, rounded
 from .grids import DA, LABEL, SPHERE, _region_px, _sphere
 
 
@@ -31,7 +31,7 @@ def j17_region_overlap(spark: SparkSession, d: str) -> DataFrame:
     px = _region_px(spark, d)
     a = px.select(F.col("frame").alias("frame_a"), F.col("region").alias("region_a"), "iy", "ix", "da")
     b = px.select(F.col("frame").alias("frame_b"), F.col("region").alias("region_b"), "iy", "ix", "da")
-    got = tracks.region_overlap(a, b).where("frame_b = frame_a + 1")
+    got = tracks.region_overlap(a.withColumn("later", F.col("frame_a") + 1), b.withColumn("later", F.col("frame_b")), by=["later"])
     return rounded(got, 8, "shared", "share_a", "share_b")
 
 
@@ -46,27 +46,27 @@ def j18_knn_label_probs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH o AS (SELECT l_orderkey AS region, l_returnflag AS label, CAST(l_linenumber AS DOUBLE) AS hours, l_discount * 10 AS sn, l_tax * 10 AS so FROM lineitem),
-  s AS (SELECT region, label, sum((sn + so) / 2 / (1 + hours)) / sum(1 / (1 + hours)) AS score FROM o GROUP BY 1, 2), b AS (SELECT region, max(round(score, 9)) AS score FROM s GROUP BY 1) SELECT region, round(score, 6) AS score, score > 0.5003 AS matched FROM b""")
+  s AS (SELECT region, label, sum((sn + so) / 2 / (1 + hours)) / sum(1 / (1 + hours)) AS score FROM o GROUP BY 1, 2), b AS (SELECT region, arg_min(label, (-round(score, 12), label)) AS label, max(score) AS score FROM s GROUP BY 1) SELECT region, CASE WHEN score > 0.5003 THEN label END AS label, round(score, 6) AS score FROM b""")
 def j20_match_regions(spark: SparkSession, d: str) -> DataFrame:
     o = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("region"), F.col("l_returnflag").alias("label"), F.col("l_linenumber").cast("double").alias("hours"), (F.col("l_discount") * 10).alias("share_new"), (F.col("l_tax") * 10).alias("share_old"))
     got = tracks.match_regions(o, 0.5003)
-    return got.select("region", F.round("score", 6).alias("score"), F.col("label").isNotNull().alias("matched"))
+    return got.select("region", "label", F.round("score", 6).alias("score"))
 
 
-@query("""WITH p AS (SELECT l_linenumber AS map_id, CAST(l_suppkey % 20 AS INTEGER) AS iy, CAST(l_partkey % 40 AS INTEGER) AS ix, arg_min(l_extendedprice, l_orderkey) AS br FROM lineitem GROUP BY 1, 2, 3)
-  SELECT t AS target_id, iy, ix, round(sum(CASE WHEN map_id = t THEN 0.75 * br WHEN map_id = t + 1 THEN 0.25 * br END), 4)::DOUBLE AS br FROM p, (SELECT unnest([1, 2, 3]) AS t) WHERE map_id IN (t, t + 1) GROUP BY 1, 2, 3""")
+@query(f"""WITH {PIXELS}, m AS (SELECT map_id, lead(map_id) OVER (ORDER BY map_id) AS nx FROM (SELECT DISTINCT map_id FROM px)),
+  u AS (SELECT map_id AS target_id, map_id, CASE WHEN nx - map_id <= 3 THEN 1 - 0.25::DOUBLE / (nx - map_id) ELSE 1 END AS w FROM m UNION ALL SELECT map_id, nx, 0.25::DOUBLE / (nx - map_id) FROM m WHERE nx - map_id <= 3)
+  SELECT target_id, iy, ix, round(sum(w * data), 4) AS br FROM u JOIN px USING (map_id) GROUP BY 1, 2, 3""")
 def j19_interp_maps(spark: SparkSession, d: str) -> DataFrame:
-    from .base import pixels
-
+    """Maps four hours a number apart; a target an hour after each."""
     px = pixels(spark, d)
-    hour = lambda c: F.timestamp_micros((F.col(c) * 14_400_000_000).cast("long")).cast("timestamp_ntz")
-    maps = px.select("map_id").distinct().select("map_id", hour("map_id").alias("ts"))
-    targets = spark.createDataFrame([(1, 1.25), (2, 2.25), (3, 3.25)], "target_id int, x double").select("target_id", hour("x").alias("ts"))
+    hour = lambda c: F.timestamp_micros((c * 14_400_000_000).cast("long")).cast("timestamp_ntz")
+    maps = px.select("map_id").distinct().select("map_id", hour(F.col("map_id")).alias("ts"))
+    targets = maps.select(F.col("map_id").alias("target_id"), hour(F.col("map_id") + 0.25).alias("ts"))
     return rounded(tracks.interp_maps(targets, maps, px.select("map_id", "iy", "ix", F.col("data").alias("br"))), 4, "br")
 
 
 def _tracked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    px = _region_px(spark, d).withColumn("run", F.lit(1).cast("long"))
+    px = _region_px(spark, d).withColumn("run", F.floor(F.col("frame") / 10))  # a series of maps is a run
     reg = px.select("run", "frame", "region").distinct().withColumn("ts", F.timestamp_micros(F.col("frame").cast("long") * 7_200_000_000).cast("timestamp_ntz"))
     return tracks.track(reg, px.select("run", "frame", "region", "iy", "ix", "da"), 0.1), px
 
@@ -79,7 +79,7 @@ def i5_track(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def i6_connect(spark: SparkSession, d: str) -> DataFrame:
     t, px = _tracked(spark, d)
-    return tracks.connect(t, px.select("frame", "region", "iy", "ix", "da"), 0.05)
+    return tracks.connect(t, px.select("frame", "region", "iy", "ix", "da"), 0.05, by=["run"])
 
 
 @query(f"""WITH {GRAPH} SELECT min(node) AS component, round(sum(area) / count(DISTINCT frame), 5) AS mean_area, count(*) AS n_nodes FROM nod GROUP BY user_id""")
@@ -113,17 +113,21 @@ def i8_cheapest_path(spark: SparkSession, d: str) -> DataFrame:
     return cheapest_path(edges, nodes, str(first.a), goal.v if goal else str(first.a))
 
 
-@query(f"""WITH {GRAPH}, p AS (SELECT node FROM nod WHERE CAST(node AS BIGINT) % 500 = 1), n AS (SELECT v AS node FROM edg WHERE weight >= 0.9 AND u IN (SELECT node FROM p) UNION SELECT u FROM edg WHERE weight >= 0.9 AND v IN (SELECT node FROM p) UNION SELECT node FROM p),
-  i AS (SELECT DISTINCT id, user_id FROM nod WHERE node IN (SELECT node FROM n)) SELECT count(*) AS n_nodes FROM nod WHERE id IN (SELECT id FROM i)""")
+@query(f"""WITH {GRAPH}, p AS (SELECT node FROM nod WHERE area >= 300), n AS (SELECT v AS node FROM edg WHERE weight >= 0.6 AND u IN (SELECT node FROM p) UNION SELECT u FROM edg WHERE weight >= 0.6 AND v IN (SELECT node FROM p) UNION SELECT node FROM p),
+  wide AS (SELECT node FROM nod WHERE id IN (SELECT id FROM nod WHERE node IN (SELECT node FROM n)))
+  SELECT node AS u, NULL::VARCHAR AS v, NULL::DOUBLE AS weight FROM wide UNION ALL SELECT u, v, weight FROM edg WHERE u IN (SELECT node FROM wide) AND v IN (SELECT node FROM wide)""")
 def i9_expand_path(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes (v and weight null) and edges around the largest nodes."""
     nodes, edges = _graph(spark, d)
-    wide, _ = tracks.expand_path(nodes.where(F.col("node").cast("long") % 500 == 1), edges, nodes, 0.9)
-    return wide.agg(F.count("*").alias("n_nodes"))
+    return _nodes_and_edges(*tracks.expand_path(nodes.where("area >= 300"), edges, nodes, 0.6))
 
 
 @query()
 def i9_expand_cheapest_path(spark: SparkSession, d: str) -> DataFrame:
     """Nodes (v and weight null) and edges around the path of i8."""
     nodes, edges = _graph(spark, d)
-    wide, inside = tracks.expand_path(i8_cheapest_path(spark, d), edges, nodes, 0.9)
-    return wide.select(F.col("node").alias("u"), F.lit(None).cast("string").alias("v"), F.lit(None).cast("double").alias("weight")).unionByName(inside)
+    return _nodes_and_edges(*tracks.expand_path(i8_cheapest_path(spark, d), edges, nodes, 0.9))
+
+
+def _nodes_and_edges(wide: DataFrame, inside: DataFrame) -> DataFrame:
+    return wide.select(F.col("node").alias("u"), F.lit(None).cast("string").alias("v"), F.lit(None).cast("double").alias("weight")).unionByName(inside.select("u", "v", "weight"))

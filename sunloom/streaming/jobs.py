@@ -77,7 +77,7 @@ def update_maps(new_images: DataFrame, path: str, checkpoint: str, build: Callab
 
 
 #: State of a run: when each recent frame was, and the ids of its regions; all within the window.
-STATE = "last long, frames array<int>, times array<timestamp>, regions array<array<long>>, ids array<array<long>>"
+STATE = "last long, frames array<bigint>, times array<timestamp>, regions array<array<long>>, ids array<array<long>>"
 
 
 def track_stream(links: DataFrame, thr: float, window_hours: float, weight: str = "proximity") -> DataFrame:
