@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.photometry import LIMB_MODELS, limb_factors
 from ..functions.times import DAY, micros
 from ..plans.asof import bucketed_range_join
+from ..plans.tables import dropped, table
 
 
 def hist_to_bins(hists: DataFrame, key: str = "hist_id", counts: str = "hist", n_int: str = "n_intensity_bins") -> DataFrame:
@@ -121,29 +122,53 @@ def score_candidates(bins: DataFrame, ref: DataFrame, cands: DataFrame, edges: S
     return out.select(*by, "cand_id", "slope", "shift", F.coalesce("__bad", "sse").alias("sse"))
 
 
-def fit_linear(bins: DataFrame, ref: DataFrame, edges: Sequence[float], by: Sequence[str], rounds: int = 4, points: int = 5, spread=(0.3, 0.3), index: str = "i_int", n: str = "share") -> DataFrame:
-    """Slope and shift that bring each group's histogram closest to the reference.
+def _search(bins: DataFrame, start: DataFrame, ref: DataFrame, edges: Sequence[float], by: Sequence[str], ref_by: Sequence[str], spread: tuple[float, float], within: float, index: str, n: str) -> DataFrame:
+    """Slope and shift of the least squared distance to the reference: by, slope, shift, sse.
 
-    A grid of candidates around (ratio and offset of the peaks), shrunk around the best one each round; all groups at
-    once. Returns by, slope, shift, sse.
+    start: by, ref_by, __c (where the group's peak is), __s0 (first slope), __p0 (where the peak should come); ref:
+    ref_by, index, __ref. Each round tries 25 pairs of slope and peak place around the best one of all groups at once and
+    shrinks them, until they stand closer than `within`. A round is a written table, so none is computed twice.
     """
-    lo, m = float(edges[0]), len(edges) - 1
-    step = (float(edges[-1]) - lo) / m
-    peak = ref.agg(F.max_by(index, F.struct(n, -F.col(index))).alias("__ip"))  # one row
-    start = bins.groupBy(*by).agg(F.max_by(index, F.struct(n, -F.col(index))).alias("__i")).crossJoin(F.broadcast(peak))
-    at = start.select(*by, F.lit(1.0).alias("__s0"), ((F.col("__ip") - F.col("__i")) * step).alias("__y0"))
-    grid = bins.sparkSession.range(points * points).select(F.col("id").alias("cand_id"), (F.floor(F.col("id") / points) / (points - 1) * 2 - 1).alias("__u"), ((F.col("id") % points) / (points - 1) * 2 - 1).alias("__v"))
-    ref_bins = F.broadcast(ref.select(index, F.col(n).alias("__ref")))  # one histogram
-    best = at.withColumn("__sse", F.lit(None).cast("double"))
-    for k in range(rounds):
-        size = 0.4**k
-        tried = best.crossJoin(F.broadcast(grid)).select(*by, "cand_id", (F.col("__s0") + F.col("__u") * spread[0] * size).alias("slope"), (F.col("__y0") + F.col("__v") * spread[1] * size).alias("shift"))
-        moved = hist_linear(bins.join(tried, list(by)), edges, F.col("slope"), F.col("shift"), [*by, "cand_id", "slope", "shift"], index, n)
-        full = tried.crossJoin(ref_bins).join(moved.select(*by, "cand_id", index, n), [*by, "cand_id", index], "left")
-        sse = full.groupBy(*by, "cand_id", "slope", "shift").agg(F.sum(F.pow(F.coalesce(n, F.lit(0.0)) - F.col("__ref"), 2)).alias("sse"))
-        best = sse.groupBy(*by).agg(F.min_by(F.struct("slope", "shift", "sse"), F.struct(F.round("sse", 12), "cand_id")).alias("b"))
-        best = best.select(*by, F.col("b.slope").alias("__s0"), F.col("b.shift").alias("__y0"), F.col("b.sse").alias("__sse"))
-    return best.select(*by, F.col("__s0").alias("slope"), F.col("__y0").alias("shift"), F.col("__sse").alias("sse"))
+    u, v = (F.floor(F.col("id") / 5) / 2 - 1).alias("__u"), ((F.col("id") % 5) / 2 - 1).alias("__v")
+    grid = F.broadcast(bins.sparkSession.range(25).select(F.col("id").alias("cand_id"), u, v))
+    keys = [*by, *ref_by, "__c"]
+    best, size = table(start.select(*keys, "__s0", "__p0", F.lit(None).cast("double").alias("__sse")), "fit"), 1.0
+    while size == 1.0 or max(spread) * size * 1.25 >= within:
+        slope = F.greatest(F.col("__s0") + F.col("__u") * spread[0] * size, F.lit(0.01))
+        tried = best.crossJoin(grid).select(*keys, "cand_id", slope.alias("slope"), (F.col("__p0") + F.col("__v") * spread[1] * size).alias("place"))
+        tried = tried.withColumn("shift", F.col("place") - F.col("slope") * F.col("__c"))
+        moved = hist_linear(bins.join(tried.select(*by, "cand_id", "slope", "shift"), list(by)), edges, F.col("slope"), F.col("shift"), [*by, "cand_id"], index, n)
+        full = tried.join(ref, list(ref_by)) if ref_by else tried.crossJoin(F.broadcast(ref))  # without ref_by, one histogram
+        full = full.join(moved, [*by, "cand_id", index], "left")
+        sse = full.groupBy(*keys, "cand_id", "slope", "place").agg(F.sum(F.pow(F.coalesce(n, F.lit(0.0)) - F.col("__ref"), 2)).alias("sse"))
+        least = sse.groupBy(*keys).agg(F.min_by(F.struct("slope", "place", "sse"), F.struct(F.round("sse", 15), "cand_id")).alias("b"))
+        old, best = best, table(least.select(*keys, F.col("b.slope").alias("__s0"), F.col("b.place").alias("__p0"), F.col("b.sse").alias("__sse")), "fit")
+        dropped(old)
+        size *= 0.4
+    return best.select(*by, F.col("__s0").alias("slope"), (F.col("__p0") - F.col("__s0") * F.col("__c")).alias("shift"), F.col("__sse").alias("sse"))
+
+
+def _peak(bins: DataFrame, by: Sequence[str], index: str, n: str, name: str) -> DataFrame:
+    """Bin (name_i) and height (name_n) of each histogram's peak, the first of equals."""
+    return bins.groupBy(*by).agg(F.max_by(index, F.struct(n, -F.col(index))).alias(f"{name}_i"), F.max(n).alias(f"{name}_n"))
+
+
+def _start(edges: Sequence[float]) -> list[Column]:
+    """From own and reference peaks: place, first slope (a histogram drawn wider by a slope is as much lower), target."""
+    lo, step = float(edges[0]), (float(edges[-1]) - float(edges[0])) / (len(edges) - 1)
+    ratio = F.when((F.col("__own_n") > 0) & (F.col("__to_n") > 0), F.col("__own_n") / F.col("__to_n"))
+    s0 = F.coalesce(F.greatest(F.least(ratio, F.lit(4.0)), F.lit(0.25)), F.lit(1.0))
+    centre = lambda i: F.lit(lo) + (F.col(i) + 0.5) * step
+    return [centre("__own_i").alias("__c"), s0.alias("__s0"), centre("__to_i").alias("__p0")]
+
+
+def fit_linear(bins: DataFrame, ref: DataFrame, edges: Sequence[float], by: Sequence[str], spread: tuple[float, float] = (0.4, 0.3), within: float = 1e-4, index: str = "i_int", n: str = "share") -> DataFrame:
+    """Slope and shift that bring each group's histogram closest to the reference (A9): by, slope, shift, sse.
+
+    The search starts at the ratio and the offset of the peaks and ends when candidates are less than `within` apart.
+    """
+    peaks = _peak(bins, by, index, n, "__own").crossJoin(F.broadcast(_peak(ref, [], index, n, "__to")))  # one row
+    return _search(bins, peaks.select(*by, *_start(edges)), ref.select(index, F.col(n).alias("__ref")), edges, by, [], spread, within, index, n)
 
 
 def solve_normal(df: DataFrame, by: Sequence[str], y: Column, xs: Sequence[Column]) -> DataFrame:
@@ -212,29 +237,20 @@ def window_moments(bins: DataFrame, centers: DataFrame, days: float, centre: Col
     return out.join(params.select(*by, "alpha", "x"), list(by), "left").select(*by, "center", "mean", "std", scaled.alias("scaled_mean"), (scaled - F.col("mean")).alias("mean_shift"))
 
 
-def fit_scaling(bins: DataFrame, centers: DataFrame, reference: str, edges: Sequence[float], days: float = 180, date: str = "date_obs", base: DataFrame | None = None) -> DataFrame:
+def fit_scaling(bins: DataFrame, centers: DataFrame, reference: str, edges: Sequence[float], days: float = 180, date: str = "date_obs", base: DataFrame | None = None, within: float = 1e-4) -> DataFrame:
     """alpha and x of every instrument and centre: (1, 0), or base's (center, alpha, x), for the reference; the others
     fitted to the reference's window, or to its first one where the centre comes before its first (A33, A34)."""
-    sums = normalize(window_hist(bins, centers, days, date), ["instrument", "center"])
-    ref = sums.where(F.col("instrument") == reference).select("center", "i_int", F.col("share").alias("__ref"))
-    first = ref.agg(F.min("center").alias("__first"))
-    others = sums.where(F.col("instrument") != reference).crossJoin(F.broadcast(first)).withColumn("__use", F.greatest("center", "__first"))
-    lo, step = float(edges[0]), (float(edges[-1]) - float(edges[0])) / (len(edges) - 1)
     by = ["instrument", "center"]
-    at = others.groupBy(*by, "__use").agg(F.max_by("i_int", F.struct("share", -F.col("i_int"))).alias("__i"))
-    peak = ref.groupBy(F.col("center").alias("__use")).agg(F.max_by("i_int", F.struct("__ref", -F.col("i_int"))).alias("__ip"))
-    best = at.join(peak, "__use").select(*by, "__use", F.lit(1.0).alias("__s0"), ((F.col("__ip") - F.col("__i")) * step).alias("__y0"))
-    grid = bins.sparkSession.range(25).select(F.col("id").alias("cand_id"), (F.floor(F.col("id") / 5) / 2 - 1).alias("__u"), ((F.col("id") % 5) / 2 - 1).alias("__v"))
-    want = ref.select(F.col("center").alias("__use"), "i_int", "__ref")
-    for k in range(3):
-        tried = best.crossJoin(F.broadcast(grid)).select(*by, "__use", "cand_id", (F.col("__s0") + F.col("__u") * 0.3 * 0.4**k).alias("slope"), (F.col("__y0") + F.col("__v") * 0.3 * 0.4**k).alias("shift"))
-        moved = hist_linear(others.select(*by, "i_int", "share").join(tried, by), edges, F.col("slope"), F.col("shift"), [*by, "cand_id"], "i_int", "share")
-        full = tried.join(want, "__use").join(moved, [*by, "cand_id", "i_int"], "left")
-        sse = full.groupBy(*by, "__use", "cand_id", "slope", "shift").agg(F.sum(F.pow(F.coalesce("share", F.lit(0.0)) - F.col("__ref"), 2)).alias("sse"))
-        best = sse.groupBy(*by, "__use").agg(F.min_by(F.struct("slope", "shift"), F.struct(F.round("sse", 12), "cand_id")).alias("b")).select(*by, "__use", F.col("b.slope").alias("__s0"), F.col("b.shift").alias("__y0"))
-    own = sums.where(F.col("instrument") == reference).select(*by).distinct()
-    own = own.withColumns({"alpha": F.lit(1.0), "x": F.lit(0.0)}) if base is None else own.join(base.select("center", "alpha", "x"), "center").select(*by, "alpha", "x")
-    return own.unionByName(best.select(*by, F.col("__s0").alias("alpha"), F.col("__y0").alias("x")))
+    sums = table(normalize(window_hist(bins, centers, days, date), by), "windows")
+    ref = sums.where(F.col("instrument") == reference).select(F.col("center").alias("__use"), "i_int", F.col("share").alias("__ref"))
+    first = ref.agg(F.min("__use").alias("__first"))  # one row
+    others = sums.where(F.col("instrument") != reference)
+    own = _peak(others, by, "i_int", "share", "__own").crossJoin(F.broadcast(first)).withColumn("__use", F.greatest("center", "__first"))
+    start = own.join(_peak(ref, ["__use"], "i_int", "__ref", "__to"), "__use").select(*by, "__use", *_start(edges))
+    best = _search(others.select(*by, "i_int", "share"), start, ref, edges, by, ["__use"], (0.4, 0.3), within, "i_int", "share")
+    same = sums.where(F.col("instrument") == reference).select(*by).distinct()
+    same = same.withColumns({"alpha": F.lit(1.0), "x": F.lit(0.0)}) if base is None else same.join(base.select("center", "alpha", "x"), "center").select(*by, "alpha", "x")
+    return same.unionByName(best.select(*by, F.col("slope").alias("alpha"), F.col("shift").alias("x")))
 
 
 def regress(df: DataFrame, y: str, x: str, by: Sequence[str], intercept: float | None = None) -> DataFrame:

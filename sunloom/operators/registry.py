@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -106,6 +107,18 @@ def orphan_combos(combos: DataFrame, *users: DataFrame) -> DataFrame:
     return combos.select("combo_id").join(used.distinct(), "combo_id", "left_anti")
 
 
+def drop_combos(combo_ids: DataFrame, tables: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The tables (sets, links, values) without the rows of some image sets, and name, n_dropped, n_kept of each (S11,
+    S14). Rows without a combo_id stay."""
+    gone = combo_ids.select("combo_id").distinct()
+    kept = {name: df.join(gone, "combo_id", "left_anti").select(df.columns) for name, df in tables.items()}
+    told = []
+    for name, df in tables.items():
+        hit = df.select("combo_id").join(gone.withColumn("__x", F.lit(True)), "combo_id", "left")
+        told.append(hit.agg(F.lit(name).alias("name"), F.count("__x").alias("n_dropped"), F.count_if(F.col("__x").isNull()).alias("n_kept")))
+    return kept, reduce(DataFrame.unionByName, told)
+
+
 def store_params(store: DataFrame, fits: DataFrame, variables: DataFrame, params: Sequence[str]) -> DataFrame:
     """The parameter table with fitted values, one row per set, method and variable; values already there change.
 
@@ -139,6 +152,18 @@ def set_map_methods(maps: DataFrame, map_vars: DataFrame, map_ids: DataFrame, me
     return out, map_vars.join(new_vars, key, "left_anti").select(map_vars.columns).unionByName(new_vars.select(map_vars.columns))
 
 
-def export_training(images: DataFrame, masks: DataFrame, path: str, keys: Sequence[str] = ("data_id", "iy", "ix")) -> None:
-    """Image and mask pixels side by side as Parquet, by instrument."""
-    images.join(masks.select(*keys, F.col("hole").alias("mask")), list(keys)).write.mode("overwrite").partitionBy("instrument").parquet(path)
+def training_pixels(images: DataFrame, masks: DataFrame, scaling: DataFrame, keys: Sequence[str] = ("data_id", "iy", "ix")) -> DataFrame:
+    """Scaled image and mask pixels side by side (S17): keys, instrument, ts, value, mask.
+
+    images: keys, instrument, ts, value (log intensity); masks: keys, hole; scaling: instrument, alpha, x, a table of
+    parameters; an instrument without them stays as it is.
+    """
+    par = F.broadcast(scaling.select("instrument", "alpha", "x"))  # one row an instrument
+    got = images.join(masks.select(*keys, F.col("hole").alias("mask")), list(keys)).join(par, "instrument", "left")
+    value = F.coalesce(F.col("alpha") * F.col("value") + F.col("x"), F.col("value"))
+    return got.select(*keys, "instrument", "ts", value.alias("value"), "mask")
+
+
+def export_training(pixels: DataFrame, path: str, time: str = "ts") -> None:
+    """Training pixels as Parquet by instrument and day; days written again replace theirs."""
+    pixels.withColumn("day", F.to_date(time)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("instrument", "day").parquet(path)

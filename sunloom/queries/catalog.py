@@ -314,6 +314,14 @@ def s11_orphan_combos(spark: SparkSession, d: str) -> DataFrame:
     return reg.orphan_combos(read(spark, d, "orders").select(F.col("o_orderkey").alias("combo_id")), li.where("l_quantity > 40"), li.where("l_discount > 0.08"))
 
 
+@query("""WITH gone AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 40 UNION SELECT l_orderkey FROM lineitem WHERE l_discount > 0.08))
+  SELECT 'sets' AS name, count(k) AS n_dropped, count(*) - count(k) AS n_kept FROM orders LEFT JOIN gone ON o_orderkey = k
+  UNION ALL SELECT 'links', count(k), count(*) - count(k) FROM lineitem LEFT JOIN gone ON l_orderkey = k""")
+def s11_drop_orphans(spark: SparkSession, d: str) -> DataFrame:
+    sets, links = read(spark, d, "orders").select(F.col("o_orderkey").alias("combo_id")), read(spark, d, "lineitem").withColumn("combo_id", F.col("l_orderkey"))
+    return reg.drop_combos(s11_orphan_combos(spark, d), {"sets": sets, "links": links})[1]
+
+
 @query(f"""WITH {MONTHLY}, f AS (SELECT supp AS combo_id, round(avg(q), 6) AS q, round(avg(d), 6) AS d FROM par GROUP BY 1)
   SELECT combo_id, 1 AS meth_id, 1 AS var_id, q AS var_val FROM f UNION ALL SELECT combo_id, 1, 2, d FROM f UNION ALL SELECT combo_id, 1, 3, 0.5 FROM f WHERE combo_id % 2 = 0""")
 def s12_store_params(spark: SparkSession, d: str) -> DataFrame:
@@ -330,6 +338,23 @@ def s14_trim_params(spark: SparkSession, d: str) -> DataFrame:
     return reg.trim_params(_combos(spark, d), img, 60)
 
 
+@query(f"""WITH {COMBOS}, e AS (SELECT l_returnflag AS instrument, min(l_shipdate) AS a, max(l_shipdate) AS z FROM lineitem GROUP BY 1),
+  gone AS (SELECT combo_id FROM com JOIN e USING (instrument) WHERE epoch_us(date_mean) < epoch_us(a) + 60 * 86400000000 OR epoch_us(date_mean) > epoch_us(z) - 60 * 86400000000)
+  SELECT l_orderkey AS combo_id, l_linenumber AS var_id, l_tax AS var_val FROM lineitem WHERE l_orderkey NOT IN (SELECT combo_id FROM gone)""")
+def s14_trim_values(spark: SparkSession, d: str) -> DataFrame:
+    values = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("combo_id"), F.col("l_linenumber").alias("var_id"), F.col("l_tax").alias("var_val"))
+    return reg.drop_combos(s14_trim_params(spark, d), {"values": values})[0]["values"]
+
+
+@query("""WITH p AS (SELECT l_orderkey AS data_id, l_linenumber AS iy, min(l_returnflag) AS instrument, min(l_shipdate) AS ts, min(l_discount) AS v, max(l_quantity) AS q FROM lineitem GROUP BY 1, 2)
+  SELECT data_id, iy, instrument, ts, q > 40 AS mask, round(CASE instrument WHEN 'A' THEN 1.1 * v + 0.02 WHEN 'N' THEN 0.9 * v - 0.01 ELSE v END, 9) AS value FROM p WHERE q > 10""")
+def s17_training_pixels(spark: SparkSession, d: str) -> DataFrame:
+    px = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("data_id"), F.col("l_linenumber").alias("iy")).agg(F.min("l_returnflag").alias("instrument"), F.min("l_shipdate").alias("ts"), F.min("l_discount").alias("value"), F.max("l_quantity").alias("q"))
+    masks = px.where("q > 10").select("data_id", "iy", F.expr("q > 40").alias("hole"))  # some pixels have no mask
+    scaling = spark.createDataFrame([("A", 1.1, 0.02), ("N", 0.9, -0.01)], "instrument string, alpha double, x double")
+    return rounded(reg.training_pixels(px, masks, scaling, ["data_id", "iy"]), 9, "value")
+
+
 @query("""WITH a AS (SELECT l_suppkey AS k, round(avg(l_quantity), 6) AS v FROM lineitem WHERE l_suppkey % 7 <> 0 GROUP BY 1), b AS (SELECT l_suppkey AS k, round(avg(CASE WHEN l_suppkey % 5 = 0 THEN l_tax ELSE l_quantity END), 6) AS v FROM lineitem WHERE l_suppkey % 11 <> 0 GROUP BY 1)
   SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'only_a' WHEN a.k IS NULL THEN 'only_b' ELSE 'differs' END AS difference FROM a FULL JOIN b ON a.k = b.k WHERE a.v IS DISTINCT FROM b.v""")
 def s15_diff_stores(spark: SparkSession, d: str) -> DataFrame:

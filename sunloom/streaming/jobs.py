@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -42,8 +43,8 @@ def update_histograms(images: DataFrame, store: str, checkpoint: str, value: str
         try:
             known = spark.read.parquet(store).where(F.col("batch") != number).select(by[0]).distinct()
             new = batch.join(known, by[0], "left_anti")
-        except Exception as e:  # the first batch finds no store
-            if "PATH_NOT_FOUND" not in str(e):
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # the first batch finds no store
                 raise
         _replace(hist.hist1d(new, list(by), F.col(value), edges).withColumnRenamed("i_y", "i_int"), store, number)
 

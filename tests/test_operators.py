@@ -203,11 +203,53 @@ def test_fit_finds_a_known_transform(spark):
     moved = np.exp(-(((c - 2.6) / 0.5) ** 2))
     bins = spark.createDataFrame([(1, i, float(b / moved.sum())) for i, b in enumerate(moved)], "g int, i_int int, share double")
     r = hist.fit_linear(bins, ref, edges, ["g"]).first()
-    assert r.sse < 1e-3 and abs(r.slope * 2.6 + r["shift"] - 3) < 0.1
+    assert r.sse < 1e-4 and abs(r.slope - 1) < 0.02 and abs(r.slope * 2.6 + r["shift"] - 3) < 0.01
     kept = hist.hist_linear(bins, edges, F.lit(0.5), F.lit(1.0), ["g"], n="share").agg(F.sum("share")).first()[0]
     assert abs(kept - 1) < 1e-9
 
 
+def test_fits_find_slope_and_shift(spark):
+    edges = [0.1 * k for k in range(61)]
+    c = np.arange(60) * 0.1 + 0.05
+    shape = np.exp(-(((c - 2) / 0.3) ** 2)) + 0.4 * np.exp(-(((c - 3.2) / 0.2) ** 2))
+    day = datetime(2020, 1, 1)
+    rows = [(name, day, i, float(round(b * 10_000))) for name in "AB" for i, b in enumerate(shape)]
+    raw = spark.createDataFrame(rows, "instrument string, date_obs timestamp, i_int int, n double")
+    own = hist.normalize(raw, ["instrument"])
+    for slope, shift in ((1.35, -0.3), (0.8, 0.5)):
+        want = hist.hist_linear(own.where("instrument = 'A'"), edges, F.lit(slope), F.lit(shift), ["instrument"], n="share")
+        want = hist.normalize(want.select("i_int", "share"), [], "share", "share")
+        for r in hist.fit_linear(own, want, edges, ["instrument"]).collect():
+            assert abs(r.slope - slope) < 2e-3 and abs(r["shift"] - shift) < 5e-3 and r.sse < 1e-6
+        moved = hist.hist_linear(raw.where("instrument = 'A'"), edges, F.lit(slope), F.lit(shift), ["date_obs"])
+        both = raw.where("instrument = 'B'").unionByName(moved.withColumn("instrument", F.lit("A")))
+        centers = spark.createDataFrame([(day,)], "center timestamp")
+        got = {r.instrument: (r.alpha, r.x) for r in hist.fit_scaling(both, centers, "A", edges).collect()}
+        assert got["A"] == (1.0, 0.0) and abs(got["B"][0] - slope) < 2e-3 and abs(got["B"][1] - shift) < 5e-3
+
+
+def test_fit_of_empty_and_flat_histograms(spark):
+    edges = [0.1 * k for k in range(11)]
+    ref = spark.createDataFrame([(i, 0.1) for i in range(10)], "i_int int, share double")
+    none = spark.createDataFrame([(1, i, 0.0) for i in range(10)], "g int, i_int int, share double")
+    assert hist.fit_linear(none.limit(0), ref, edges, ["g"]).count() == 0
+    assert hist.fit_linear(none, ref, edges, ["g"]).first().sse == pytest.approx(0.1)
+
+
+def test_training_export_replaces_days(spark, tmp_path):
+    from sunloom.operators import registry as reg
+
+    when = [datetime(2020, 1, 1), datetime(2020, 1, 2)]
+    px = spark.createDataFrame([(k, 0, 0, "AC"[k % 2], when[k // 2], 1.0) for k in range(4)], "data_id long, iy int, ix int, instrument string, ts timestamp, value double")
+    masks = spark.createDataFrame([(k, 0, 0, k == 1) for k in range(3)], "data_id long, iy int, ix int, hole boolean")
+    scaling = spark.createDataFrame([("A", 2.0, 0.5)], "instrument string, alpha double, x double")
+    got = reg.training_pixels(px, masks, scaling)
+    assert sorted((r.data_id, r.value, r.mask) for r in got.collect()) == [(0, 2.5, False), (1, 1.0, True), (2, 2.5, False)]
+    for part in (got, got.where("data_id = 0").withColumn("value", F.lit(9.0))):
+        reg.export_training(part, str(tmp_path / "t"))
+    assert sorted((r.data_id, r.value) for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [(0, 9.0), (1, 1.0), (2, 2.5)]
+
+
 def test_normal_equations(spark):
     df = pd.DataFrame({"g": 1, "a": np.arange(20.0), "b": np.arange(20.0) ** 2})
     df["y"] = 3 * df.a - 2 * df.b
