@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, classifier, jaccard, langid, packing, quality, sharding, syncmers, tokenfile, urls
+from . import bytebpe, classifier, jaccard, langid, packing, quality, sharding, simhash, spelling, syncmers, tokenfile, urls, whitening
 from .common import documents, shared_dir
 from .sql import ORACLE_SQL
 
@@ -69,6 +69,19 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_documents(documents(spark, sf_dir), jaccard.Join(3, 90))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.on_grid(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return whitening.whiten(rows, whitening.fit(rows, 16))
+
+
+def op12_simhash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.link_documents(documents(spark, sf_dir), simhash.Ring(3, 8))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -82,6 +95,9 @@ QUERIES = {
         op8_url_rules,
         op9_language_id,
         op10_jaccard_join,
+        op11_whitening,
+        op12_simhash_links,
+        op13_spelling_variants,
     )
 }
 
