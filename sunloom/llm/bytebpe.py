@@ -36,9 +36,10 @@ def byte_letters() -> list[str]:
 
 
 class ByteBpe:
-    """Encoder and decoder for one vocabulary file. Keeps the chunks of text last used, at most twice max_words."""
+    """Encoder and decoder for one vocabulary file. Keeps the chunks of text last used: at most twice max_words, of twice
+    max_chars; none over `longest` letters."""
 
-    def __init__(self, path: str, max_words: int = 700_000):
+    def __init__(self, path: str, max_words: int = 700_000, max_chars: int = 8_000_000, longest: int = 256):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -71,7 +72,7 @@ class ByteBpe:
         self._pre = regex.compile(PATTERN)
         self._chunk = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
         self._stop = re.compile("|".join(map(re.escape, self.special))) if self.special else None
-        self._max, self.exact = max_words, 0
+        self._max, self._max_chars, self._keep, self._chars, self.exact = max_words, max_chars, longest, 0, 0
         self._words: dict[str, tuple[bytes, bytes]] = {}
         self._chunks: dict[str, tuple[bytes, bytes]] = {}
         self._older: dict[str, tuple[bytes, bytes]] = {}
@@ -194,18 +195,26 @@ class ByteBpe:
             return [chunk[:-1], chunk[-1]]
         return self._pre.findall(chunk)
 
-    def _fill(self, new: list[str]) -> None:
+    def _fill(self, new: list[str]) -> dict[str, tuple[bytes, bytes]]:
+        """Remember new chunks; those over the longest to be kept are returned instead."""
         split = list(map(self._split, new))
         words = list({w for s in split for w in s}.difference(self._words))
         if words:
             self.learn(words)
         get = self._words.__getitem__
+        long: dict[str, tuple[bytes, bytes]] = {}
         for chunk, parts in zip(new, split, strict=True):
+            into = self._chunks if len(chunk) <= self._keep else long
             if len(parts) == 1:
-                self._chunks[chunk] = get(parts[0])
+                into[chunk] = get(parts[0])
             else:
                 found = list(map(get, parts))
-                self._chunks[chunk] = (b"".join([f[0] for f in found]), b"".join([f[1] for f in found]))
+                into[chunk] = (b"".join([f[0] for f in found]), b"".join([f[1] for f in found]))
+            self._chars += len(chunk) if into is self._chunks else 0
+        for w in words:
+            if len(w) > self._keep:
+                del self._words[w]
+        return long
 
     def encode_all(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bytes]]:
         """Per text the ids, and their decimals with a comma after each.
@@ -225,15 +234,18 @@ class ByteBpe:
 
     def _look_up(self, held: list[tuple[list[list[str]], list[str]]]) -> Iterator[tuple[np.ndarray, bytes]]:
         new = set().union(*(c for parts, _ in held for c in parts)).difference(self._chunks)
+        long: dict[str, tuple[bytes, bytes]] = {}
         if new:
-            if len(self._chunks) + len(new) > self._max:  # what the last span did not use goes
+            if len(self._chunks) + len(new) > self._max or self._chars > self._max_chars:  # what the last span did not use goes
                 self._older, self._words = self._chunks, {}
-                self._chunks = {}
+                self._chunks, self._chars = {}, 0
                 new = set().union(*(c for parts, _ in held for c in parts))
             again = new.intersection(self._older)
             self._chunks.update((c, self._older[c]) for c in again)
-            self._fill(list(new - again))
-        get = self._chunks.__getitem__
+            self._chars += sum(map(len, again))
+            long = self._fill(list(new - again))
+        short = self._chunks.__getitem__
+        get = (lambda c: long[c] if c in long else short(c)) if long else short
         for parts, stops in held:
             found: list[tuple[bytes, bytes]] = []
             for k, chunks in enumerate(parts):

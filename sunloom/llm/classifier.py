@@ -42,7 +42,11 @@ class _Hasher:
             known.clear()
         new = set(words).difference(known)
         known.update((w, zlib.crc32(w.lower().strip(b".,;:!?")) % self.words) for w in new)
-        return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+        out = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+        for w in new:
+            if len(w) > 64:  # memory is bounded by bytes
+                del known[w]
+        return out
 
 
 def structure(text: str, raw: bytes, words: list[bytes]) -> list[float]:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, crc_of_id, sized_broadcast, written
@@ -79,16 +79,21 @@ def fit(x: np.ndarray, y: list[str], shape: Shape) -> Model:
 
 
 def train(docs: DataFrame, shape: Shape = Shape()) -> Model:
-    """Fit on about per_language documents of each value of lang; all values are learnt.
+    """Fit on per_language documents at most of each value of lang; all values are learnt.
 
-    Only rows whose crc fold is not 2 and whose text and lang aren't null count; they are chosen by a hash of doc_id.
+    Only rows whose crc fold is not 2 and whose doc_id, text and lang aren't null count. A language's documents are those
+    with the least hashes of id and text; rows that repeat both count once.
     """
     spark = docs.sparkSession
-    ok = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (crc_of_id() % 4 != 2)).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
-    counts = written(ok.groupBy("lang").count(), "lang_counts")
-    languages, space = counts.count(), 1 << 30
-    cut = F.least(F.lit(1.0), shape.per_language / F.col("count")) * space
-    sample = ok.join(sized_broadcast(counts, languages, 100_000), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(space)) < cut).select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    ok = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (crc_of_id() % 4 != 2)).where("text IS NOT NULL").select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    space = 1 << 40
+    ok = ok.withColumn("draw", F.pmod(F.xxhash64("doc_id", "text"), F.lit(space)))
+    counts = written(ok.groupBy("lang").agg(F.count("*").alias("count"), F.min("draw").alias("first")), "lang_counts")
+    cut = F.greatest(F.col("first") + 1, F.least(F.lit(1.0), 1.5 * shape.per_language / F.col("count")) * space)  # some more than asked, one at least
+    sample = ok.join(sized_broadcast(counts, counts.count(), 100_000), "lang").where(F.col("draw") < cut).select("doc_id", "lang", "text", "draw")
+    sample = written(sample.dropDuplicates(["lang", "draw"]), "lang_sample")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    sample = sample.withColumn("place", place).where(F.col("place") <= shape.per_language)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,7 +102,7 @@ def train(docs: DataFrame, shape: Shape = Shape()) -> Model:
 
     bound_batches(spark)
     got = sample.select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(run, "doc_id long, lang string, bits binary")
-    got = got.orderBy("doc_id", "bits").limit(2 * shape.per_language * max(1, languages)).toArrow()
+    got = got.orderBy("doc_id", "bits").toArrow()  # per_language short rows a language
     bits = np.frombuffer(b"".join(got["bits"].to_pylist()), dtype=np.uint8).reshape(-1, shape.grams // 8)
     return fit(np.unpackbits(bits, axis=1).astype(np.float32), got["lang"].to_pylist(), shape)
 

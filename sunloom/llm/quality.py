@@ -54,8 +54,11 @@ def class_counts(raw: bytes) -> np.ndarray:
     return np.bincount(_CLASS, weights=np.bincount(np.frombuffer(raw, dtype=np.uint8), minlength=256), minlength=len(CLASSES))[:_USED]
 
 
-def jensen_shannon(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Distance (base 2, so 0 to 1) of each row of p to each row of q; rows sum to 1, or to 0 (distance 1)."""
+def jensen_shannon(p: np.ndarray, q: np.ndarray, beyond: np.ndarray | None = None) -> np.ndarray:
+    """Distance (base 2, so 0 to 1) of each row of p to each row of q; rows sum to 1, or to 0 (distance 1).
+
+    beyond: shares of p's rows in places that p's columns leave out, where q has none.
+    """
     p, q = p[:, None, :], q[None, :, :]
     m = (p + q) / 2
 
@@ -63,8 +66,9 @@ def jensen_shannon(p: np.ndarray, q: np.ndarray) -> np.ndarray:
         with np.errstate(divide="ignore", invalid="ignore"):
             return np.where(x > 0, x * np.log2(x / m), 0).sum(axis=2)
 
-    gone = (p.sum(axis=2) == 0) | (q.sum(axis=2) == 0)
-    return np.where(gone, 1.0, np.sqrt(np.clip((kl(p) + kl(q)) / 2, 0, 1)))
+    more = 0.0 if beyond is None else beyond[:, None]
+    gone = (p.sum(axis=2) + more == 0) | (q.sum(axis=2) == 0)
+    return np.where(gone, 1.0, np.sqrt(np.clip((kl(p) + kl(q) + more) / 2, 0, 1)))
 
 
 def repeats(words: list[bytes]) -> int:
@@ -169,15 +173,14 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules(), references: lis
     vocab = {w.encode(): k for k, w in enumerate(sorted({w for r in refs for w in r[2]}))}
     size = len(vocab) + 1
     ref_chars = np.array([r[1] for r in refs]).reshape(len(refs), _USED)
-    ref_words = np.zeros((len(refs), size))
-    for k, (_, _, shares) in enumerate(refs):
-        for w, v in shares.items():
-            ref_words[k, vocab[w.encode()]] = v
-        ref_words[k, -1] = max(0.0, 1 - ref_words[k].sum())
+    ref_words = []  # of each language the places of its words, and their shares; the last place is the rest
+    for _, _, shares in refs:
+        at = np.array([*(vocab[w.encode()] for w in shares), size - 1], dtype=np.int64)
+        ref_words.append((at, np.array([*shares.values(), max(0.0, 1 - sum(shares.values()))])))
 
     def table_of(texts: list[str | None]) -> list[pa.Array]:
         get, rest, n = vocab.get, size - 1, len(texts)
-        counts, chars, common = [], np.zeros((n, _USED)), np.zeros((n, size))
+        counts, chars, common = [], np.zeros((n, _USED)), np.zeros((n, size), np.int32)
         for i, text in enumerate(texts):
             text = text or ""
             raw = text.encode()
@@ -187,10 +190,19 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules(), references: lis
             common[i] = np.bincount(np.fromiter((get(w, rest) for w in words), dtype=np.int64, count=len(words)), minlength=size)
         table = np.array(counts, dtype=np.int64).reshape(n, 5)
         far = []
-        for seen, ref, least in ((chars, ref_chars, rules.min_chars), (common, ref_words, rules.min_words)):
+        for seen, of, least in ((chars, "chars", rules.min_chars), (common, "words", rules.min_words)):
             total = seen.sum(axis=1, keepdims=True)
             short = (total[:, 0] < least) | (len(refs) == 0)
-            far.append((jensen_shannon(seen / np.maximum(total, 1), ref).min(axis=1, initial=1.0), short))
+            near = np.ones(n)
+            for k in range(len(refs)):  # a language at a time, by its own words
+                if of == "chars":
+                    d = jensen_shannon(seen / np.maximum(total, 1), ref_chars[k : k + 1])[:, 0]
+                else:
+                    at, q = ref_words[k]
+                    p = seen[:, at] / np.maximum(total, 1)
+                    d = jensen_shannon(p, q[None, :], np.maximum(0.0, (total[:, 0] > 0) - p.sum(axis=1)))[:, 0]
+                near = np.minimum(near, d)
+            far.append((near, short))
         failed = (table[:, 0] < 50) | (100 * table[:, 4] > 50 * table[:, 0])
         odd = [(d > most) & ~short for (d, short), most in zip(far, (rules.char_distance, rules.word_distance), strict=True)]
         return [*(pa.array(table[:, k]) for k in range(5)), pa.array(failed), *(pa.array(d, mask=s) for d, s in far), pa.array(~(failed | odd[0] | odd[1]))]

@@ -57,7 +57,7 @@ def _quality_sql(rules: QualityRules) -> str:
 
 
 def _url_sql(mining: Mining) -> str:
-    """Fixed rules, then every combination of up to `longest` tokens of labelled urls with its support and confidence.
+    """Fixed rules, then every combination of tokens of labelled urls with its support and confidence.
 
     Rules that a shorter one makes needless are not pruned here, as they block nothing more.
     """
@@ -67,17 +67,14 @@ def _url_sql(mining: Mining) -> str:
         fits.append((f"WHEN ends_with('.' || host, '.{of}') AND starts_with(path, '/{start}') THEN", rule, kind))
     named = " ".join(f"{when} '{rule}'" for when, rule, _ in fits)
     verdict = " ".join(f"{when} '{kind}'" for when, _, kind in fits)
-    items = "h AS (SELECT page_id, unnest(items) AS item FROM u)"
-    sets = ["s1 AS (SELECT page_id, [item] AS s, item AS last FROM h)"]
-    sets += [f"s{k} AS (SELECT page_id, list_append(s, item) AS s, item AS last FROM s{k - 1} JOIN h USING (page_id) WHERE item > last)" for k in range(2, mining.longest + 1)]
-    every = " UNION ALL ".join(f"SELECT page_id, s FROM s{k}" for k in range(1, mining.longest + 1))
-    return rf"""WITH raw AS (SELECT page_id, coalesce(url, '') AS url FROM pages), cut AS (SELECT page_id, translate(regexp_extract(url, '(?s)\A.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(url, '(?s)\A.*?://([^/?#]*)([^?#]*)', 2) AS path FROM raw),
+    return rf"""WITH RECURSIVE raw AS (SELECT page_id, coalesce(url, '') AS url FROM pages), cut AS (SELECT page_id, translate(regexp_extract(url, '(?s)\A.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(url, '(?s)\A.*?://([^/?#]*)([^?#]*)', 2) AS path FROM raw),
   u AS (SELECT *, list_distinct(list_concat(list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'h:' || x), list_transform(list_filter(string_split(regexp_replace(path, '[0-9]+', '0', 'g'), '/'), lambda x: x <> ''), lambda x: 'p:' || x))) AS items FROM cut),
   known AS (SELECT doc_id, min(quality) = 0 AS bad FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1), lab AS (SELECT page_id, bad FROM u JOIN known ON doc_id = page_id WHERE len(items) > 0),
-  {items}, {", ".join(sets)}, every AS ({every}),
+  h AS (SELECT page_id, unnest(items) AS item FROM u),
+  every(page_id, s, last) AS (SELECT page_id, [item], item FROM h UNION ALL SELECT every.page_id, list_append(s, item), item FROM every JOIN h USING (page_id) WHERE item > last),
   rate AS (SELECT count(*)::DOUBLE AS total, count(*) FILTER (bad)::DOUBLE AS bad FROM lab),
   seen AS (SELECT s, count(*)::DOUBLE AS seen, count(*) FILTER (l.bad)::DOUBLE AS bad FROM every JOIN lab l USING (page_id) GROUP BY 1),
-  rules AS (SELECT s FROM seen, rate WHERE rate.bad > 0 AND seen.bad >= ceil(greatest({mining.bad_support}::DOUBLE, 2 / total) * total) AND seen.bad / seen >= {mining.confidence} AND seen.bad / seen >= {mining.lift}::DOUBLE * rate.bad / total AND seen >= {mining.support}::DOUBLE * total),
+  rules AS (SELECT s FROM seen, rate WHERE rate.bad > 0 AND seen.bad >= ceil(greatest({mining.bad_support}::DOUBLE, 2 / total) * total) AND seen.bad / seen >= {mining.confidence} AND seen.bad / seen >= {mining.odds}::DOUBLE * (rate.bad / total) / (1 - rate.bad / total + {mining.odds}::DOUBLE * (rate.bad / total)) AND seen >= {mining.support}::DOUBLE * total),
   mined AS (SELECT DISTINCT page_id FROM every SEMI JOIN rules USING (s))
   SELECT page_id, host, path, CASE {named} END AS rule, coalesce(CASE {verdict} END, CASE WHEN page_id IN (SELECT page_id FROM mined) THEN 'block' END, 'allow') AS verdict FROM u"""
 

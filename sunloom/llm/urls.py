@@ -26,13 +26,13 @@ RULES = (
 
 @dataclass(frozen=True)
 class Mining:
-    """Pruning of mined rules: shares of labelled urls, and how far above the base rate bad urls must be."""
+    """Pruning of mined rules: shares of labelled urls, the least confidence, and by how much the odds that a url is bad
+    must exceed those of all labelled urls."""
 
     support: float = 0.001
     bad_support: float = 0.0005
     confidence: float = 0.5
-    lift: float = 2.0
-    longest: int = 4
+    odds: float = 2.0
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -59,12 +59,17 @@ def tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(labels, F.transform(parts, lambda x: F.concat(F.lit("p:"), x))))
 
 
+def least_share(base: float, odds: float) -> float:
+    """The share of bad urls whose odds are so many times those of the base rate; 1 at most."""
+    return odds * base / (1 - base + odds * base)
+
+
 def mine_rules(labelled: DataFrame, mining: Mining = Mining()) -> DataFrame:
     """(items array<string>, rare string, confidence, bad long) of the rules `items -> bad`.
 
-    labelled: `items` and a boolean `bad`. FP-growth finds the frequent combinations; a rule stays if its support,
-    confidence and lift reach the limits and no rule with fewer of its items is as sure. rare is its rarest item.
-    The number of combinations is bounded by the support, not by the rows.
+    labelled: `items` and a boolean `bad`. FP-growth finds the frequent combinations, of any length; a rule stays if its
+    support, confidence and odds reach the limits and no rule with fewer of its items is as sure. rare is its rarest
+    item. The number of combinations is bounded by the support, not by the rows.
     """
     labelled = labelled.where(F.size("items") > 0).select(F.when(F.col("bad"), F.array_append("items", F.lit(_BAD))).otherwise(F.col("items")).alias("items"), "bad")
     total, bad = labelled.agg(F.count("*"), F.sum(F.col("bad").cast("long"))).first()
@@ -72,12 +77,12 @@ def mine_rules(labelled: DataFrame, mining: Mining = Mining()) -> DataFrame:
     if not bad:
         return spark.createDataFrame([], "items array<string>, rare string, confidence double, bad long")
     model = FPGrowth(itemsCol="items", minSupport=max(mining.bad_support, 2 / total), minConfidence=1.0).fit(labelled.select("items"))
-    found = written(model.freqItemsets.where(F.size("items") <= mining.longest + 1).select(F.array_sort("items").alias("items"), "freq"), "url_itemsets")
+    found = written(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"), "url_itemsets")
     plain = found.where(~F.array_contains("items", _BAD)).select("items", F.col("freq").alias("seen"))
     with_bad = found.where(F.array_contains("items", _BAD) & (F.size("items") > 1)).select(F.array_sort(F.array_remove("items", _BAD)).alias("items"), F.col("freq").alias("bad"))
     sure = F.col("bad") / F.col("seen")
     rules = with_bad.join(plain, "items").withColumn("confidence", sure)
-    rules = rules.where((sure >= mining.confidence) & (sure >= mining.lift * bad / total) & (F.col("seen") >= mining.support * total))
+    rules = rules.where((sure >= mining.confidence) & (sure >= least_share(bad / total, mining.odds)) & (F.col("seen") >= mining.support * total))
     one = plain.where(F.size("items") == 1).select(F.col("items")[0].alias("item"), F.col("seen").alias("n"))
     spread = rules.select("items", "confidence", F.explode("items").alias("item")).join(one, "item")
     rare = spread.groupBy("items").agg(F.min_by("item", F.struct("n", "item")).alias("rare"))
