@@ -237,13 +237,33 @@ def window_moments(bins: DataFrame, centers: DataFrame, days: float, centre: Col
     return out.join(params.select(*by, "alpha", "x"), list(by), "left").select(*by, "center", "mean", "std", scaled.alias("scaled_mean"), (scaled - F.col("mean")).alias("mean_shift"))
 
 
-def fit_scaling(bins: DataFrame, centers: DataFrame, reference: str, edges: Sequence[float], days: float = 180, date: str = "date_obs", base: DataFrame | None = None, within: float = 1e-4) -> DataFrame:
+def first_window(bins: DataFrame, centers: DataFrame, reference: str, days: float, date: str = "date_obs") -> DataFrame:
+    """One row, __first: the first centre within the dates whose window holds the reference."""
+    half = F.expr(f"INTERVAL {round(days * 43200)} SECOND")
+    own = bins.where((F.col("instrument") == reference) & (F.col("n") > 0)).agg(F.min(date).alias("__r"))
+    ends = bins.agg(F.min(date).alias("__a"), F.max(date).alias("__z")).crossJoin(own)  # one row
+    return centers.crossJoin(F.broadcast(ends)).where("center BETWEEN __a AND __z").where(F.col("center") + half >= F.col("__r")).agg(F.min("center").alias("__first"))
+
+
+def fit_scaling(bins: DataFrame, centers: DataFrame, reference: str, edges: Sequence[float], days: float = 180, date: str = "date_obs", base: DataFrame | None = None, within: float = 1e-4, first: DataFrame | None = None) -> DataFrame:
     """alpha and x of every instrument and centre: (1, 0), or base's (center, alpha, x), for the reference; the others
-    fitted to the reference's window, or to its first one where the centre comes before its first (A33, A34)."""
+    fitted to the reference's window, or to its first one where the centre comes before its first (A33, A34).
+
+    With base, the reference's histograms are scaled by its own coefficients before others are fitted to them. first: the
+    reference's first centre (first_window), where `centers` are not all.
+    """
     by = ["instrument", "center"]
-    sums = table(normalize(window_hist(bins, centers, days, date), by), "windows")
+    asked = centers.select("center")
+    first = first_window(bins, asked, reference, days, date) if first is None else first
+    every = asked.unionByName(first.select(F.col("__first").alias("center")).where("center IS NOT NULL")).distinct()
+    sums = window_hist(bins, every, days, date)
+    if base is not None:
+        own = sums.where(F.col("instrument") == reference).join(base.select("center", "alpha", "x"), "center")
+        moved = hist_linear(own.withColumn("n", F.col("n").cast("double")), edges, F.col("alpha"), F.col("x"), by)
+        sums = sums.where(F.col("instrument") != reference).withColumn("n", F.col("n").cast("double")).unionByName(moved.select(sums.columns))
+    sums = table(normalize(sums, by), "windows")
     ref = sums.where(F.col("instrument") == reference).select(F.col("center").alias("__use"), "i_int", F.col("share").alias("__ref"))
-    first = ref.agg(F.min("__use").alias("__first"))  # one row
+    sums = sums.join(asked.distinct(), "center", "left_semi")
     others = sums.where(F.col("instrument") != reference)
     own = _peak(others, by, "i_int", "share", "__own").crossJoin(F.broadcast(first)).withColumn("__use", F.greatest("center", "__first"))
     start = own.join(_peak(ref, ["__use"], "i_int", "__ref", "__to"), "__use").select(*by, "__use", *_start(edges))

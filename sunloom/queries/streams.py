@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.times import HOUR
-from ..operators import hist
+from ..operators import hist, selection
 from ..plans.tables import shared_dir
 from ..streaming import jobs
 from .base import query, read
@@ -26,12 +27,71 @@ def _place(spark: SparkSession, name: str) -> tuple[str, str]:
     return f"{base}/store", f"{base}/checkpoint"
 
 
+def _feed(spark: SparkSession, df: DataFrame, name: str, files: int, *cut: str) -> tuple[str, str, str]:
+    """A table cut into files by a hash: feed, store and checkpoint folders."""
+    store, checkpoint = _place(spark, name)
+    df.repartition(files, *cut).write.parquet(f"{store}-feed")
+    return f"{store}-feed", store, checkpoint
+
+
 @query(f"WITH {PX}, {_full('data_id')} SELECT * FROM hb")
 def t1_update_histograms(spark: SparkSession, d: str) -> DataFrame:
-    store, checkpoint = _place(spark, "t1")
-    px = _stream(spark, d, "lineitem").select(F.col("l_suppkey").alias("data_id"), hist.log_intensity(F.col("l_extendedprice")).alias("value"))
-    jobs.update_histograms(px, store, checkpoint, "value", Y_EDGES, ["data_id"])
-    return spark.read.parquet(store).select("data_id", "i_int", "n")
+    """The pixels of every image come in several files, a file a batch."""
+    px = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("data_id"), hist.log_intensity(F.col("l_extendedprice")).alias("value"), "l_orderkey")
+    feed, store, checkpoint = _feed(spark, px, "t1", 4, "l_orderkey")
+    jobs.update_histograms(jobs.read_feed(spark, feed, px.schema, 1), store, checkpoint, "value", Y_EDGES, ["data_id"])
+    return jobs.histograms(spark, store).select("data_id", "i_int", "n")
+
+
+MU = [0.1 + 0.09 * k for k in range(11)]
+
+
+def _image_px(spark: SparkSession, d: str) -> DataFrame:
+    """lineitem as pixels of images (instrument and month): mu from 0.1 to 1 by discount, log price as intensity."""
+    return read(spark, d, "lineitem").select(
+        F.col("l_returnflag").alias("instrument"), F.date_trunc("month", "l_shipdate").cast("timestamp_ntz").alias("date_obs"), (1.0 - 9 * F.col("l_discount")).alias("mu"),
+        (hist.log_intensity(F.col("l_extendedprice")) - 2).alias("value"), "l_orderkey",
+    )
+
+
+def _chain(spark: SparkSession, d: str, runs: int, step) -> None:
+    """The feed of image pixels arrives in parts that do not follow dates; step(store) runs after each."""
+    px = _image_px(spark, d)
+    store, checkpoint = _place(spark, "chain")
+    edges = [m - 0.045 for m in MU] + [MU[-1] + 0.045]
+    part = F.pmod(F.xxhash64("l_orderkey"), F.lit(runs))
+    for k in range(runs):
+        px.where(part == k).repartition(2, "l_orderkey").write.mode("append").parquet(f"{store}-feed")
+        jobs.update_histograms(jobs.read_feed(spark, f"{store}-feed", px.schema, 2), store, checkpoint, "value", LIMB_EDGES, ["instrument", "date_obs"], "mu", edges)
+        step(store)
+
+
+LIMB_EDGES = [0.1 * k for k in range(51)]
+
+
+@query()
+def t1_update_limb(spark: SparkSession, d: str) -> DataFrame:
+    """Histograms and then limb fits, after each of two parts of the feed; a centre a quarter."""
+    fits = _place(spark, "limb")[0]
+    centers = selection.weekly_centers(spark, datetime(1995, 1, 1), datetime(2002, 1, 1)).where("month(center) % 3 = 1 AND day(center) <= 7")
+    _chain(spark, d, 2, lambda store: jobs.update_limb(spark, store, fits, centers, LIMB_EDGES, MU, "power_log"))
+    found = jobs.coefficients(spark, fits)
+    return found.select("instrument", "center", "params", "sse", "rounds", "status")
+
+
+@query()
+def t2_update_fits(spark: SparkSession, d: str) -> DataFrame:
+    """Scaling coefficients after each of two parts of the feed, up to the last centre of the limb fits."""
+    limb, fits = _place(spark, "limb")[0], _place(spark, "scaling")[0]
+    centers = selection.weekly_centers(spark, datetime(1995, 1, 1), datetime(2002, 1, 1))
+    quarters = centers.where("month(center) % 3 = 1 AND day(center) <= 7 AND year(center) < 2001")
+
+    def step(store: str) -> None:
+        jobs.update_limb(spark, store, limb, quarters, LIMB_EDGES, MU, "power_log", max_rounds=8)
+        jobs.update_scaling(spark, store, fits, centers, "R", LIMB_EDGES, limit=limb)
+
+    _chain(spark, d, 2, step)
+    return jobs.coefficients(spark, fits).select("instrument", "center", "alpha", "x")
 
 
 @query("SELECT CAST(date_trunc('day', ts) AS DATE) AS map_date, event_type AS instrument, min(value) AS data, count(*) AS n FROM events GROUP BY 1, 2")
@@ -77,15 +137,25 @@ def t5_feed_counts(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(store).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
-@query()
-def t2_update_fits(spark: SparkSession, d: str) -> DataFrame:
-    """Scaling coefficients of the weeks after a first run that ended in 2001."""
-    from datetime import datetime
-
-    from ..operators import selection
-    from .hists import px
-
-    daily = px(spark, d).groupBy("instrument", "date_obs", hist.bin_of(hist.log_intensity(F.col("data")), Y_EDGES).alias("i_int")).agg(F.count("*").alias("n"))
-    done = spark.createDataFrame([(datetime(2001, 3, 1),)], "center timestamp_ntz")
-    centers = selection.weekly_centers(spark, datetime(1995, 1, 1), datetime(2002, 1, 1))
-    return jobs.update_fits(daily, done, centers, "R", Y_EDGES)
+@query("""WITH m AS (SELECT max(ts) - INTERVAL 2 HOUR AS w FROM events),
+  g AS (SELECT event_type AS key, ts, round((epoch_us(ts) - coalesce(lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts), epoch_us(TIMESTAMP '2024-01-01') - 1800000000)) / 1800000000::DOUBLE - 1) AS missing FROM events)
+  SELECT key, ts AS at, CAST(missing AS BIGINT) AS missing FROM g, m WHERE epoch_ms(ts) <= epoch_ms(w)""")
+def t5_feed_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Gaps before the observations that the watermark has passed; events come by day, a file each five days."""
+    events = read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    store, checkpoint = _place(spark, "t5g")
+    for k in range(7):
+        events.where(F.floor((F.dayofmonth("ts") - 1) / 5) == k).coalesce(1).write.mode("append").parquet(f"{store}-feed")
+    feed = jobs.read_feed(spark, f"{store}-feed", events.schema, 1)
+    jobs.run_batches(jobs.feed_gaps(feed, 0.5, datetime(2024, 1, 1), by="event_type"), checkpoint, lambda batch, n: batch.write.mode("append").parquet(store))
+    return spark.read.parquet(store).where("kind = 'final'").select("key", F.col("at").cast("timestamp_ntz").alias("at"), "missing")
+
+
+@query("""SELECT event_id, value < 60 OR (value > 400 AND ts < TIMESTAMP '2024-01-15') OR value = 0 AS bad FROM events""")
+def t5_feed_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Flags of images as their moments arrive."""
+    rules = spark.createDataFrame([("x", 60.0, 400.0, datetime(2024, 1, 15))], "instrument string, min_sum double, max_mean double, until timestamp_ntz")
+    store, checkpoint = _place(spark, "t5f")
+    feed = _stream(spark, d, "events").select("event_id", F.lit("x").alias("instrument"), F.col("ts").cast("timestamp_ntz").alias("date_obs"), F.col("value").alias("hist_sum"), F.col("value").alias("hist_mean"))
+    jobs.run_batches(jobs.feed_flags(feed, rules), checkpoint, lambda batch, n: batch.write.mode("append").parquet(store))
+    return spark.read.parquet(store).select("event_id", "bad")
