@@ -9,10 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import chord
+from ..functions.geometry import chord, to_cartesian
 from ..functions.times import HOUR, micros
 from ..plans.asof import asof_bracket
 from ..plans.graph import components
+from ..plans.tables import table
 
 
 def region_overlap(px_a: DataFrame, px_b: DataFrame, key_a: Sequence[str] = ("frame_a", "region_a"), key_b: Sequence[str] = ("frame_b", "region_b"), by: Sequence[str] = ()) -> DataFrame:
@@ -75,66 +76,150 @@ def match_regions(overlaps: DataFrame, thr: float = 0.0, weight: str = "proximit
 TRACKED = "run long, frame long, region long, id long, count int"
 
 
-def fold_tracks(regions: pd.DataFrame, overlaps: pd.DataFrame, thr: float, window_hours: float, weight: str, state: dict | None = None) -> pd.DataFrame:
-    """Ids of the regions of one run, frame by frame; state carries labels, times and the last id over calls."""
+def fold_tracks(regions: pd.DataFrame, overlaps: pd.DataFrame, thr: float, window_hours: float, weight: str, state: dict | None = None, near: pd.DataFrame | None = None, near_thr: float = 0.0, keep: float | None = None) -> pd.DataFrame:
+    """Ids of the regions of one run, frame by frame; state carries labels, times and the last id over calls.
+
+    A candidate's score is the mean overlap with all regions of the window that have its label, weighted by age or
+    proximity; one that does not overlap counts as 0. near: the nearest earlier regions, whose distances give candidates
+    their probabilities (J18); without it, labels that overlap are candidates.
+    """
     state = {} if state is None else state
     labels: dict = state.setdefault("labels", {})
     recent: deque = state.setdefault("recent", deque())
     state.setdefault("last", 0)
-    links = defaultdict(list)
+    links, close, held = defaultdict(list), defaultdict(list), defaultdict(list)
     for r in overlaps.itertuples(index=False):
         links[r.frame, r.region].append((r.old_frame, r.old_region, (r.share_new + r.share_old) / 2))
+    for r in near.itertuples(index=False) if near is not None else ():
+        close[r.frame, r.region].append((r.d, r.old_frame, r.old_region))
+    for f, t, rs in recent:
+        for r in rs:
+            held[labels[f, r]].append(t)
     out = []
     for (frame, ts), rows in regions.sort_values(["frame", "region"]).groupby(["frame", "ts"], sort=True):
         while recent and (ts - recent[0][1]).total_seconds() > window_hours * 3600:
             old = recent.popleft()
             for region in old[2]:
-                labels.pop((old[0], region), None)
+                held[labels.pop((old[0], region))].remove(old[1])
         times = {f: t for f, t, _ in recent}
+        weigh = {t: (a if weight == "age" else 1 / (1 + a)) for t in times.values() for a in [(ts - t).total_seconds() / 3600]}
         named, used = {}, defaultdict(int)
         for region in rows["region"].tolist():
-            score = defaultdict(lambda: [0.0, 0.0])
+            over = defaultdict(float)
             for f, r, share in links[frame, region]:
                 if (f, r) in labels and f in times:
-                    age = (ts - times[f]).total_seconds() / 3600
-                    w = age if weight == "age" else 1 / (1 + age)
-                    score[labels[f, r]][0] += w * share
-                    score[labels[f, r]][1] += w
-            best = max(((s / w, -i) for i, (s, w) in score.items() if w > 0), default=(0.0, 0))
+                    over[labels[f, r]] += weigh[times[f]] * share
+            chance: dict = {}
+            if near is not None:
+                seen = [(d, labels[f, r]) for d, f, r in close[frame, region] if (f, r) in labels]
+                exact = any(d == 0 for d, _ in seen)
+                for d, i in seen:
+                    chance[i] = chance.get(i, 0.0) + (float(d == 0) if exact else 1 / d)
+                total = sum(chance.values())
+                chance = {i: w / total for i, w in chance.items()}
+            score = {}
+            for i in [i for i, p in chance.items() if p > near_thr] if near is not None else over:
+                w = sum(weigh[t] for t in held[i])
+                if w > 0:
+                    score[i] = over.get(i, 0.0) / w
+            best = max(((round(s, 12), -i) for i, s in score.items()), default=(0.0, 0))
+            likely = max(((round(p, 12), -i) for i, p in chance.items()), default=(0.0, 0))
             if best[0] > thr:
                 named[region] = -best[1]
+            elif keep is not None and likely[0] >= keep:
+                named[region] = -likely[1]
             else:
                 state["last"] += 1
                 named[region] = state["last"]
         for region, i in named.items():
             labels[frame, region] = i
+            held[i].append(ts)
             out.append((int(rows["run"].iloc[0]), int(frame), int(region), int(i), used[i]))
             used[i] += 1
         recent.append((frame, ts, list(named)))
     return pd.DataFrame(out, columns=["run", "frame", "region", "id", "count"])
 
 
-def track(regions: DataFrame, region_px: DataFrame, thr: float = 0.0, window_hours: float = 168.0, weight: str = "proximity") -> DataFrame:
-    """Track ids (I5, W9): run, frame, region, id, count (how many regions of the frame had the id before).
+def window_overlaps(regions: DataFrame, region_px: DataFrame, window_hours: float) -> DataFrame:
+    """Shares of pixels with the regions of earlier frames within a window: run, frame, region, old_frame, old_region,
+    share_new, share_old.
 
-    regions: run, frame, ts, region; region_px: run, frame, region, iy, ix, da. Overlaps of all frame pairs in the
-    window are found in one job; only the fold of ids over them is sequential, one small row a pair, run by run.
+    regions: run, frame, ts; region_px: run, frame, region, iy, ix, da. Pixels meet by place and by stretches of time as
+    long as the window, so a pixel meets what lies at most two windows before, however long the run.
     """
+    width = max(1, round(window_hours * HOUR))
     times = regions.select("run", "frame", micros(F.col("ts")).alias("__t")).distinct()
-    px = region_px.join(times, ["run", "frame"])
+    px = region_px.join(times, ["run", "frame"]).withColumn("__b", F.floor(F.col("__t") / width))
     size = region_px.groupBy("run", "frame", "region").agg(F.sum("da").alias("size"))
-    new = px.select("run", "iy", "ix", "frame", "region", "da", "__t")
-    old = px.select("run", "iy", "ix", F.col("frame").alias("old_frame"), F.col("region").alias("old_region"), F.col("__t").alias("__o"))
-    near = new.join(old, ["run", "iy", "ix"]).where((F.col("__o") < F.col("__t")) & (F.col("__t") - F.col("__o") <= round(window_hours * HOUR)))
-    shared = near.groupBy("run", "frame", "region", "old_frame", "old_region").agg(F.sum("da").alias("shared"))
+    new = px.select("run", "iy", "ix", "__b", "frame", "region", "da", "__t")
+    old = px.select("run", "iy", "ix", F.explode(F.array("__b", F.col("__b") + 1)).alias("__b"), F.col("frame").alias("old_frame"), F.col("region").alias("old_region"), F.col("__t").alias("__o"))
+    met = new.join(old, ["run", "iy", "ix", "__b"]).where((F.col("__o") < F.col("__t")) & (F.col("__t") - F.col("__o") <= width))
+    shared = met.groupBy("run", "frame", "region", "old_frame", "old_region").agg(F.sum("da").alias("shared"))
     o = shared.join(size, ["run", "frame", "region"]).withColumnRenamed("size", "__n").join(size.toDF("run", "old_frame", "old_region", "__m"), ["run", "old_frame", "old_region"])
-    o = o.select("run", "frame", "region", "old_frame", "old_region", (F.col("shared") / F.col("__n")).alias("share_new"), (F.col("shared") / F.col("__m")).alias("share_old"))
+    return o.select("run", "frame", "region", "old_frame", "old_region", (F.col("shared") / F.col("__n")).alias("share_new"), (F.col("shared") / F.col("__m")).alias("share_old"))
+
 
-    def fold(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return fold_tracks(a, b, thr, window_hours, weight)
+def nearest_before(regions: DataFrame, k: int, window_hours: float, cell: float = 0.25) -> DataFrame:
+    """The k nearest regions of earlier frames within a window (all, if they are fewer): run, frame, region, old_frame,
+    old_region, d (chord). regions: run, frame, region, ts, theta, phi (J18's neighbours in I5).
 
-    rows = regions.select(F.col("run").cast("long"), F.col("frame").cast("long"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("region").cast("long"))
-    return rows.groupBy("run").cogroup(o.groupBy("run")).applyInPandas(fold, TRACKED)
+    Regions meet through cubes of the unit ball and stretches of time as long as the window. What has k within a cube's
+    width is done; the rest, less in every round, asks again with twice the width, and last among all in the window. Of
+    equal distances the least frame and region counts.
+    """
+    width = max(1, round(window_hours * HOUR))
+    x, y, z = to_cartesian(F.col("theta"), F.col("phi"))
+    w = Window.partitionBy("run").orderBy("__t").rangeBetween(-width, -1)
+    pts = regions.select("run", "frame", "region", micros(F.col("ts")).alias("__t"), x.alias("__x"), y.alias("__y"), z.alias("__z"))
+    pts = table(pts.withColumn("__want", F.least(F.lit(k), F.count("*").over(w))).withColumn("__b", F.floor(F.col("__t") / width)), "near_points")
+    todo, done = pts.where("__want > 0"), None
+    d = F.round(F.sqrt(F.pow(F.col("__x") - F.col("__u"), 2) + F.pow(F.col("__y") - F.col("__v"), 2) + F.pow(F.col("__z") - F.col("__w"), 2)), 12)
+    key = ["run", "frame", "region"]
+    while True:
+        cube = {f"__c{c}": F.floor(F.col(f"__{c}") / cell).cast("int") for c in "xyz"}
+        around = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("abc", (a, b, c), strict=True)]) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
+        ask = todo.withColumns(cube).withColumn("__o", F.explode(around))
+        ask = ask.select(*key, "__t", "__b", "__want", "__x", "__y", "__z", *[(F.col(f"__c{c}") + F.col(f"__o.{o}")).alias(f"__c{c}") for c, o in zip("xyz", "abc", strict=True)])
+        old = pts.withColumns(cube).select("run", F.explode(F.array("__b", F.col("__b") + 1)).alias("__b"), *cube, F.col("frame").alias("old_frame"), F.col("region").alias("old_region"), F.col("__t").alias("__s"), F.col("__x").alias("__u"), F.col("__y").alias("__v"), F.col("__z").alias("__w"))
+        met = ask.join(old, ["run", "__b", *cube]).where((F.col("__s") < F.col("__t")) & (F.col("__t") - F.col("__s") <= width)).withColumn("d", d)
+        met = met if cell >= 2 else met.where(F.col("d") <= cell)
+        rank = F.row_number().over(Window.partitionBy(*key).orderBy("d", "old_frame", "old_region"))
+        met = met.withColumn("__r", rank).where(F.col("__r") <= F.col("__want")).withColumn("__n", F.count("*").over(Window.partitionBy(*key)))
+        got = table(met.where(F.col("__n") == F.col("__want")).select(*key, "old_frame", "old_region", "d"), "near_found")
+        done = got if done is None else done.unionByName(got)
+        if cell >= 2:
+            return done
+        todo = table(todo.join(got.select(*key).distinct(), key, "left_anti"), "near_todo")
+        if todo.isEmpty():
+            return done
+        cell = min(2.0, cell * 2)
+
+
+def track(regions: DataFrame, region_px: DataFrame, thr: float = 0.0, window_hours: float = 168.0, weight: str = "proximity", k: int | None = None, near_thr: float = 0.0, keep: float | None = None) -> DataFrame:
+    """Track ids (I5, W9): run, frame, region, id, count (how many regions of the frame had the id before).
+
+    regions: run, frame, ts, region, and theta, phi of the centroid if k is given; region_px: run, frame, region, iy, ix,
+    da. A region takes the label of the best mean overlap over thr (J20), else a new one. k: candidates are the labels
+    whose probability among the k nearest earlier regions is over near_thr (J18); keep: without overlap, the likeliest
+    label stays if its probability is at least that, as of a region that left its old pixels. Overlaps and neighbours of
+    all frames are found in joins; only the fold of ids over them is sequential, one small row a pair, run by run.
+    """
+    kinds = [F.col(c).cast("long").alias(c) for c in ("run", "frame", "region")]
+    rows = regions.select(*kinds, F.col("ts").cast("timestamp_ntz").alias("ts"), F.lit(None).cast("long").alias("old_frame"), F.lit(None).cast("long").alias("old_region"), *[F.lit(None).cast("double").alias(c) for c in ("share_new", "share_old", "d")], F.lit(0).alias("what"))
+    old = [F.col("old_frame").cast("long").alias("old_frame"), F.col("old_region").cast("long").alias("old_region")]
+    none = lambda c, kind="double": F.lit(None).cast(kind).alias(c)
+    over = window_overlaps(regions, region_px, window_hours).select(*kinds, none("ts", "timestamp_ntz"), *old, "share_new", "share_old", none("d"), F.lit(1).alias("what"))
+    rows = rows.unionByName(over)
+    if k is not None:
+        rows = rows.unionByName(nearest_before(regions, k, window_hours).select(*kinds, none("ts", "timestamp_ntz"), *old, none("share_new"), none("share_old"), "d", F.lit(2).alias("what")))
+
+    def fold(df: pd.DataFrame) -> pd.DataFrame:
+        parts = [df[df["what"] == i] for i in range(3)]
+        if not len(parts[0]):
+            return pd.DataFrame([], columns=["run", "frame", "region", "id", "count"])
+        return fold_tracks(parts[0], parts[1], thr, window_hours, weight, None, parts[2] if k is not None else None, near_thr, keep)
+
+    return rows.groupBy("run").applyInPandas(fold, TRACKED)
 
 
 def connect(tracked: DataFrame, region_px: DataFrame, thr: float = 0.0, by: Sequence[str] = ()) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.times import HOUR
-from ..operators import hist, selection
+from ..operators import hist, selection, tracks
 from ..plans.tables import shared_dir
 from ..streaming import jobs
 from .base import query, read
@@ -114,10 +114,8 @@ def t4_track_stream(spark: SparkSession, d: str) -> DataFrame:
     ts = lambda c: F.timestamp_micros(F.col(c).cast("long") * 2 * HOUR)
     size = px.groupBy("frame", "region").agg(F.sum("da").alias("size"))
     run = F.floor(F.col("frame") / 10).alias("run")  # a series of maps
-    a, b = px.select(run, "frame", "region", "iy", "ix", "da"), px.select(run, F.col("frame").alias("of"), F.col("region").alias("oreg"), "iy", "ix")
-    shared = a.join(b, ["run", "iy", "ix"]).where("of < frame").groupBy("frame", "region", "of", "oreg").agg(F.sum("da").alias("s"))
-    both = shared.join(size, ["frame", "region"]).join(size.toDF("of", "oreg", "osize"), ["of", "oreg"])
-    old = both.groupBy("frame", "region").agg(F.collect_list(F.struct(F.col("of").alias("old_frame"), F.col("oreg").alias("old_region"), (F.col("s") / F.col("size")).alias("share_new"), (F.col("s") / F.col("osize")).alias("share_old"))).alias("old"))
+    over = tracks.window_overlaps(size.select(run, "frame", ts("frame").alias("ts")), px.select(run, "frame", "region", "iy", "ix", "da"), 168.0)
+    old = over.groupBy("frame", "region").agg(F.collect_list(F.struct("old_frame", "old_region", "share_new", "share_old")).alias("old"))
     links = size.select("frame", "region").join(old, ["frame", "region"], "left").select(run, "frame", ts("frame").alias("ts"), F.col("region").cast("long").alias("region"), "old")
     store, checkpoint = _place(spark, "t4")
     # a series lies in one file, its frames in order

@@ -172,11 +172,12 @@ def update_maps(new_images: DataFrame, path: str, checkpoint: str, build: Callab
 STATE = "last long, frames array<bigint>, times array<timestamp>, regions array<array<long>>, ids array<array<long>>"
 
 
-def track_stream(links: DataFrame, thr: float, window_hours: float, weight: str = "proximity") -> DataFrame:
+def track_stream(links: DataFrame, thr: float, window_hours: float, weight: str = "proximity", near_thr: float = 0.0, keep: float | None = None) -> DataFrame:
     """T4: track ids as frames arrive in order.
 
     links: run, frame, ts, region, and `old`: array of (old_frame, old_region, share_new, share_old), the overlaps with
-    earlier frames (J17), found before the stream or in the batch. Each run keeps the regions of its trailing window as
+    earlier frames (J17), and if it is there `near`: array of (old_frame, old_region, d), the nearest earlier regions
+    (J18), found before the stream or in the batch; thresholds as of track(). Each run keeps the regions of its trailing window as
     state and drops older ones; a run without news for the window's length ends.
     """
 
@@ -192,7 +193,10 @@ def track_stream(links: DataFrame, thr: float, window_hours: float, weight: str
         rows = pd.concat(list(pages), ignore_index=True)
         old = [(r.frame, r.region, o["old_frame"], o["old_region"], o["share_new"], o["share_old"]) for r in rows.itertuples(index=False) for o in (r.old if r.old is not None else ())]
         over = pd.DataFrame(old, columns=["frame", "region", "old_frame", "old_region", "share_new", "share_old"])
-        out = tracks.fold_tracks(rows.drop(columns="old"), over, thr, window_hours, weight, memory)
+        near = None
+        if "near" in rows.columns:
+            near = pd.DataFrame([(r.frame, r.region, o["old_frame"], o["old_region"], o["d"]) for r in rows.itertuples(index=False) for o in (r.near if r.near is not None else ())], columns=["frame", "region", "old_frame", "old_region", "d"])
+        out = tracks.fold_tracks(rows[["run", "frame", "ts", "region"]], over, thr, window_hours, weight, memory, near, near_thr, keep)
         recent, labels = list(memory["recent"]), memory["labels"]
         state.update((int(memory["last"]), [int(f) for f, _, _ in recent], [t.to_pydatetime() for _, t, _ in recent], [[int(r) for r in rs] for _, _, rs in recent], [[int(labels[f, r]) for r in rs] for f, _, rs in recent]))
         state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(recent[-1][1].timestamp() * 1000)) + int(window_hours * 3_600_000) + 1)
