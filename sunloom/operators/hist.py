@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.photometry import LIMB_MODELS, limb_factors
 from ..functions.times import DAY, micros
 from ..plans.asof import bucketed_range_join
+from ..plans.order import exact_quantiles
 from ..plans.tables import dropped, table
 
 
@@ -218,8 +219,9 @@ def hist_moments(bins: DataFrame, by: Sequence[str], centre: Column, index: str
     line = bins.select(*by, centre.alias("__c"), F.col(n).alias("__n"), run.alias("__run"))
     q = [F.min(F.when(F.col("__run") >= p, F.col("__c"))).alias(name) for p, name in ((0.5, "median"), (0.15, "q15"), (0.85, "q85"))]
     got = line.groupBy(*by).agg(F.sum("__n").alias("hist_sum"), (F.sum(F.col("__c") * F.col("__n")) / F.when(F.sum("__n") != 0, F.sum("__n"))).alias("hist_mean"), *q)
-    mid = got.agg(F.percentile("hist_mean", 0.5).alias("__mid"))  # one row
-    got = got.crossJoin(F.broadcast(mid)).withColumn("c70", F.col("q85") - F.col("q15"))
+    got = table(got, "moments")
+    mid = exact_quantiles(got, "hist_mean", [0.5]).select(F.col("quantiles")[0].alias("__mid"))  # one row
+    got = got.join(F.broadcast(mid), F.lit(True), "left").withColumn("c70", F.col("q85") - F.col("q15"))
     return got.withColumn("z", F.when(F.col("c70") != 0, (F.col("hist_mean") - F.col("__mid")) / F.col("c70"))).drop("__mid")
 
 
@@ -289,7 +291,9 @@ def subsample_cadence(df: DataFrame, k: int, by: Sequence[str], order: Sequence[
 def optimal_bins(px: DataFrame, col: str, n_from: int = 20, n_to: int = 700) -> DataFrame:
     """Freedman-Diaconis width, and the number of even bins with the least (2 mean - var) / width**2 of its counts, the
     first of equals (A31). One pass per value: it is counted in all binnings at once, pre-aggregated per task."""
-    stats = px.where(F.col(col).isNotNull()).agg(F.min(col).alias("lo"), F.max(col).alias("hi"), F.count("*").alias("n"), (F.percentile(col, 0.75) - F.percentile(col, 0.25)).alias("iqr"))
+    stats = px.where(F.col(col).isNotNull()).agg(F.min(col).alias("lo"), F.max(col).alias("hi"), F.count("*").alias("n"))
+    q = F.col("quantiles")
+    stats = stats.crossJoin(F.broadcast(exact_quantiles(px, col, [0.25, 0.75]).select((q[1] - q[0]).alias("iqr"))))  # one row
     v = px.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")).agg(F.count("*").alias("k")).crossJoin(F.broadcast(stats))
     v = v.withColumn("bins", F.explode(F.sequence(F.lit(n_from), F.lit(n_to - 1))))
     i = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("bins")), F.col("bins") - 1)

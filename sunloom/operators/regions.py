@@ -60,21 +60,62 @@ def grow_regions(px: DataFrame, t1: Column | float, t2: Column | float, nc: int
     return out.select(*[F.col(c) for c in px.columns], F.when(has, F.coalesce("__h", F.lit(0))).alias("hole"))
 
 
-def label_regions(mask: DataFrame, by: Sequence[str] = ("frame",)) -> DataFrame:
-    """mask's pixels (by, iy, ix) with `region`: the place (iy, ix) of the least run of their 8-connected region.
-
-    Rows are cut into runs of pixels, runs of neighbouring rows that touch are edges, and edges make components.
-    """
+def _row_runs(mask: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The pixels with __x0, where their run of neighbours in the row begins, and the runs (by, iy, __x0, __x1)."""
     row = Window.partitionBy(*by, "iy").orderBy("ix")
     px = mask.select(*by, "iy", "ix").distinct().withColumn("__g", F.col("ix") - F.row_number().over(row))
-    px = px.withColumn("__x0", F.min("ix").over(Window.partitionBy(*by, "iy", "__g")))
-    node = F.struct(*by, "iy", F.col("__x0").alias("x0"))
-    runs = px.groupBy(*by, "iy", "__x0").agg(F.max("ix").alias("__x1")).withColumn("__node", node)
+    px = px.withColumn("__x0", F.min("ix").over(Window.partitionBy(*by, "iy", "__g"))).drop("__g")
+    return px, px.groupBy(*by, "iy", "__x0").agg(F.max("ix").alias("__x1"))
+
+
+def _joined_runs(runs: DataFrame, by: Sequence[str], reach: int) -> DataFrame:
+    """(node, component) of runs that touch in neighbouring rows, at most `reach` columns aside: 1 for 8-connected
+    parts, 0 for 4-connected ones."""
+    runs = runs.withColumn("__node", F.struct(*by, "iy", F.col("__x0").alias("x0")))
     below = runs.select(*by, (F.col("iy") - 1).alias("iy"), F.col("__x0").alias("__y0"), F.col("__x1").alias("__y1"), F.col("__node").alias("__other"))
-    touch = runs.join(below, [*by, "iy"]).where("__x0 <= __y1 + 1 AND __y0 <= __x1 + 1")
+    touch = runs.join(below, [*by, "iy"]).where((F.col("__x0") <= F.col("__y1") + reach) & (F.col("__y0") <= F.col("__x1") + reach))
     edges = touch.select(F.col("__node").alias("u"), F.col("__other").alias("v")).unionByName(runs.select(F.col("__node").alias("u"), F.col("__node").alias("v")))
-    named = components(edges, "u", "v").select(*[F.col(f"node.{c}").alias(c) for c in by], F.col("node.iy").alias("iy"), F.col("node.x0").alias("__x0"), F.struct(F.col("component.iy").alias("iy"), F.col("component.x0").alias("ix")).alias("region"))
-    return px.drop("__g").join(named, [*by, "iy", "__x0"]).select(*by, "iy", "ix", "region")
+    return components(edges, "u", "v")
+
+
+def fill_holes(mask: DataFrame, n_rows: int, n_cols: int, by: Sequence[str] = ("frame",)) -> DataFrame:
+    """mask's pixels, and those that no border of the grid reaches without crossing the mask, with `filled`.
+
+    The background's 4-connected parts are labelled by runs, as many as the mask's and the rows; those without a run on
+    the border are filled, and so are all that lie in them: holes in holes, and regions there become part of the whole.
+    """
+    px, runs = _row_runs(mask.where(F.col("iy").between(0, n_rows - 1) & F.col("ix").between(0, n_cols - 1)), by)
+    row = Window.partitionBy(*by, "iy").orderBy("__x0")
+    gap = lambda a, b: F.struct(a.cast("int").alias("x0"), b.cast("int").alias("x1"))
+    before = F.coalesce(F.lag("__x1").over(row), F.lit(-1)) + 1
+    last = F.lead("__x0").over(row).isNull()
+    gaps = runs.withColumns({"__a": before, "__last": last})
+    parts = F.array(gap(F.col("__a"), F.col("__x0") - 1), gap(F.col("__x1") + 1, F.when(F.col("__last"), F.lit(n_cols - 1)).otherwise(-1)))
+    back = gaps.select(*by, F.col("iy").cast("int").alias("iy"), F.explode(parts).alias("g"))
+    empty = runs.select(*by).distinct().withColumn("iy", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1)))).join(runs.select(*by, F.col("iy").cast("int").alias("iy")).distinct(), [*by, "iy"], "left_anti")
+    back = back.unionByName(empty.select(*by, "iy", gap(F.lit(0), F.lit(n_cols - 1)).alias("g"))).where("g.x0 <= g.x1")
+    back = table(back.select(*by, "iy", F.col("g.x0").alias("__x0"), F.col("g.x1").alias("__x1")), "background")
+    at = _joined_runs(back, by, 0)
+    named = back.join(at.select(*[F.col(f"node.{c}").alias(c) for c in by], F.col("node.iy").alias("iy"), F.col("node.x0").alias("__x0"), "component"), [*by, "iy", "__x0"])
+    border = (F.col("iy") == 0) | (F.col("iy") == n_rows - 1) | (F.col("__x0") == 0) | (F.col("__x1") == n_cols - 1)
+    shut = named.groupBy("component").agg(F.max(border).alias("b")).where("NOT b").select("component")
+    inside = named.join(shut, "component", "left_semi").select(*by, F.col("iy").cast("int").alias("iy"), F.explode(F.sequence("__x0", "__x1")).alias("ix"))
+    return px.select(*by, F.col("iy").cast("int").alias("iy"), F.col("ix").cast("int").alias("ix"), F.lit(False).alias("filled")).unionByName(inside.withColumn("filled", F.lit(True)))
+
+
+def label_regions(mask: DataFrame, by: Sequence[str] = ("frame",), fill: tuple[int, int] | None = None) -> DataFrame:
+    """mask's pixels (by, iy, ix) with `region`: the place (iy, ix) of the least run of their 8-connected region.
+
+    Rows are cut into runs of pixels, runs of neighbouring rows that touch are edges, and edges make components. fill:
+    rows and columns of the grid; regions are then those of the filled mask, so what lies in a hole of a region is part
+    of it, and the pixels are the mask's own.
+    """
+    whole = mask if fill is None else table(fill_holes(mask, *fill, by), "filled")
+    px, runs = _row_runs(whole, by)
+    named = _joined_runs(runs, by, 1)
+    named = named.select(*[F.col(f"node.{c}").alias(c) for c in by], F.col("node.iy").alias("iy"), F.col("node.x0").alias("__x0"), F.struct(F.col("component.iy").alias("iy"), F.col("component.x0").alias("ix")).alias("region"))
+    out = px.join(named, [*by, "iy", "__x0"]).select(*by, "iy", "ix", "region")
+    return out if fill is None else out.join(whole.where("NOT filled").select(*by, "iy", "ix"), [*by, "iy", "ix"], "left_semi").select(*by, "iy", "ix", "region")
 
 
 def dilate(px: DataFrame, gamma: float, beta: int, n_theta: int, by: Sequence[str] = ("frame",), value: str = "value", seed_threshold: float = 1.0) -> DataFrame:
@@ -116,8 +157,8 @@ def region_features(region_px: DataFrame, by: Sequence[str] = ("frame", "region"
     """Area, centroid, box, tilt, its significance, and seam contact of each region.
 
     region_px: by, iy, ix, theta, phi, da. The centroid is the area-weighted mean on the sphere. Tilt: angle in degrees
-    of the main axis of ((phi - phi_c) sin theta, theta - theta_c), in (-90, 90]; significance: ratio of eigenvalues,
-    infinite if the lesser is 0.
+    of the main axis of ((phi - phi_c) sin theta, theta - theta_c), in (-90, 90]; main_axis: the larger eigenvalue of
+    their covariance; significance: ratio of eigenvalues, infinite if the lesser is 0.
     """
     x, y, z = to_cartesian(F.col("theta"), F.col("phi"))
     da = F.col("da")
@@ -135,7 +176,7 @@ def region_features(region_px: DataFrame, by: Sequence[str] = ("frame", "region"
     root = F.sqrt(F.pow((a - c) / 2, 2) + b * b)
     big, small = (a + c) / 2 + root, (a + c) / 2 - root
     tilt = F.degrees(F.atan2(2 * b, a - c) / 2)
-    out = base.join(cov, list(by)).withColumns({"tilt": tilt, "significance": F.when(F.abs(small) < 1e-15, F.lit(float("inf"))).otherwise(big / small), "touches_start": F.col("ix_min") == 0})
+    out = base.join(cov, list(by)).withColumns({"tilt": tilt, "main_axis": big, "significance": F.when(F.abs(small) < 1e-15, F.lit(float("inf"))).otherwise(big / small), "touches_start": F.col("ix_min") == 0})
     out = out.withColumn("touches_end", F.lit(False) if last_ix is None else F.col("ix_max") == last_ix)
     return out.drop("__a", "__b", "__c")
 
@@ -152,6 +193,78 @@ def merge_seam(region_px: DataFrame, last_ix: int, by: Sequence[str] = ("frame",
     return region_px.join(named, [*by, region], "left").withColumn(region, F.coalesce("__to", region)).select(region_px.columns)
 
 
+#: Moments of a region that add up when regions merge, beside the parts of two wrappings of longitude.
+_SUMS = ("area", "n_px", "box_area", "net_flux", "abs_flux", "m_x", "m_y", "m_z", "m_t", "m_tt", "m_s", "m_st", "m_ss")
+
+
+def region_moments(region_px: DataFrame, last_ix: int, by: Sequence[str] = ("frame",), region: str = "region", br: str | None = None) -> DataFrame:
+    """One row a region with moments that add up (I3): area, pixels, box, flux (of a column br), first and second moments
+    of place and of sine-weighted longitude, and the rows at which it touches either side of the seam.
+
+    Longitudes count from the seam (z_) and from the far side (o_); a region that touches the seam uses the former, so
+    that both sides of it are one piece.
+    """
+    da, theta, phi = F.col("da"), F.col("theta"), F.col("phi")
+    x, y, z = to_cartesian(theta, phi)
+    sin = F.sin(theta)
+    flux = F.lit(0.0) if br is None else F.coalesce(F.col(br) * da, F.lit(0.0))
+    sums = [
+        F.sum(da).alias("area"), F.count("*").alias("n_px"), F.sum(flux).alias("net_flux"), F.sum(F.abs(flux)).alias("abs_flux"), F.sum(x * da).alias("m_x"), F.sum(y * da).alias("m_y"), F.sum(z * da).alias("m_z"),
+        F.sum(theta * da).alias("m_t"), F.sum(theta * theta * da).alias("m_tt"), F.sum(sin * da).alias("m_s"), F.sum(sin * theta * da).alias("m_st"), F.sum(sin * sin * da).alias("m_ss"),
+        F.min("iy").alias("iy_min"), F.max("iy").alias("iy_max"), F.min("ix").alias("ix_min"), F.max("ix").alias("ix_max"),
+    ]
+    for name, p in (("z", F.pmod(phi + pi, F.lit(2 * pi)) - pi), ("o", F.pmod(phi, F.lit(2 * pi)) - pi)):
+        sums += [F.sum(sin * p * da).alias(f"{name}_p"), F.sum(sin * p * theta * da).alias(f"{name}_pt"), F.sum(sin * sin * p * da).alias(f"{name}_sp"), F.sum(sin * sin * p * p * da).alias(f"{name}_pp"), F.min(p).alias(f"{name}_lo"), F.max(p).alias(f"{name}_hi")]
+    for name, c in (("start", 0), ("end", last_ix)):
+        sums += [F.min(F.when(F.col("ix") == c, F.col("iy"))).alias(f"{name}_lo"), F.max(F.when(F.col("ix") == c, F.col("iy"))).alias(f"{name}_hi")]
+    got = region_px.groupBy(*by, region).agg(*sums)
+    return got.withColumn("box_area", (F.col("iy_max") - F.col("iy_min")) * (F.col("ix_max") - F.col("ix_min")))
+
+
+def merge_moments(moments: DataFrame, by: Sequence[str] = ("frame",), region: str = "region") -> DataFrame:
+    """Moments of the regions joined over the seam (as merge_seam joins them), added up without their pixels (I3); with
+    `n_parts`, the regions that became one."""
+    node = lambda s: F.struct(*[F.col(f"{s}.{c}").alias(c) for c in by], F.col(f"{s}.{region}").alias("region"))
+    left, right = moments.where("start_lo IS NOT NULL").alias("l"), moments.where("end_lo IS NOT NULL").alias("r")
+    both = left.join(right, list(by)).where("l.start_lo <= r.end_hi AND r.end_lo <= l.start_hi").select(node("l").alias("u"), node("r").alias("v"))
+    named = components(both, "u", "v")
+    named = named.select(*[F.col(f"node.{c}").alias(c) for c in by], F.col("node.region").alias(region), F.col("component.region").alias("__to"))
+    low = ("iy_min", "ix_min", "z_lo", "o_lo", "start_lo", "end_lo")
+    high = ("iy_max", "ix_max", "z_hi", "o_hi", "start_hi", "end_hi")
+    add = [*_SUMS, *(f"{w}_{m}" for w in "zo" for m in ("p", "pt", "sp", "pp"))]
+    out = moments.join(named, [*by, region], "left").withColumn(region, F.coalesce("__to", region))
+    return out.groupBy(*by, region).agg(*[F.sum(c).alias(c) for c in add], *[F.min(c).alias(c) for c in low], *[F.max(c).alias(c) for c in high], F.count("*").alias("n_parts"))
+
+
+def features_of_moments(moments: DataFrame, by: Sequence[str] = ("frame",), region: str = "region", pixels: DataFrame | None = None) -> DataFrame:
+    """Features of regions from their moments (A23, I3): by, region, area, n_px, box_area, fluxes, c_theta, c_phi, tilt,
+    significance, main_axis (the larger eigenvalue). A region that reaches half around the globe from its centroid has
+    no axis here, unless its pixels are given (by, region, theta, phi, da, under the merged names), which are then read for such regions only.
+    """
+    _, theta, phi = to_spherical(F.col("m_x"), F.col("m_y"), F.col("m_z"))
+    seam = F.col("start_lo").isNotNull() | F.col("end_lo").isNotNull()
+    m = moments.withColumns({"c_theta": theta, "c_phi": phi})
+    pick = {c: F.when(seam, F.col(f"z_{c}")).otherwise(F.col(f"o_{c}")) for c in ("p", "pt", "sp", "pp", "lo", "hi")}
+    m = m.withColumns({f"__{c}": v for c, v in pick.items()}).withColumn("__c", F.when(seam, F.pmod(F.col("c_phi") + pi, F.lit(2 * pi)) - pi).otherwise(F.col("c_phi") - pi))
+    c, t, n = F.col("__c"), F.col("c_theta"), F.col("area")
+    m = m.withColumn("__far", F.greatest(F.col("__hi") - c, c - F.col("__lo")) >= pi)
+    a = (F.col("__pp") - 2 * c * F.col("__sp") + c * c * F.col("m_ss")) / n
+    b = (F.col("__pt") - c * F.col("m_st") - t * (F.col("__p") - c * F.col("m_s"))) / n
+    d = (F.col("m_tt") - 2 * t * F.col("m_t") + t * t * n) / n
+    m = m.withColumns({"__a": a, "__b": b, "__d": d})
+    root = F.sqrt(F.pow((F.col("__a") - F.col("__d")) / 2, 2) + F.col("__b") * F.col("__b"))
+    big, small = (F.col("__a") + F.col("__d")) / 2 + root, (F.col("__a") + F.col("__d")) / 2 - root
+    tilt = F.when(~F.col("__far"), F.degrees(F.atan2(2 * F.col("__b"), F.col("__a") - F.col("__d")) / 2))
+    sig = F.when(~F.col("__far"), F.when(F.abs(small) < 1e-12, F.lit(float("inf"))).otherwise(big / small))
+    names = [*by, region, "area", "n_px", "box_area", "net_flux", "abs_flux", "c_theta", "c_phi"]
+    out = m.select(*names, tilt.alias("tilt"), sig.alias("significance"), F.when(~F.col("__far"), big).alias("main_axis"), "__far")
+    if pixels is not None:
+        keys = [*by, region]
+        wide = region_features(pixels.withColumns({"iy": F.lit(0), "ix": F.lit(0)}).join(out.where("__far").select(*keys), keys, "left_semi"), keys).select(*keys, F.col("tilt").alias("__t"), F.col("significance").alias("__s"), F.col("main_axis").alias("__m"))
+        out = out.join(wide, keys, "left").withColumns({"tilt": F.coalesce("tilt", "__t"), "significance": F.coalesce("significance", "__s"), "main_axis": F.coalesce("main_axis", "__m")})
+    return out.select(*names, "tilt", "significance", "main_axis")
+
+
 def prune_regions(regions: DataFrame, least_area: float) -> DataFrame:
     """Regions of at least an area (I4)."""
     return regions.where(F.col("area") >= least_area)

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.order import row_numbers
+
 
 def register_files(existing: DataFrame, incoming: DataFrame, order: str = "fname_raw") -> DataFrame:
     """incoming with `out_flag`: 0 new, 1 its date, provider and type are there, 2 its raw name is there.
@@ -91,11 +93,10 @@ def delete_images(files: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def upsert_dim(dim: DataFrame, incoming: DataFrame, natural: Sequence[str], id_col: str) -> DataFrame:
-    """dim with new natural keys added under the next ids, in the keys' order (S10). New keys are few: they are
-    numbered in one task."""
+    """dim with new natural keys added under the next ids, in the keys' order (S10), by ranges of them."""
     new = incoming.select(*natural).distinct().join(dim, list(natural), "left_anti")
     top = dim.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("__top"))  # one row
-    rows = new.crossJoin(F.broadcast(top)).withColumn(id_col, (F.col("__top") + F.row_number().over(Window.orderBy(*natural))).cast("long"))
+    rows = row_numbers(new, list(natural), "__number").crossJoin(F.broadcast(top)).withColumn(id_col, (F.col("__top") + F.col("__number")).cast("long"))
     return dim.unionByName(rows.select(id_col, *natural), allowMissingColumns=True)
 
 

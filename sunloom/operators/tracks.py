@@ -13,6 +13,7 @@ from ..functions.geometry import chord, to_cartesian
 from ..functions.times import HOUR, micros
 from ..plans.asof import asof_bracket
 from ..plans.graph import components
+from ..plans.order import exact_quantiles
 from ..plans.tables import table
 
 
@@ -263,7 +264,10 @@ def edge_stats(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     ids = nodes.select("node", "id")
     both = edges.join(ids.toDF("u", "__a"), "u").join(ids.toDF("v", "__b"), "v").withColumn("same_id", F.col("__a") == F.col("__b"))
     w = F.col("weight")
-    return both.groupBy("same_id").agg(F.count("*").alias("n"), F.avg(w).alias("mean"), F.stddev_pop(w).alias("std"), F.percentile(w, 0.5).alias("median"), F.min(w).alias("least"), F.max(w).alias("greatest"))
+    both = table(both.select("same_id", "weight"), "edge_weights")
+    got = both.groupBy("same_id").agg(F.count("*").alias("n"), F.avg(w).alias("mean"), F.stddev_pop(w).alias("std"), F.min(w).alias("least"), F.max(w).alias("greatest"))
+    mid = exact_quantiles(both, "weight", [0.5], ["same_id"]).select(F.col("same_id").alias("__same"), F.col("quantiles")[0].alias("median"))
+    return got.join(mid, F.col("same_id").eqNullSafe(F.col("__same")), "left").select("same_id", "n", "mean", "std", "median", "least", "greatest")
 
 
 def weight_hist(edges: DataFrame, bins: int = 25) -> DataFrame:

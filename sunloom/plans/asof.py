@@ -7,17 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import carried
+
 
 def asof_bracket(left: DataFrame, right: DataFrame, left_time: str, right_time: str, payload: Sequence[str], left_by: Sequence[str] = (), right_by: Sequence[str] | None = None) -> DataFrame:
     """left with `before` and `after`: structs (time, payload) of the nearest right rows at or before, and at or after.
 
     A row at the same time is both. Of right rows at one time the least payload counts. A side without a row is null,
-    and so is a null time's. Rows of one group share a sort; groups are dealt over the cluster.
+    and so is a null time's. Rows of one group share a sort; groups are dealt over the cluster. Without groups, ranges
+    of time are, and each time that is asked is looked up once.
     """
+    if not left_by:
+        return _bracket_all(left, right, left_time, right_time, payload)
     right_by = list(left_by if right_by is None else right_by)
-    keys = [f"__k{i}" for i in range(len(left_by))] or ["__k"]
-    key_l = [F.col(c).alias(k) for c, k in zip(left_by, keys, strict=False)] or [F.lit(0).alias("__k")]
-    key_r = [F.col(c).alias(k) for c, k in zip(right_by, keys, strict=False)] or [F.lit(0).alias("__k")]
+    keys = [f"__k{i}" for i in range(len(left_by))]
+    key_l = [F.col(c).alias(k) for c, k in zip(left_by, keys, strict=True)]
+    key_r = [F.col(c).alias(k) for c, k in zip(right_by, keys, strict=True)]
     found = right.where(F.col(right_time).isNotNull()).select(*key_r, F.col(right_time).alias("__t"), F.struct(F.col(right_time).alias("time"), *payload).alias("__r"))
     found = found.groupBy(*keys, "__t").agg(F.min("__r").alias("__r")).withColumn("__l", F.lit(None).cast(left.schema))
     asked = left.select(*key_l, F.col(left_time).alias("__t"), F.lit(None).cast(found.schema["__r"].dataType).alias("__r"), F.struct(*left.columns).alias("__l"))
@@ -31,6 +36,15 @@ def asof_bracket(left: DataFrame, right: DataFrame, left_time: str, right_time:
     return out.where(F.col("__l").isNotNull()).select("__l.*", "before", "after")
 
 
+def _bracket_all(left: DataFrame, right: DataFrame, left_time: str, right_time: str, payload: Sequence[str]) -> DataFrame:
+    """asof_bracket without groups, by ranges of time."""
+    found = right.where(F.col(right_time).isNotNull()).select(F.col(right_time).alias("__t"), F.struct(F.col(right_time).alias("time"), *payload).alias("__r")).groupBy("__t").agg(F.min("__r").alias("__r"))
+    asked = left.select(F.col(left_time).alias("__t")).where("__t IS NOT NULL").distinct().withColumn("__r", F.lit(None).cast(found.schema["__r"].dataType))
+    line = found.unionByName(asked).groupBy("__t").agg(F.max("__r").alias("__r"))
+    both = carried(line, "__t", "__r").drop("__r")
+    return left.join(both, F.col(left_time) == F.col("__t"), "left").drop("__t")
+
+
 def _number(t: Column) -> Column:
     return F.unix_micros(t.cast("timestamp")).cast("double")
 
@@ -59,13 +73,11 @@ def extrapolate_params(left: DataFrame, right: DataFrame, left_time: str, right_
     """Inside the range, interpolation with brackets at most `days` away (else null); outside, the line through
     the two first or last rows of the group, or its one row."""
     inside = interp_params(left, right, left_time, right_time, params, by, max_gap_days=days)
-    asc, desc = Window.partitionBy(*by).orderBy(right_time), Window.partitionBy(*by).orderBy(F.desc(right_time))
-    ranked = right.withColumns({"__up": F.row_number().over(asc), "__down": F.row_number().over(desc)}).where("__up <= 2 OR __down <= 2")
-
-    def end(rank: str, n: int, name: str) -> Column:
-        return F.max(F.when(F.col(rank) == n, F.struct(F.col(right_time).alias("time"), *params))).alias(name)
-
-    ends = ranked.groupBy(*by).agg(end("__up", 1, "a"), end("__up", 2, "b"), end("__down", 1, "z"), end("__down", 2, "y"))
+    rows = right.where(F.col(right_time).isNotNull()).select(*by, F.struct(F.col(right_time).alias("time"), *params).alias("__s"))
+    outer = rows.groupBy(*by).agg(F.min("__s").alias("a"), F.max("__s").alias("z"))
+    inner = rows.join(outer, list(by)) if by else rows.crossJoin(F.broadcast(outer))  # one row
+    inner = inner.groupBy(*by).agg(F.min(F.when(F.col("__s.time") > F.col("a.time"), F.col("__s"))).alias("b"), F.max(F.when(F.col("__s.time") < F.col("z.time"), F.col("__s"))).alias("y"))
+    ends = outer.join(inner, list(by)) if by else outer.crossJoin(F.broadcast(inner))  # one row
     joined = inside.join(ends, list(by), "left") if by else inside.crossJoin(F.broadcast(ends))  # one row
     t = _number(F.col(left_time))
 

@@ -218,11 +218,40 @@ def a18_region_flux(spark: SparkSession, d: str) -> DataFrame:
     return rounded(regions.region_flux(_region_px(spark, d), br), 6, "net_flux", "abs_flux")
 
 
-@query()
+SEAM = f"""{LABEL}, p AS (SELECT frame, struct_extract(r, 1) * 40 + struct_extract(r, 2) AS region, iy, ix, {DA} AS da, (iy + 0.5) * pi() / 20 AS theta, (ix + 0.5) * 2 * pi() / 40 AS phi FROM lab),
+  side AS (SELECT frame, region, ix, min(iy) AS lo, max(iy) AS hi FROM p WHERE ix IN (0, 39) GROUP BY 1, 2, 3), se AS (SELECT a.frame, a.region AS u, b.region AS v FROM side a JOIN side b ON a.frame = b.frame AND a.ix = 0 AND b.ix = 39 AND a.lo <= b.hi AND b.lo <= a.hi),
+  nb AS (SELECT frame, u, v FROM se UNION SELECT frame, v, u FROM se), hop(frame, node, root) AS (SELECT DISTINCT frame, u, u FROM nb UNION SELECT hop.frame, nb.v, hop.root FROM hop JOIN nb ON nb.frame = hop.frame AND nb.u = hop.node),
+  root AS (SELECT frame, node, min(root) AS root FROM hop GROUP BY 1, 2), sp2 AS (SELECT p.* EXCLUDE (region), p.region AS part, coalesce(root.root, p.region) AS region FROM p LEFT JOIN root ON root.frame = p.frame AND root.node = p.region)"""
+
+
+@query(f"WITH RECURSIVE {SEAM} SELECT frame, region, iy, ix, da FROM sp2")
 def i3_merge_seam(spark: SparkSession, d: str) -> DataFrame:
     return regions.merge_seam(_region_px(spark, d).select("frame", "region", "iy", "ix", "da"), 39)
 
 
+@query(f"""WITH RECURSIVE {SEAM}, f AS (SELECT s.*, (px.data - 50000) / 1000 AS br FROM sp2 s JOIN px ON px.map_id = s.frame AND px.iy = s.iy AND px.ix = s.ix),
+  g AS (SELECT frame, region, sum(da) AS area, count(*) AS n_px, sum(br * da) AS net_flux, sum(abs(br * da)) AS abs_flux, sum(sin(theta) * cos(phi) * da) AS x, sum(sin(theta) * sin(phi) * da) AS y, sum(cos(theta) * da) AS z, count(DISTINCT part) AS n_parts FROM f GROUP BY 1, 2),
+  c AS (SELECT *, acos(z / sqrt(x * x + y * y + z * z)) AS ct, atan2(y, x) AS cp FROM g), q AS (SELECT f.frame, f.region, f.da, f.theta - c.ct AS v, (f.phi - c.cp + pi() - 2 * pi() * floor((f.phi - c.cp + pi()) / (2 * pi())) - pi()) * sin(f.theta) AS u FROM f JOIN c USING (frame, region)),
+  k AS (SELECT frame, region, sum(u * u * da) / sum(da) AS a, sum(u * v * da) / sum(da) AS b, sum(v * v * da) / sum(da) AS d FROM q GROUP BY 1, 2)
+  SELECT frame, region, round(area, 8) AS area, n_px, round(net_flux, 6) AS net_flux, round(abs_flux, 6) AS abs_flux, round(ct, 6) AS c_theta, n_parts, round((a + d) / 2 + sqrt(pow((a - d) / 2, 2) + b * b), 7) AS main_axis FROM c JOIN k USING (frame, region)""")
+def i3_seam_features(spark: SparkSession, d: str) -> DataFrame:
+    """Regions joined over the seam by their moments alone; main_axis is the larger eigenvalue of the covariance."""
+    br = _with_area(pixels(spark, d)).select(F.col("map_id").alias("frame"), "iy", "ix", "br")
+    px = _region_px(spark, d).join(br, ["frame", "iy", "ix"])
+    merged = regions.merge_moments(regions.region_moments(px, 39, br="br"))
+    whole = regions.merge_seam(px.select("frame", "region", "iy", "ix", "theta", "phi", "da"), 39)
+    got = regions.features_of_moments(merged, pixels=whole.drop("iy", "ix")).join(merged.select("frame", "region", "n_parts"), ["frame", "region"])
+    got = got.select("frame", "region", "area", "n_px", "net_flux", "abs_flux", "c_theta", "n_parts", "main_axis")
+    return rounded(rounded(rounded(got, 8, "area"), 6, "net_flux", "abs_flux", "c_theta"), 7, "main_axis")
+
+
+@query(f"""WITH RECURSIVE {GROWN}, cell AS (SELECT frame, CAST(y AS INTEGER) AS iy, CAST(x AS INTEGER) AS ix FROM (SELECT DISTINCT frame FROM fr WHERE value <= 40), range(20) r(y), range(40) c(x)), m AS (SELECT frame, iy, ix FROM fr WHERE value <= 40),
+  bg AS (SELECT * FROM cell ANTI JOIN m USING (frame, iy, ix)), out(frame, iy, ix) AS (SELECT * FROM bg WHERE iy IN (0, 19) OR ix IN (0, 39) UNION SELECT bg.* FROM out o JOIN bg ON bg.frame = o.frame AND abs(bg.iy - o.iy) + abs(bg.ix - o.ix) = 1)
+  SELECT frame, iy, ix, false AS filled FROM m UNION ALL SELECT frame, iy, ix, true FROM bg ANTI JOIN out USING (frame, iy, ix)""")
+def i2_fill_holes(spark: SparkSession, d: str) -> DataFrame:
+    return regions.fill_holes(_frames(spark, d).where("value <= 40"), 20, 40)
+
+
 @query(f"WITH RECURSIVE {LABEL}, n AS (SELECT frame, struct_extract(r, 1) * 40 + struct_extract(r, 2) AS region, sum({DA}) AS area FROM lab GROUP BY 1, 2) SELECT frame, region, round(area, 8) AS area FROM n WHERE area >= 0.1")
 def i4_prune_regions(spark: SparkSession, d: str) -> DataFrame:
     got = regions.prune_regions(_region_px(spark, d).groupBy("frame", "region").agg(F.sum("da").alias("area")), 0.1)
