@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import ceil, pi
+from math import log, pi, sqrt
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import TURN, arc_of_chord, chord, haversine, map_to_image, to_cartesian, to_spherical
+from ..plans.asof import bucketed_range_join
 from ..plans.tables import table
 
 
@@ -118,51 +119,99 @@ def reproject_polar(px: DataFrame, n_theta: int, n_phi: int, inverse: bool = Fal
     return ask.join(have, [*by, "__y", "__x"], "left").select(*by, "iy", "ix", value)
 
 
-def _tiles(theta, phi, reach, size: float):
-    """Tiles (row, column) of the sphere that a disk touches; near a pole all columns."""
-    rows, cols = ceil(pi / size), max(1, int(TURN / size))
+def _tiles(theta: Column, phi: Column, reach: Column, size: Column) -> tuple[Column, Column]:
+    """Rows and columns of the tiles of a size that a disk touches; near a pole all columns."""
+    rows, cols = F.ceil(pi / size), _columns(size)
     top = F.greatest(F.floor((theta - reach) / size), F.lit(0)).cast("int")
-    low = F.least(F.floor((theta + reach) / size), F.lit(rows)).cast("int")
+    low = F.least(F.floor((theta + reach) / size), rows).cast("int")
     flat = F.least(F.sin(F.greatest(theta - reach, F.lit(0.0))), F.sin(F.least(theta + reach, F.lit(pi))))
     wide = F.when((theta - reach <= 0) | (theta + reach >= pi), pi).otherwise(F.least(F.lit(pi), 1.6 * reach / flat))
     a, b = F.floor((phi - wide) / (TURN / cols)).cast("int"), F.floor((phi + wide) / (TURN / cols)).cast("int")
-    b = F.least(b, a + (cols - 1))
-    across = F.transform(F.sequence(a, b), lambda c: F.pmod(c, F.lit(cols)))
-    return F.sequence(top, low), across, cols
+    return F.sequence(top, low), F.transform(F.sequence(a, F.least(b, a + cols - 1)), lambda c: F.pmod(c, cols))
 
 
-def project_points(points: DataFrame, mesh: DataFrame, sigma: float | None = None, n_trunc: float = 4.0, max_sigma: float | None = None) -> DataFrame:
+def _columns(size: Column) -> Column:
+    return F.greatest(F.lit(1), F.floor(TURN / size)).cast("int")
+
+
+#: Fixed value: full width at half maximum of a Gaussian over its sigma.
+FWHM = 2 * sqrt(2 * log(2))
+
+
+def _spacing(points: DataFrame, axis: DataFrame, at: str, out: str) -> DataFrame:
+    """points with the width of an axis' cells (coord, width) at a coordinate, linear between cells, flat beyond them."""
+    w = Window.orderBy("coord")  # as many rows as an axis has
+    seg = axis.select("coord", "width").withColumns({"__to": F.lead("coord").over(w), "__w": F.lead("width").over(w)})
+    ends = axis.agg(F.min("coord").alias("__a"), F.max("coord").alias("__z"), F.count("*").alias("__n"))
+    a, z, n = ends.first()
+    if n < 2:
+        return points.withColumn(out, F.lit(axis.first()["width"]))
+    held = points.withColumn("__at", F.greatest(F.lit(a), F.least(F.lit(z), F.col(at))))
+    seg = seg.where("__to IS NOT NULL").withColumnsRenamed({"coord": "__from", "width": "__v"})
+    met = bucketed_range_join(held, seg, "__at", "__from", "__to", (z - a) / (n - 1))
+    met = met.where((F.col("__at") < F.col("__to")) | (F.col("__to") == z))
+    share = (F.col("__at") - F.col("__from")) / (F.col("__to") - F.col("__from"))
+    return met.withColumn(out, F.col("__v") + (F.col("__w") - F.col("__v")) * share).drop("__at", "__from", "__to", "__v", "__w")
+
+
+def point_widths(points: DataFrame, style: str = "adaptive", theta_axis: DataFrame | None = None, phi_axis: DataFrame | None = None, neighbors: int = 10, mesh_factor: float = 2.0, arc_factor: float = 2.0, fixed: float = 0.04, pole: float = 0.08, equator: float = 0.06, cell: float = 0.25) -> DataFrame:
+    """points (point_id, theta, phi, ...) with `sigma` of the Gaussian that each is spread as.
+
+    Widths at half maximum by style: fixed; smooth, from equator to pole with the squared cosine of colatitude; local,
+    mesh_factor times the diagonal of the mesh cell there (axes: coord, width, as mesh_axis gives them; the diagonal has
+    the sine of colatitude once); adaptive, that or arc_factor times the arc to the neighbors-th nearest point, whichever
+    is more (J16).
+    """
+    if style == "fixed":
+        return points.withColumn("sigma", F.lit(fixed / FWHM))
+    if style == "smooth":
+        return points.withColumn("sigma", ((pole - equator) * F.pow(F.cos("theta"), 2) + equator) / FWHM)
+    if style not in ("local", "adaptive"):
+        raise ValueError(f"unknown style {style}")
+    there = _spacing(_spacing(points, theta_axis, "theta", "__dt"), phi_axis, "phi", "__dp")
+    width = mesh_factor * F.sqrt(F.col("__dt") * F.col("__dt") + F.sin("theta") * F.col("__dp") * F.col("__dp"))
+    if style == "adaptive":
+        there = there.join(kth_neighbor(points.select("point_id", "theta", "phi"), neighbors, cell), "point_id")
+        width = F.greatest(width, arc_factor * F.col("distance"))
+    return there.withColumn("sigma", width / FWHM).select(*points.columns, "sigma")
+
+
+def project_points(points: DataFrame, mesh: DataFrame, sigma: float | None = None, n_trunc: float = 4.0, finest: float = 1e-3) -> DataFrame:
     """Flux points spread over mesh cells as Gaussians in arc length, truncated at n_trunc sigma.
 
-    points: point_id, theta, phi, flux, and sigma if it varies (max_sigma bounds it). mesh: iy, ix, theta, phi, da.
-    Each point's cells are normalised so that its flux is kept; points without flux, or with no cell in reach, add
-    nothing. Points meet cells through tiles about as large as the reach.
+    points: point_id, theta, phi, flux, and sigma if it varies (point_widths). mesh: iy, ix, theta, phi, da. Each point's
+    cells are normalised so that its flux is kept; points without flux, or with no cell in reach, add nothing. Points
+    meet cells through tiles: of a hierarchy whose sizes double from the finest, each point uses the level of its reach,
+    so a few wide points do not widen the tiles of all.
     """
     p = points.where("flux <> 0")
     p = p if sigma is None else p.withColumn("sigma", F.lit(float(sigma)))
-    size = max(1e-3, n_trunc * (max_sigma or sigma or 0.1))
-    down, across, cols = _tiles(F.col("theta"), F.col("phi"), n_trunc * F.col("sigma"), size)
-    p = p.select("point_id", F.col("theta").alias("__t"), F.col("phi").alias("__p"), "flux", "sigma", F.explode(down).alias("__row"), across.alias("__cols"))
-    p = p.select("*", F.explode("__cols").alias("__col")).drop("__cols")
-    m = mesh.withColumns({"__row": F.floor(F.col("theta") / size).cast("int"), "__col": F.pmod(F.floor(F.col("phi") / (TURN / cols)).cast("int"), F.lit(cols))})
+    reach = n_trunc * F.col("sigma")
+    p = table(p.select("point_id", F.col("theta").alias("__t"), F.col("phi").alias("__p"), "flux", "sigma", F.greatest(F.lit(0), F.ceil(F.log2(reach / finest))).cast("int").alias("__level")), "points")
+    levels = sorted(r["__level"] for r in p.select("__level").distinct().collect())  # a few: sizes double up to the sphere
+    size = finest * F.pow(F.lit(2.0), F.col("__level"))
+    down, across = _tiles(F.col("__t"), F.col("__p"), n_trunc * F.col("sigma"), size)
+    p = p.select("*", F.explode(down).alias("__row"), across.alias("__cols")).select("*", F.explode("__cols").alias("__col")).drop("__cols")
+    m = mesh.withColumn("__level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")))
+    m = m.withColumns({"__row": F.floor(F.col("theta") / size).cast("int"), "__col": F.pmod(F.floor(F.col("phi") / (TURN / _columns(size))).cast("int"), _columns(size))})
     arc = haversine(F.col("__t"), F.col("__p"), F.col("theta"), F.col("phi"))
-    near = p.join(m, ["__row", "__col"]).withColumn("__arc", arc).where(F.col("__arc") <= n_trunc * F.col("sigma"))
+    near = p.join(m, ["__level", "__row", "__col"]).withColumn("__arc", arc).where(F.col("__arc") <= n_trunc * F.col("sigma"))
     g = F.exp(-F.pow(F.col("__arc") / F.col("sigma"), 2) / 2)
     total = F.sum(F.col("__g") * F.col("da")).over(Window.partitionBy("point_id"))
     near = near.withColumn("__g", g).withColumn("__b", F.col("flux") * F.col("__g") / total)
     return near.groupBy("iy", "ix").agg(F.sum("__b").alias("br"))
 
 
-def kth_neighbor(points: DataFrame, k: int, cell: float = 0.25, key: str = "point_id", max_rounds: int = 12) -> DataFrame:
+def kth_neighbor(points: DataFrame, k: int, cell: float = 0.25, key: str = "point_id") -> DataFrame:
     """(key, distance): arc to the k-th nearest other point (J16), null with fewer than k others.
 
     Points meet through cubes of the unit ball: neighbours within a cube's width are all in the 27 cubes around. What
-    lacks k of those is asked again with twice the width.
+    lacks k of those is asked again with four times the width, until that is the ball's.
     """
     x, y, z = to_cartesian(F.col("theta"), F.col("phi"))
     pts = table(points.select(key, "theta", "phi", x.alias("__x"), y.alias("__y"), z.alias("__z")), "neighbor_points")
     todo, done = pts.select(key), None
-    for _ in range(max_rounds):
+    while True:
         cube = {f"__c{c}": F.floor(F.col(f"__{c}") / cell).cast("int") for c in "xyz"}
         own = pts.withColumns(cube)
         around = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("abc", (a, b, c), strict=True)]) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
@@ -177,5 +226,5 @@ def kth_neighbor(points: DataFrame, k: int, cell: float = 0.25, key: str = "poin
         todo = table(todo.join(got, key, "left_anti"), "neighbor_todo")
         if cell >= 2 or todo.isEmpty():
             break
-        cell *= 2
+        cell *= 4
     return pts.select(key).join(done, key, "left")

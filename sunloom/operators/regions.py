@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from math import pi
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +62,102 @@ def grow_regions(px: DataFrame, t1: Column | float, t2: Column | float, nc: int
     return out.select(*[F.col(c) for c in px.columns], F.when(has, F.coalesce("__h", F.lit(0))).alias("hole"))
 
 
+def _grown(may: np.ndarray, hole: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """hole with what it grows to within one tile and its rim of one pixel; only pixels of may turn."""
+    while True:
+        mask = np.zeros(may.shape, np.uint8)
+        for k, (dy, dx) in enumerate(RING):
+            mask[1:-1, 1:-1] |= hole[1 + dy : hole.shape[0] - 1 + dy, 1 + dx : hole.shape[1] - 1 + dx].astype(np.uint8) << np.uint8(k)
+        new = may & ~hole & runs[mask]
+        if not new.any():
+            return hole
+        hole = hole | new
+
+
+def grow_tiles(px: DataFrame, t1: Column | float, t2: Column | float, nc: int = 3, size: int = 128, by: Sequence[str] = ("frame",), value: str = "value", valid: str = "valid", max_rounds: int = 10_000) -> DataFrame:
+    """grow_regions() without a limit of rounds, tile by tile: px with `hole`.
+
+    A task grows a tile of size x size pixels until nothing changes there; what turned on its edge is sent to the tiles
+    around, which alone go on. So rounds follow the tiles that a region crosses, not its pixels. Growth is monotone,
+    so any order ends in the same pixels.
+    """
+    t1, t2 = (t if isinstance(t, Column) else F.lit(float(t)) for t in (t1, t2))
+    by, runs, side = list(by), np.array(_runs(nc)), size + 2
+    extent = px.groupBy(*by).agg(*[f(c).alias(f"__{n}_{c}") for c in ("iy", "ix") for n, f in (("lo", F.min), ("hi", F.max))])
+    inner = F.lit(True)
+    for c in ("iy", "ix"):
+        inner = inner & (F.col(c) > F.col(f"__lo_{c}")) & (F.col(c) < F.col(f"__hi_{c}"))
+    has = F.coalesce(F.col(valid), F.lit(False)) & F.col(value).isNotNull()
+    cells = px.join(extent, by).where(inner & has & ((F.col(value) <= t1) | (F.col(value) <= t2)))
+    cell = F.struct((F.pmod("iy", F.lit(size)) * size + F.pmod("ix", F.lit(size))).cast("int").alias("at"), (F.col(value) <= t1).alias("seed"))
+    tile = [F.floor(F.col("iy") / size).cast("int").alias("__ty"), F.floor(F.col("ix") / size).cast("int").alias("__tx")]
+    tiles = cells.select(*by, *tile, cell.alias("c")).groupBy(*by, "__ty", "__tx").agg(F.collect_list("c").alias("c"))  # size * size cells at most
+    keys = [*by, "__ty", "__tx"]
+    kinds = {f.name: f.dataType.simpleString() for f in tiles.schema}
+    head = ", ".join(f"`{c}` {kinds[c]}" for c in keys)
+
+    def begin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            may, hole = [], []
+            for cs in df["c"]:
+                m, h = np.zeros(size * size, bool), np.zeros(size * size, bool)
+                for c in cs:
+                    m[c["at"]], h[c["at"]] = True, c["seed"]
+                may.append(np.packbits(m).tobytes())
+                hole.append(np.packbits(h).tobytes())
+            yield df[keys].assign(may=may, hole=hole)
+
+    def grow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """rim: places around the tile, in its own rows and columns from -1, that are holes."""
+        for df in frames:
+            holes, rims, told = [], [], []
+            for m, h, rim, first in zip(df["may"], df["hole"], df["rim"], df["first"], strict=True):
+                may, hole = (np.pad(np.unpackbits(np.frombuffer(x, np.uint8), count=size * size).astype(bool).reshape(size, size), 1) for x in (m, h))
+                was = hole.copy()
+                for y, x in rim if rim is not None else ():
+                    hole[y + 1, x + 1] = True
+                hole = _grown(may, hole, runs)
+                turned = hole if first else hole & ~was
+                body, edge = hole[1:-1, 1:-1], np.zeros((side, side), bool)
+                edge[1:-1, 1:-1] = turned[1:-1, 1:-1]
+                edge[2:-2, 2:-2] = False
+                holes.append(np.packbits(body).tobytes())
+                told.append([[int(v) - 1 for v in p] for p in np.argwhere(edge)])
+                rims.append([[int(v) for v in p] for p in (rim if rim is not None else ())])
+            yield df[keys].assign(may=df["may"], hole=holes, rim=rims, told=told)
+
+    state = table(tiles.mapInPandas(begin, f"{head}, may binary, hole binary"), "tiles")
+    pairs = "array<array<int>>"
+    active = state.withColumns({"rim": F.lit(None).cast(pairs), "first": F.lit(True)})
+    rest, shape = None, f"{head}, may binary, hole binary, rim {pairs}, told {pairs}"
+    for _ in range(max_rounds):
+        got = table(active.mapInPandas(grow, shape), "tiles_grown")
+        state = got.drop("told") if rest is None else got.drop("told").unionByName(rest)
+        around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b])
+        sent = got.select(*keys, F.explode("told").alias("p")).select(*keys, F.col("p")[0].alias("y"), F.col("p")[1].alias("x"), F.explode(around).alias("o"))
+        sent = sent.select(*by, (F.col("__ty") + F.col("o.a")).alias("__ty"), (F.col("__tx") + F.col("o.b")).alias("__tx"), (F.col("y") - F.col("o.a") * size).alias("y"), (F.col("x") - F.col("o.b") * size).alias("x"))
+        sent = sent.where(F.col("y").between(-1, size) & F.col("x").between(-1, size)).groupBy(*keys).agg(F.collect_list(F.array("y", "x")).alias("more"))  # a rim has 4 * size + 4 places
+        state = table(state.join(sent, keys, "left"), "tiles_told")
+        news = state.where("more IS NOT NULL")
+        if news.isEmpty():
+            break
+        rest = state.where("more IS NULL").drop("more")
+        active = news.withColumns({"rim": F.concat(F.coalesce("rim", F.array().cast(pairs)), "more"), "first": F.lit(False)}).drop("more")
+    else:
+        raise RuntimeError(f"regions grew still in round {max_rounds}")
+
+    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            at = [np.flatnonzero(np.unpackbits(np.frombuffer(h, np.uint8), count=size * size)) for h in df["hole"]]
+            out = df[keys].loc[df.index.repeat([len(a) for a in at])].reset_index(drop=True)
+            place = np.concatenate(at) if at else np.zeros(0, int)
+            yield out.assign(iy=out["__ty"].to_numpy() * size + place // size, ix=out["__tx"].to_numpy() * size + place % size)[[*by, "iy", "ix"]]
+
+    found = state.select(*keys, "hole").mapInPandas(spread, ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "iy long", "ix long"]))
+    out = px.join(found.select(*by, F.col("iy").cast(px.schema["iy"].dataType).alias("iy"), F.col("ix").cast(px.schema["ix"].dataType).alias("ix"), F.lit(1).alias("__h")), [*by, "iy", "ix"], "left")
+    return out.select(*[F.col(c) for c in px.columns], F.when(has, F.coalesce("__h", F.lit(0))).alias("hole"))
+
+
 def _row_runs(mask: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """The pixels with __x0, where their run of neighbours in the row begins, and the runs (by, iy, __x0, __x1)."""
     row = Window.partitionBy(*by, "iy").orderBy("ix")

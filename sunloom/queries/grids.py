@@ -176,6 +176,12 @@ def i1_grow_one_round(spark: SparkSession, d: str) -> DataFrame:
     return regions.grow_regions(_frames(spark, d), 10.0, 25.0, 3, 1).select("frame", "iy", "ix", "hole")
 
 
+@query()
+def i1_grow_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """Growth tile by tile; equals i1_grow_regions."""
+    return regions.grow_tiles(_frames(spark, d), 10.0, 30.0, size=8).select("frame", "iy", "ix", "hole")
+
+
 @query()
 def i1_grow_regions(spark: SparkSession, d: str) -> DataFrame:
     return regions.grow_regions(_frames(spark, d), 10.0, 30.0).select("frame", "iy", "ix", "hole")
@@ -357,13 +363,56 @@ def j14_reproject_polar(spark: SparkSession, d: str) -> DataFrame:
     return grid.reproject_polar(pixels(spark, d), 20, 40)
 
 
-@query()
-def j15_project_points(spark: SparkSession, d: str) -> DataFrame:
+def _spread_sql(sigma: str) -> str:
+    """SQL of points spread over the mesh with a sigma; reach is four of it."""
+    return f"""WITH {PIXELS}, {SPHERE}, mesh AS (SELECT iy, ix, (iy + 0.5) * pi() / 20 AS theta, (ix + 0.5) * 2 * pi() / 40 AS phi, {DA} AS da FROM (SELECT DISTINCT iy, ix FROM px)),
+  x AS (SELECT vec_id, theta, phi, label - 4.5 AS flux, {sigma} AS sigma FROM sp), g AS (SELECT vec_id, flux, iy, ix, da, sigma, 2 * asin(sqrt(least(1, pow(sin((m.theta - x.theta) / 2), 2) + sin(x.theta) * sin(m.theta) * pow(sin((m.phi - x.phi) / 2), 2)))) AS arc FROM x, mesh m),
+  e AS (SELECT *, exp(-pow(arc / sigma, 2) / 2) AS w FROM g WHERE arc <= 4 * sigma), t AS (SELECT vec_id, sum(w * da) AS total FROM e GROUP BY 1) SELECT iy, ix, round(sum(flux * w / total), 6) AS br FROM e JOIN t USING (vec_id) GROUP BY 1, 2"""
+
+
+def _points(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     pts = _sphere(spark, d).select(F.col("vec_id").alias("point_id"), "theta", "phi", (F.col("label") - 4.5).alias("flux"))
-    mesh = _with_area(pixels(spark, d)).select("iy", "ix", "theta", "phi", "da").distinct()
+    return pts, _with_area(pixels(spark, d)).select("iy", "ix", "theta", "phi", "da").distinct()
+
+
+def _axes(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    rows = lambda n, f: grid.mesh_axis(spark.range(n).select(F.lit("a").alias("axis"), F.col("id").alias("i"), f(F.col("id")).alias("coord")))
+    return rows(20, lambda i: (i + 0.5) * (pi / 20)), rows(40, lambda i: (i + 0.5) * (2 * pi / 40))
+
+
+@query(_spread_sql("0.2::DOUBLE"))
+def j15_project_points(spark: SparkSession, d: str) -> DataFrame:
+    pts, mesh = _points(spark, d)
     return rounded(grid.project_points(pts, mesh, 0.2), 6, "br")
 
 
+@query(_spread_sql(f"((0.5 - 0.3) * pow(cos(theta), 2) + 0.3) / {grid.FWHM}::DOUBLE"))
+def j15_project_smooth(spark: SparkSession, d: str) -> DataFrame:
+    """Widths that change smoothly with latitude."""
+    pts, mesh = _points(spark, d)
+    return rounded(grid.project_points(grid.point_widths(pts, "smooth", pole=0.5, equator=0.3), mesh), 6, "br")
+
+
+_CELL = """(CASE WHEN {c} <= 0.5 * {w} THEN 0.5 + greatest(0, {c} / {w} - 0.5) / 2 WHEN {c} >= ({n} - 0.5) * {w} THEN 0.5
+  WHEN {c} < 1.5 * {w} THEN 0.5 + 0.5 * ({c} / {w} - 0.5) WHEN {c} > ({n} - 1.5) * {w} THEN 0.5 + 0.5 * ({n} - 0.5 - {c} / {w}) ELSE 1 END * {w})"""
+_DT, _DP = _CELL.format(c="theta", w="(pi() / 20)", n=20), _CELL.format(c="phi", w="(2 * pi() / 40)", n=40)
+
+
+@query(_spread_sql(f"2 * sqrt(pow({_DT}, 2) + sin(theta) * pow({_DP}, 2)) / {grid.FWHM}::DOUBLE"))
+def j15_project_local(spark: SparkSession, d: str) -> DataFrame:
+    """Widths from the mesh cell at each point; end cells are half cells."""
+    pts, mesh = _points(spark, d)
+    return rounded(grid.project_points(grid.point_widths(pts, "local", *_axes(spark)), mesh), 6, "br")
+
+
+@query(_spread_sql(f"""greatest(2 * sqrt(pow({_DT}, 2) + sin(theta) * pow({_DP}, 2)), 2 * (SELECT 2 * asin(least(1, dd / 2)) FROM (SELECT sqrt(pow(sin(sp.theta) * cos(sp.phi) - sin(o.theta) * cos(o.phi), 2) + pow(sin(sp.theta) * sin(sp.phi) - sin(o.theta) * sin(o.phi), 2) + pow(cos(sp.theta) - cos(o.theta), 2)) AS dd
+  FROM sp o WHERE o.vec_id <> sp.vec_id ORDER BY 1 LIMIT 1 OFFSET 9))) / {grid.FWHM}::DOUBLE"""))
+def j15_project_adaptive(spark: SparkSession, d: str) -> DataFrame:
+    """Widths from the mesh and the tenth nearest point."""
+    pts, mesh = _points(spark, d)
+    return rounded(grid.project_points(grid.point_widths(pts, "adaptive", *_axes(spark)), mesh), 6, "br")
+
+
 def _least_reached(edges: str) -> str:
     """SQL of components: every node keeps the least node that reached it, and hands it on whenever it falls."""
     return f"""WITH RECURSIVE e AS ({edges}), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import regions, tracks
-from ..plans.graph import cheapest_path
+from ..plans.graph import cheapest_paths
 from .base import PIXELS, pixels, query, read, rounded
 from .grids import DA, LABEL, SPHERE, _region_px, _sphere
 
@@ -116,12 +116,19 @@ def a26_weight_hist(spark: SparkSession, d: str) -> DataFrame:
     return tracks.weight_hist(_graph(spark, d)[1])
 
 
-@query()
+def _ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Of each user the first and the last event, which lie furthest apart."""
+    first = nodes.join(edges.select(F.col("v").alias("node")), "node", "left_anti").select(F.col("user_id").alias("pair"), F.col("node").alias("src"))
+    last = nodes.join(edges.select(F.col("u").alias("node")), "node", "left_anti").select(F.col("user_id").alias("pair"), F.col("node").alias("dst"))
+    return first.join(last, "pair")
+
+
+@query(f"""WITH {GRAPH}, w AS (SELECT e.event_id, e.user_id, row_number() OVER o - 1 AS step, lag(event_type) OVER o AS before, event_type, lag(value) OVER o AS weight FROM events e WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id))
+  SELECT user_id AS pair, CAST(step AS INTEGER) AS step, CAST(event_id AS VARCHAR) AS node, round(sum(CASE WHEN before IS NULL OR before = event_type THEN 0 ELSE round((1 - weight / 500) * 1000000) END) OVER (PARTITION BY user_id ORDER BY step) / 1000000, 6) AS cost FROM w""")
 def i8_cheapest_path(spark: SparkSession, d: str) -> DataFrame:
+    """The paths from each user's first event to the last."""
     nodes, edges = _graph(spark, d)
-    first = nodes.groupBy("user_id").agg(F.min(F.col("node").cast("long")).alias("a")).orderBy("user_id").first()
-    goal = edges.where(F.col("u") == str(first.a)).first()
-    return cheapest_path(edges, nodes, str(first.a), goal.v if goal else str(first.a))
+    return rounded(cheapest_paths(edges, nodes, _ends(nodes, edges)), 6, "cost")
 
 
 @query(f"""WITH {GRAPH}, p AS (SELECT node FROM nod WHERE area >= 300), n AS (SELECT v AS node FROM edg WHERE weight >= 0.6 AND u IN (SELECT node FROM p) UNION SELECT u FROM edg WHERE weight >= 0.6 AND v IN (SELECT node FROM p) UNION SELECT node FROM p),
@@ -133,11 +140,15 @@ def i9_expand_path(spark: SparkSession, d: str) -> DataFrame:
     return _nodes_and_edges(*tracks.expand_path(nodes.where("area >= 300"), edges, nodes, 0.6))
 
 
-@query()
+@query(f"""WITH {GRAPH}, p AS (SELECT node FROM nod WHERE user_id = (SELECT min(user_id) FROM nod)), n AS (SELECT v AS node FROM edg WHERE weight >= 0.9 AND u IN (SELECT node FROM p) UNION SELECT u FROM edg WHERE weight >= 0.9 AND v IN (SELECT node FROM p) UNION SELECT node FROM p),
+  wide AS (SELECT node FROM nod WHERE id IN (SELECT id FROM nod WHERE node IN (SELECT node FROM n)))
+  SELECT node AS u, NULL::VARCHAR AS v, NULL::DOUBLE AS weight FROM wide UNION ALL SELECT u, v, weight FROM edg WHERE u IN (SELECT node FROM wide) AND v IN (SELECT node FROM wide)""")
 def i9_expand_cheapest_path(spark: SparkSession, d: str) -> DataFrame:
-    """Nodes (v and weight null) and edges around the path of i8."""
+    """Nodes (v and weight null) and edges around the path of i8 for the first user."""
     nodes, edges = _graph(spark, d)
-    return _nodes_and_edges(*tracks.expand_path(i8_cheapest_path(spark, d), edges, nodes, 0.9))
+    first = nodes.agg(F.min("user_id").alias("pair"))
+    path = cheapest_paths(edges, nodes, _ends(nodes, edges).join(F.broadcast(first), "pair"))
+    return _nodes_and_edges(*tracks.expand_path(path, edges, nodes, 0.9))
 
 
 def _nodes_and_edges(wide: DataFrame, inside: DataFrame) -> DataFrame:
