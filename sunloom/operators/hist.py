@@ -283,6 +283,31 @@ def regress(df: DataFrame, y: str, x: str, by: Sequence[str], intercept: float |
     return df.groupBy(*by).agg((F.sum(c * (F.col(y) - intercept)) / F.sum(F.when(F.col(y).isNotNull(), c * c))).alias("slope"), F.lit(float(intercept)).alias("intercept"))
 
 
+def regress_stacked(df: DataFrame, rows: Sequence[tuple[str, Sequence[str | None]]], by: Sequence[str]) -> DataFrame:
+    """One least-squares fit to several kinds of rows at once, such as means and deviations (A28): by, c0, c1, ...
+
+    rows: of each kind the dependent column and one column (or a number as text) for each coefficient; None: the kind
+    does not bear on it. Rows with a null among them don't count.
+    """
+    k = len(rows[0][1])
+    one = lambda x: F.lit(0.0) if x is None else F.expr(x).cast("double")
+    kinds = F.array(*[F.struct(F.col(y).cast("double").alias("y"), *[one(x).alias(f"x{i}") for i, x in enumerate(xs)]) for y, xs in rows])
+    each = df.select(*by, F.explode(kinds).alias("r")).select(*by, "r.*").dropna(subset=["y", *(f"x{i}" for i in range(k))])
+    return solve_normal(each, by, F.col("y"), [F.col(f"x{i}") for i in range(k)])
+
+
+def cadence_fits(images: DataFrame, bins: DataFrame, ref: DataFrame, edges: Sequence[float], ks: Sequence[int], by: Sequence[str], order: Sequence[str], key: str = "data_id", within: float = 1e-4) -> DataFrame:
+    """by, cadence, slope, shift, sse: each group fitted anew from the histograms of every k-th image.
+
+    images: key, by, order; bins: key, i_int, n; ref: i_int, share.
+    """
+    parts = [subsample_cadence(images, k, by, order).select(key, *by, F.lit(k).alias("cadence")) for k in ks]
+    use = reduce(lambda a, b: a.unionByName(b), parts)
+    sums = bins.join(use, key).groupBy(*by, "cadence", "i_int").agg(F.sum("n").alias("n"))
+    group = [*by, "cadence"]
+    return fit_linear(table(normalize(sums, group), "cadence"), ref, edges, group, within=within)
+
+
 def subsample_cadence(df: DataFrame, k: int, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Every k-th row of each group in order, from the first."""
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where((F.col("__r") - 1) % k == 0).drop("__r")

@@ -126,7 +126,7 @@ def query_maps(maps: DataFrame, combos: DataFrame, members: DataFrame, images: D
     if image_ids is not None:
         sets = with_members(sets, members, "combo_id", "data_id", image_ids, any)
     if wavelengths is not None:
-        seen = members.join(images.select("data_id", "wavelength"), "data_id")
+        seen = members.join(sets.select("combo_id"), "combo_id", "left_semi").join(images.select("data_id", "wavelength"), "data_id")
         sets = with_members(sets, seen, "combo_id", "wavelength", wavelengths, any)
     found = maps.join(sets.select("combo_id", "date_mean", "date_min", "date_max", "n_images"), "combo_id")
     if method_names is not None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from math import pi
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,8 @@ from ..functions import geometry as geo
 from ..functions import photometry as phot
 from ..operators import grid, merge, regions
 from ..plans.graph import components
+from ..plans.tables import shared_dir
+from ..sources import rasters, store
 from .base import PIXELS, pixels, query, read, rounded
 
 VALID = "(data >= 0 AND mu >= 0.92)"
@@ -43,6 +46,26 @@ def _logged(df: DataFrame) -> DataFrame:
     return rounded(df.withColumn("log_data", F.log10("data")).drop("data"), 9, "log_data")
 
 
+@query(f"""WITH {PIXELS} SELECT g.map_id, CAST(y AS INTEGER) AS iy, CAST(x AS INTEGER) AS ix, x::DOUBLE AS x, y * 0.5::DOUBLE AS y, px.data FROM (SELECT DISTINCT map_id FROM px) g CROSS JOIN range(20) a(y) CROSS JOIN range(40) b(x) LEFT JOIN px ON px.map_id = g.map_id AND px.iy = y AND px.ix = x""")
+def s3_raster_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Maps as rasters with axes, and back to pixels."""
+    px = pixels(spark, d).select("map_id", "iy", "ix", "data")
+    full = px.select("map_id").distinct().withColumn("iy", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumn("ix", F.explode(F.sequence(F.lit(0), F.lit(39)))).join(px, ["map_id", "iy", "ix"], "left")
+    axis = lambda n, step: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i * F.lit(step))
+    return rasters.raster_to_pixels(rasters.pixels_to_raster(full).withColumns({"x": axis(40, 1.0), "y": axis(20, 0.5)}))
+
+
+@query(f"WITH {PIXELS} SELECT map_id, iy, ix, CASE WHEN map_id % 2 = 1 THEN 2 * data ELSE data END AS data, CAST(TIMESTAMP '2020-01-01' + to_days(CAST(map_id % 20 AS INTEGER)) AS DATE) AS map_date FROM px")
+def s4_map_store(spark: SparkSession, d: str) -> DataFrame:
+    """All maps in one commit, then those of odd number anew; read as of the last."""
+    px = pixels(spark, d).select("map_id", "iy", "ix", "data")
+    info = px.select("map_id").distinct().withColumn("date_mean", F.expr("TIMESTAMP_NTZ '2020-01-01 00:00:00' + make_dt_interval(cast(map_id % 20 as int))"))
+    path = f"{shared_dir(spark)}/maps-{uuid.uuid4().hex}"
+    store.write_maps(px, info, path)
+    store.write_maps(px.where("map_id % 2 = 1").withColumn("data", 2 * F.col("data")), info.where("map_id % 2 = 1"), path)
+    return store.read_maps(spark, path)[0]
+
+
 @query(f"WITH {LOW} SELECT map_id, iy, ix, data FROM lo")
 def f9_mask_low(spark: SparkSession, d: str) -> DataFrame:
     return _low(spark, d).select("map_id", "iy", "ix", "data")
@@ -176,13 +199,28 @@ def i1_grow_one_round(spark: SparkSession, d: str) -> DataFrame:
     return regions.grow_regions(_frames(spark, d), 10.0, 25.0, 3, 1).select("frame", "iy", "ix", "hole")
 
 
-@query()
+def _growth_sql(pairs: str, select: str, nc: int = 3) -> str:
+    """SQL of growth until nothing changes, for each pair (draw, t1, t2): a cell keeps which of its ring are holes, and is
+    looked at again when one of them turns."""
+    table = ", ".join("true" if ok else "false" for ok in regions._runs(nc))
+    ring = ", ".join(f"({k}, {dy}, {dx})" for k, (dy, dx) in enumerate(regions.RING))
+    return f"""WITH RECURSIVE {GROWN}, pair(draw, t1, t2) AS (VALUES {pairs}), ring(k, dy, dx) AS (VALUES {ring}), e AS (SELECT frame, min(iy) AS y0, max(iy) AS y1, min(ix) AS x0, max(ix) AS x1 FROM fr GROUP BY 1),
+  c AS (SELECT frame, iy, ix, draw, value <= t1 AS seed FROM fr JOIN e USING (frame), pair WHERE iy > y0 AND iy < y1 AND ix > x0 AND ix < x1 AND (value <= t1 OR value <= t2)),
+  w(frame, iy, ix, draw, mask, hole) USING KEY (frame, iy, ix, draw) AS (SELECT frame, iy, ix, draw, 0, seed FROM c
+    UNION SELECT n.frame, n.iy, n.ix, n.draw, n.mask | bit_or(1 << k), [{table}][(n.mask | bit_or(1 << k)) + 1] FROM w JOIN ring ON w.hole JOIN recurring.w AS n ON n.frame = w.frame AND n.draw = w.draw AND n.iy = w.iy - dy AND n.ix = w.ix - dx WHERE NOT n.hole GROUP BY n.frame, n.iy, n.ix, n.draw, n.mask HAVING (n.mask | bit_or(1 << k)) <> n.mask)
+  {select}"""
+
+
+_HOLES = "SELECT fr.frame, fr.iy, fr.ix, CASE WHEN w.hole THEN 1 ELSE 0 END AS hole FROM fr LEFT JOIN w USING (frame, iy, ix)"
+
+
+@query(_growth_sql("(0, 10.0, 30.0)", _HOLES))
 def i1_grow_tiles(spark: SparkSession, d: str) -> DataFrame:
     """Growth tile by tile; equals i1_grow_regions."""
     return regions.grow_tiles(_frames(spark, d), 10.0, 30.0, size=8).select("frame", "iy", "ix", "hole")
 
 
-@query()
+@query(_growth_sql("(0, 10.0, 30.0)", _HOLES))
 def i1_grow_regions(spark: SparkSession, d: str) -> DataFrame:
     return regions.grow_regions(_frames(spark, d), 10.0, 30.0).select("frame", "iy", "ix", "hole")
 
@@ -289,7 +327,8 @@ def a30_threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
     return regions.threshold_sweep(_frames(spark, d), pairs).select("frame", "draw", "n_holes")
 
 
-@query()
+@query(_growth_sql(", ".join(f"({k}, {t1}, {t2})" for k, (t1, t2) in enumerate((a, b) for a in (5.0, 10.0, 15.0) for b in (20.0, 30.0, 40.0))), """, n AS (SELECT frame, draw, count(*) FILTER (hole) AS n FROM w GROUP BY 1, 2)
+  SELECT f.frame, p.draw, p.t1::DOUBLE AS t1, p.t2::DOUBLE AS t2, CAST(coalesce(n.n, 0) AS BIGINT) AS n_holes FROM (SELECT DISTINCT frame FROM fr) f CROSS JOIN pair p LEFT JOIN n ON n.frame = f.frame AND n.draw = p.draw"""))
 def a30_threshold_grid(spark: SparkSession, d: str) -> DataFrame:
     """Growth until nothing changes for each pair of a grid; a30_threshold_sweep, which has SQL, has seeds only."""
     pairs = [(k, t1, t2) for k, (t1, t2) in enumerate((a, b) for a in (5.0, 10.0, 15.0) for b in (20.0, 30.0, 40.0))]
@@ -344,21 +383,43 @@ def m7_scale_log(spark: SparkSession, d: str) -> DataFrame:
     return px.select("map_id", "iy", "ix", F.round(phot.scale_log(F.col("data"), F.lit(1.1), F.lit(-0.2)), 3).alias("scaled"), (phot.usable(F.col("mu") - 0.95, F.col("data"), 30000.0)).alias("usable"))
 
 
+@query(f"""WITH {PIXELS}, m AS (SELECT map_id, iy, ix, mu - 1 AS a, mu * mu - 1 AS b, mu * mu * mu - 1 AS c FROM px) SELECT map_id, iy, ix, round(1 + 0.4 * a - 0.2 * b + 0.1 * c, 8) AS beta, round(0.5 * a + 0.3 * b - 0.6 * c, 8) AS y FROM m""")
+def m6_limb_cubic(spark: SparkSession, d: str) -> DataFrame:
+    beta, y = phot.limb_factors("cubic", [F.lit(v) for v in (0.4, -0.2, 0.1, 0.5, 0.3, -0.6)], F.col("mu"))
+    return rounded(pixels(spark, d).select("map_id", "iy", "ix", beta.alias("beta"), y.alias("y")), 8, "beta", "y")
+
+
+@query(f"""WITH {PIXELS}, m AS (SELECT map_id, iy, ix, greatest(mu - 0.9, 0.1) AS u FROM px), f AS (SELECT *, -0.05 * (u - 1) - 0.3 * log10(u) AS f1, -0.01 * (u - 1) + 0.4 * log10(u) AS f0 FROM m)
+  SELECT map_id, iy, ix, round(-1 / (f1 - 1), 8) AS beta, round((-6 * f1 - f0) * (-1 / (f1 - 1)), 8) AS y FROM f""")
+def m6_limb_theoretic(spark: SparkSession, d: str) -> DataFrame:
+    """At the disk's rim, where mu counts as 0.1 at least."""
+    beta, y = phot.limb_factors("theoretic", [F.lit(v) for v in (-0.05, -0.3, -0.01, 0.4, -1.0, 6.0)], F.col("mu") - 0.9)
+    return rounded(pixels(spark, d).select("map_id", "iy", "ix", beta.alias("beta"), y.alias("y")), 8, "beta", "y")
+
+
 @query(f"""WITH {PIXELS} SELECT map_id, iy, ix, round(1 - 0.3 + 0.3 * pow(mu, 2), 8) AS beta, round(0.1 * log10(mu), 8) AS y FROM px""")
 def m6_limb_factors(spark: SparkSession, d: str) -> DataFrame:
     beta, y = phot.limb_factors("power_log", [F.lit(0.3), F.lit(2.0), F.lit(0.1)], F.col("mu"))
     return rounded(pixels(spark, d).select("map_id", "iy", "ix", beta.alias("beta"), y.alias("y")), 8, "beta", "y")
 
 
-@query()
+@query(f"""WITH {PIXELS}, cell AS (SELECT DISTINCT iy, ix, (ix + 0.5) * 2 * pi() / 40 AS phi, (iy + 0.5) / 10 - 1 AS s FROM px), v AS (SELECT DISTINCT map_id AS data_id, radians(map_id * 40.0) AS lon, radians(5.0) AS b FROM px),
+  g AS (SELECT data_id, iy, ix, sqrt(1 - s * s) * sin(phi - lon) AS x, s * cos(b) - sqrt(1 - s * s) * cos(phi - lon) * sin(b) AS y, s * sin(b) + sqrt(1 - s * s) * cos(phi - lon) * cos(b) AS z FROM cell, v),
+  f AS (SELECT data_id, iy, ix, z AS mu, (x + 1) * 39 / 2 AS fx, (y + 1) * 19 / 2 AS fy FROM g WHERE z > 0), q AS (SELECT *, CAST(floor(fx) AS INTEGER) AS jx, CAST(floor(fy) AS INTEGER) AS jy FROM f),
+  a AS (SELECT data_id, iy, ix, mu, jy + b AS py, jx + a AS px_, (CASE WHEN a = 1 THEN fx - jx ELSE 1 - (fx - jx) END) * (CASE WHEN b = 1 THEN fy - jy ELSE 1 - (fy - jy) END) AS w FROM q, range(2) t(a), range(2) u(b)),
+  r AS (SELECT a.data_id, a.iy, a.ix, a.mu, sum(w * p.data) AS s, bool_and(p.data IS NOT NULL) AS ok FROM a LEFT JOIN px p ON p.map_id = a.data_id AND p.iy = a.py AND p.ix = a.px_ WHERE w > 0 GROUP BY 1, 2, 3, 4)
+  SELECT data_id, iy, ix, round(CASE WHEN ok THEN s END, 3) AS data, round(mu, 6) AS mu, CASE WHEN ok THEN data_id END AS origin_image FROM r""")
 def j11_project_image(spark: SparkSession, d: str) -> DataFrame:
     px = pixels(spark, d).select(F.col("map_id").alias("data_id"), "iy", "ix", "data")
     cells = pixels(spark, d).select("iy", "ix").distinct().select("iy", "ix", ((F.col("ix") + 0.5) * (2 * pi / 40)).alias("phi"), ((F.col("iy") + 0.5) / 10 - 1).alias("sinlat"))
     seen = px.select("data_id").distinct().select("data_id", (F.col("data_id") * 40.0).alias("cr_lon"), F.lit(5.0).alias("cr_lat"), F.lit(0.0).alias("crota2"))
-    return rounded(grid.project_image(px, cells, seen, -1.0, 2 / 39, -1.0, 2 / 19), 6, "data", "mu")
+    return rounded(rounded(grid.project_image(px, cells, seen, -1.0, 2 / 39, -1.0, 2 / 19), 3, "data"), 6, "mu")
 
 
-@query()
+@query(f"""WITH {PIXELS}, g AS (SELECT map_id, CAST(y AS INTEGER) AS iy, CAST(x AS INTEGER) AS ix, (y + 0.5) * pi() / 20 AS t, (x + 0.5) * 2 * pi() / 40 AS p FROM (SELECT DISTINCT map_id FROM px), range(20) a(y), range(40) b(x)),
+  s AS (SELECT *, acos(greatest(-1, least(1, sin(t) * sin(p)))) AS t2, atan2(-cos(t), sin(t) * cos(p)) AS p2 FROM g),
+  k AS (SELECT map_id, iy, ix, CAST(least(floor(round(t2 / (pi() / 20), 9)), 19) AS INTEGER) AS ky, CAST(floor(round((CASE WHEN p2 < 0 THEN p2 + 2 * pi() ELSE p2 END) / (2 * pi() / 40), 9)) AS INTEGER) % 40 AS kx FROM s)
+  SELECT k.map_id, k.iy, k.ix, px.data FROM k LEFT JOIN px ON px.map_id = k.map_id AND px.iy = ky AND px.ix = kx""")
 def j14_reproject_polar(spark: SparkSession, d: str) -> DataFrame:
     return grid.reproject_polar(pixels(spark, d), 20, 40)
 

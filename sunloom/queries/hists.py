@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import hist, quality, selection
+from ..operators import hist, limb, quality, selection
 from .base import query, read, rounded
 
 X_EDGES = [-0.005 + 0.01 * k for k in range(12)]
@@ -132,6 +132,37 @@ def a28_regress(spark: SparkSession, d: str) -> DataFrame:
     return rounded(hist.regress(m, "tax", "mu", ["instrument"]), 8, "slope", "intercept")
 
 
+@query("""WITH m AS (SELECT l_returnflag AS instrument, date_trunc('month', l_shipdate) AS month, avg(l_quantity) AS xm, stddev_pop(l_quantity) AS xs, avg(l_extendedprice / 1000) AS ym, stddev_pop(l_extendedprice / 1000) AS ys FROM lineitem GROUP BY 1, 2),
+  s AS (SELECT instrument, count(*) AS n, sum(xm) AS x, sum(ym) AS y, sum(xm * xm + xs * xs) AS xx, sum(xm * ym + xs * ys) AS xy FROM m GROUP BY 1), t AS (SELECT *, (xy - x * y / n) / (xx - x * x / n) AS c0 FROM s)
+  SELECT instrument, round(c0, 6) AS c0, round((y - c0 * x) / n, 6) AS c1 FROM t""")
+def a28_regress_stacked(spark: SparkSession, d: str) -> DataFrame:
+    """Means and deviations of a month in one fit; the intercept is that of the means."""
+    m = read(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("instrument"), F.date_trunc("month", "l_shipdate").alias("month"))
+    m = m.agg(F.avg("l_quantity").alias("xm"), F.stddev_pop("l_quantity").alias("xs"), F.avg(F.col("l_extendedprice") / 1000).alias("ym"), F.stddev_pop(F.col("l_extendedprice") / 1000).alias("ys"))
+    return rounded(hist.regress_stacked(m, [("ym", ["xm", "1"]), ("ys", ["xs", None])], ["instrument"]), 6, "c0", "c1")
+
+
+@query()
+def a29_cadence_fits(spark: SparkSession, d: str) -> DataFrame:
+    """Fits of each instrument from every image, and from every second and fourth."""
+    rows = px(spark, d)
+    images = rows.groupBy("data_id", "instrument").agg(F.min("date_obs").alias("date_obs")).withColumn("key", F.concat_ws("-", "data_id", "instrument"))
+    counts = bins(spark, d, ["data_id", "instrument"]).select(F.concat_ws("-", "data_id", "instrument").alias("key"), "i_int", "n")
+    return hist.cadence_fits(images, counts, _reference(spark, d), Y_EDGES, [1, 2, 4], ["instrument"], ["date_obs", "data_id"], "key")
+
+
+@query()
+def a10_fit_limb(spark: SparkSession, d: str) -> DataFrame:
+    """A constrained and a free limb model for each instrument and year."""
+    rows = read(spark, d, "lineitem").select(F.col("l_returnflag").alias("instrument"), F.year("l_shipdate").alias("year"), F.round(1.0 - 9 * F.col("l_discount"), 6).alias("mu"), hist.bin_of(hist.log_intensity(F.col("l_extendedprice")) - 2, LIMB_EDGES).alias("i_int"))
+    counts = rows.where("i_int IS NOT NULL").groupBy("instrument", "year", "mu", "i_int").agg(F.count("*").alias("n"))
+    shares = hist.normalize(counts, ["instrument", "year", "mu"])
+    return limb.fit_limb_models(shares, LIMB_EDGES, ["instrument", "year"], max_rounds=40).drop("seconds")
+
+
+LIMB_EDGES = [0.1 * k for k in range(51)]
+
+
 @query("""WITH m AS (SELECT l_returnflag AS instrument, l_discount AS mu, l_tax AS y FROM lineitem), s AS (SELECT instrument, sum((y - 0.01) * mu) / sum(mu * mu) AS slope FROM m GROUP BY 1) SELECT instrument, round(slope, 8) AS slope, 0.01::DOUBLE AS intercept FROM s""")
 def a28_regress_pinned(spark: SparkSession, d: str) -> DataFrame:
     m = read(spark, d, "lineitem").select(F.col("l_returnflag").alias("instrument"), F.col("l_discount").alias("mu"), F.col("l_tax").alias("y"))

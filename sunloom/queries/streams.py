@@ -14,7 +14,7 @@ from ..plans.tables import shared_dir
 from ..streaming import jobs
 from .base import query, read
 from .grids import _region_px
-from .hists import PX, Y_EDGES, _full
+from .hists import LIMB_EDGES, PX, Y_EDGES, _full
 
 
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -66,9 +66,6 @@ def _chain(spark: SparkSession, d: str, runs: int, step) -> None:
         step(store)
 
 
-LIMB_EDGES = [0.1 * k for k in range(51)]
-
-
 @query()
 def t1_update_limb(spark: SparkSession, d: str) -> DataFrame:
     """Histograms and then limb fits, after each of two parts of the feed; a centre a quarter."""

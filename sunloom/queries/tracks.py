@@ -99,6 +99,13 @@ def a24_rank_tracks(spark: SparkSession, d: str) -> DataFrame:
     return rounded(tracks.rank_tracks(nodes, edges), 5, "mean_area")
 
 
+@query(f"""WITH {GRAPH} SELECT min(node) AS component, round(sum(area) / count(DISTINCT frame), 5) AS mean_area, count(*) AS n_nodes FROM nod GROUP BY user_id ORDER BY sum(area) / count(DISTINCT frame) DESC, 1 LIMIT 10""")
+def o4_top_tracks(spark: SparkSession, d: str) -> DataFrame:
+    """The ten tracks of the largest mean area."""
+    nodes, edges = _graph(spark, d)
+    return rounded(tracks.rank_tracks(nodes, edges, 10), 5, "mean_area")
+
+
 @query(f"WITH {GRAPH} SELECT id, frame, round(sum(area), 4) AS area, round(sum(net_flux), 4) AS net_flux, round(sum(abs_flux), 4) AS abs_flux, count(*) AS n_nodes FROM nod GROUP BY 1, 2")
 def a25_track_series(spark: SparkSession, d: str) -> DataFrame:
     return rounded(tracks.track_series(_graph(spark, d)[0]), 4, "area", "net_flux", "abs_flux")

@@ -137,3 +137,56 @@ def test_fold_over_pages_is_the_whole_fold():
         cut = lambda x, a=a, b=b: x[(x["frame"] >= a) & (x["frame"] < b)]
         parts.append(tracks.fold_tracks(cut(df), cut(over), 0.1, 24, "proximity", state, cut(near), 0.1, 0.5))
     pd.testing.assert_frame_equal(pd.concat(parts, ignore_index=True), whole)
+
+
+def test_edges_by_a_plain_loop(spark):
+    """Edges go to the frame before, and to the latest earlier regions of the id; over no run."""
+    scenes = [scene(s) for s in (4, 7)]
+    reg = spark.createDataFrame([(r[0], r[1] + 100 * r[0], *r[2:]) for a, _ in scenes for r in a], "run long, frame long, ts timestamp_ntz, region long, theta double, phi double")
+    px = spark.createDataFrame([(p[0], p[1] + 100 * p[0], *p[2:]) for _, b in scenes for p in b], "run long, frame long, region long, iy int, ix int, da double")
+    tracked = tracks.track(reg, px, 0.1, 30).collect()
+    got = {(r.u, r.v): r.weight for r in tracks.connect(spark.createDataFrame(tracked), px.drop("run"), 0.05, ["run"]).collect()}
+    cells, name = {}, {}
+    for p in px.collect():
+        cells.setdefault((p.frame, p.region), {})[p.iy, p.ix] = p.da
+    for t in tracked:
+        name[t.frame, t.region] = f"{t.frame}_{t.id}_{t['count']}"
+    want = {}
+    for t in tracked:
+        mine = [o for o in tracked if o.run == t.run and o.frame < t.frame]
+        if not mine:
+            continue
+        before = max(o.frame for o in mine)
+        same = max((o.frame for o in mine if o.id == t.id), default=None)
+        for o in mine:
+            if o.frame == before or (o.id == t.id and o.frame == same):
+                a, b = cells[t.frame, t.region], cells[o.frame, o.region]
+                both = sum(v for c, v in a.items() if c in b)
+                mean = (both / sum(a.values()) + both / sum(b.values())) / 2
+                if mean > 0.05:
+                    want[name[o.frame, o.region], name[t.frame, t.region]] = round(mean, 3)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-3 for k in want) and len(want) > 10
+
+
+def test_clusters_of_intensity(spark):
+    """Three far intensities: the darkest two are holes, the brightest active; small regions are dropped."""
+    from sunloom.operators import regions
+
+    level = lambda y, x: 1e8 if y < 6 and x < 7 else 1e1 if y > 13 and x < 8 else 1e2 if y > 13 and x > 30 else 1e5 if (y, x) != (9, 20) else 1e8
+    df = spark.createDataFrame([(0, y, x, float(level(y, x))) for y in range(20) for x in range(40)] + [(0, 30, 30, None)], "frame int, iy int, ix int, value double")
+    got = {(r.kind, r.region.iy, r.region.ix): r.n_px for r in regions.cluster_regions(df, k=4, weight=0.001, least=5).collect()}
+    assert got == {("hole", 14, 0): 48, ("hole", 14, 31): 54, ("active", 0, 0): 42}
+
+
+def test_fits_of_every_kth_image(spark):
+    from sunloom.operators import hist
+
+    edges, rows, images = [0.1 * k for k in range(51)], [], []
+    for k in range(12):
+        at = 2.0 + (0.3 if k % 2 else 0.0)
+        images.append((k, "a", k))
+        rows += [(k, i, int(1000 * math.exp(-(((0.1 * i + 0.05 - at) / 0.3) ** 2) / 2))) for i in range(50)]
+    img, bins = spark.createDataFrame(images, "data_id int, instrument string, t int"), spark.createDataFrame(rows, "data_id int, i_int int, n long")
+    ref = bins.where("data_id = 0").crossJoin(bins.where("data_id = 0").agg(F.sum("n").alias("t"))).select("i_int", (F.col("n") / F.col("t")).alias("share"))
+    got = {r.cadence: r for r in hist.cadence_fits(img, bins, ref, edges, [1, 2], ["instrument"], ["t"]).collect()}
+    assert abs(got[2].slope - 1) < 1e-3 and abs(got[2].shift) < 3e-3 and got[2].sse < 1e-8 < got[1].sse
