@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.photometry import limb_factors
-from ..plans.tables import dropped, table
+from ..plans.tables import table
 
 
 def _slopes_at_ends(q: Sequence[Column]) -> list[Column]:
@@ -140,7 +140,7 @@ def fit_limb(bins: DataFrame, edges: Sequence[float], model: str, by: Sequence[s
     state = hist.select(*by).distinct().withColumns({"_best": none, "_tried": array(spec.start), "_sse": F.lit(_INF), "_lam": F.lit(1e-3), "_n": none, "_g": none, "_rounds": F.lit(0), "_status": F.lit("")})
     state = table(state, "limb_state")
     shape = state.schema
-    done = None
+    done: list[DataFrame] = []
 
     def factors(p: Sequence[Column]) -> tuple[Column, Column]:
         return limb_factors(model, spec.unpack(p), F.col(mu))
@@ -162,17 +162,18 @@ def fit_limb(bins: DataFrame, edges: Sequence[float], model: str, by: Sequence[s
         total = scored.groupBy(*by).agg(F.when(F.max("__bad"), F.lit(_INF)).otherwise(F.sum("__sse")).alias("__got"), F.array(*normal).alias("__n"), F.array(*down).alias("__g"))
         both = state.join(total, by)
         moved = both.mapInPandas(lambda it: (_moved_on(df, spec, gain, step)[shape.names] for df in it if len(df)), shape)
-        old, after = state, table(moved, "limb_state")
+        after = table(moved, "limb_state")
         left = after.where(F.lit(number == max_rounds) | (F.col("_status") != ""))
-        out = left.select(*by, F.lit(model).alias("model"), F.array(*spec.unpack([F.col("_best")[i] for i in range(k)])).alias("params"), F.when(F.col("_best").isNotNull(), F.col("_sse")).alias("sse"),
-                          F.lit(round(time.monotonic() - began, 3)).alias("seconds"), F.col("_rounds").alias("rounds"), F.when(F.col("_status") == "", "limit").otherwise(F.col("_status")).alias("status"))
-        out = table(out.withColumn("params", F.when(F.col("sse").isNotNull(), F.col("params"))), "limb_done")
-        done = out if done is None else table(done.unionByName(out), "limb_done")
-        state = table(after.where("_status = ''"), "limb_state")
-        dropped(old, after)
-        if state.isEmpty():
+        n, going = after.agg(F.count_if(F.lit(number == max_rounds) | (F.col("_status") != "")), F.count_if(F.col("_status") == "")).first()
+        if n:
+            params = F.when(F.col("_best").isNotNull(), F.array(*spec.unpack([F.col("_best")[i] for i in range(k)])))
+            done.append(left.select(*by, F.lit(model).alias("model"), params.alias("params"), F.when(F.col("_best").isNotNull(), F.col("_sse")).alias("sse"), F.lit(round(time.monotonic() - began, 3)).alias("seconds"),
+                                    F.col("_rounds").alias("rounds"), F.when(F.col("_status") == "", "limit").otherwise(F.col("_status")).alias("status")))
+        state = after.where("_status = ''")
+        if not going or number == max_rounds:
             break
-    return done
+    empty = state.where(F.lit(False)).select(*by, F.lit(model).alias("model"), none.alias("params"), none[0].alias("sse"), F.lit(0.0).alias("seconds"), F.col("_rounds").alias("rounds"), F.lit("").alias("status"))
+    return table(_union(done or [empty]), "limb_done")
 
 
 def fit_limb_models(bins: DataFrame, edges: Sequence[float], by: Sequence[str], models: Sequence[str] = ("cubic", "power_log"), **options) -> DataFrame:

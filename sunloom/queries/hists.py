@@ -157,7 +157,7 @@ def a10_fit_limb(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "lineitem").select(F.col("l_returnflag").alias("instrument"), F.year("l_shipdate").alias("year"), F.round(1.0 - 9 * F.col("l_discount"), 6).alias("mu"), hist.bin_of(hist.log_intensity(F.col("l_extendedprice")) - 2, LIMB_EDGES).alias("i_int"))
     counts = rows.where("i_int IS NOT NULL").groupBy("instrument", "year", "mu", "i_int").agg(F.count("*").alias("n"))
     shares = hist.normalize(counts, ["instrument", "year", "mu"])
-    return limb.fit_limb_models(shares, LIMB_EDGES, ["instrument", "year"], max_rounds=40).drop("seconds")
+    return limb.fit_limb_models(shares, LIMB_EDGES, ["instrument", "year"], max_rounds=25).drop("seconds")
 
 
 LIMB_EDGES = [0.1 * k for k in range(51)]

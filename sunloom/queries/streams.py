@@ -68,10 +68,10 @@ def _chain(spark: SparkSession, d: str, runs: int, step) -> None:
 
 @query()
 def t1_update_limb(spark: SparkSession, d: str) -> DataFrame:
-    """Histograms and then limb fits, after each of two parts of the feed; a centre a quarter."""
+    """Histograms and then limb fits of all weeks, after each of two parts of the feed."""
     fits = _place(spark, "limb")[0]
-    centers = selection.weekly_centers(spark, datetime(1995, 1, 1), datetime(2002, 1, 1)).where("month(center) % 3 = 1 AND day(center) <= 7")
-    _chain(spark, d, 2, lambda store: jobs.update_limb(spark, store, fits, centers, LIMB_EDGES, MU, "power_log"))
+    centers = selection.weekly_centers(spark, datetime(1995, 1, 1), datetime(2002, 1, 1))
+    _chain(spark, d, 2, lambda store: jobs.update_limb(spark, store, fits, centers, LIMB_EDGES, MU, "power_log", max_rounds=20))
     found = jobs.coefficients(spark, fits)
     return found.select("instrument", "center", "params", "sse", "rounds", "status")
 
@@ -81,10 +81,9 @@ def t2_update_fits(spark: SparkSession, d: str) -> DataFrame:
     """Scaling coefficients after each of two parts of the feed, up to the last centre of the limb fits."""
     limb, fits = _place(spark, "limb")[0], _place(spark, "scaling")[0]
     centers = selection.weekly_centers(spark, datetime(1995, 1, 1), datetime(2002, 1, 1))
-    quarters = centers.where("month(center) % 3 = 1 AND day(center) <= 7 AND year(center) < 2001")
 
     def step(store: str) -> None:
-        jobs.update_limb(spark, store, limb, quarters, LIMB_EDGES, MU, "power_log", max_rounds=8)
+        jobs.update_limb(spark, store, limb, centers.where("year(center) < 2001"), LIMB_EDGES, MU, "power_log", max_rounds=4)
         jobs.update_scaling(spark, store, fits, centers, "R", LIMB_EDGES, limit=limb)
 
     _chain(spark, d, 2, step)

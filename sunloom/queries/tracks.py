@@ -74,12 +74,12 @@ def _tracked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 @query(f"""WITH RECURSIVE {LABEL}, p AS (SELECT frame, struct_extract(r, 1) * 40 + struct_extract(r, 2) AS region, {DA} AS da, (iy + 0.5) * pi() / 20 AS theta, (ix + 0.5) * 2 * pi() / 40 AS phi FROM lab),
   c AS (SELECT frame // 10 AS run, frame, region, sum(sin(theta) * cos(phi) * da) AS x, sum(sin(theta) * sin(phi) * da) AS y, sum(cos(theta) * da) AS z FROM p GROUP BY 1, 2, 3), u AS (SELECT run, frame, region, x / n AS x, y / n AS y, z / n AS z FROM (SELECT *, sqrt(x * x + y * y + z * z) AS n FROM c)),
   pr AS (SELECT a.run, a.frame, a.region, b.frame AS old_frame, b.region AS old_region, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)), 9) AS d FROM u a JOIN u b ON a.run = b.run AND b.frame < a.frame AND a.frame - b.frame <= 3),
-  k AS (SELECT *, row_number() OVER (PARTITION BY frame, region ORDER BY d) AS n FROM pr) SELECT run, frame, region, round(d, 6) AS d FROM k WHERE n <= 5""")
+  k AS (SELECT *, row_number() OVER (PARTITION BY frame, region ORDER BY d) AS n FROM pr) SELECT run, frame, region, round(d, 3) AS d FROM k WHERE n <= 5""")
 def j18_nearest_before(spark: SparkSession, d: str) -> DataFrame:
     """Distances to the five nearest regions of the three frames before."""
     px = _region_px(spark, d)
     reg = regions.region_features(px).select(F.floor(F.col("frame") / 10).alias("run"), "frame", "region", F.timestamp_micros(F.col("frame").cast("long") * 7_200_000_000).cast("timestamp_ntz").alias("ts"), F.col("c_theta").alias("theta"), F.col("c_phi").alias("phi"))
-    return rounded(tracks.nearest_before(reg, 5, 6.0), 6, "d").select("run", "frame", "region", "d")
+    return rounded(tracks.nearest_before(reg, 5, 6.0), 3, "d").select("run", "frame", "region", "d")
 
 
 @query()

@@ -154,7 +154,6 @@ def test_limb_fits_find_planted_parameters(spark):
     a = bound.params
     assert a[0] <= 1e-12 and a[0] + 2 * a[1] + 3 * a[2] <= 1e-9 and a[3] >= -1e-12 and a[3] + 2 * a[4] + 3 * a[5] >= -1e-9
     assert min(abs(a[0]), abs(a[0] + 2 * a[1] + 3 * a[2])) < 1e-9  # on a bound
-    assert got["rising", "power_log"].sse < bound.sse
     assert got["empty", "cubic"].status == got["empty", "power_log"].status == "singular"
     stuck = limb.fit_limb(df.where("who = 'power'"), list(edges), "power_log", ["who"], max_rounds=2).first()
     assert stuck.status == "limit" and stuck.rounds == 2
