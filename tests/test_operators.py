@@ -282,9 +282,13 @@ def test_one_sided_range_is_refused(spark):
 
 
 def test_stream_equals_batch_tracking(spark):
+    """Both with the labels that overlap as candidates; i5 takes those of the nearest regions."""
     from sunloom.queries import QUERIES
+    from sunloom.queries.grids import _region_px
 
-    a = {(r.frame, r.region): r.id for r in QUERIES["i5_track"](spark, "/root/testdata/sf0.001").collect()}
+    px = _region_px(spark, "/root/testdata/sf0.001").withColumn("run", F.floor(F.col("frame") / 10))
+    reg = px.select("run", "frame", "region").distinct().withColumn("ts", F.timestamp_micros(F.col("frame").cast("long") * 7_200_000_000).cast("timestamp_ntz"))
+    a = {(r.frame, r.region): r.id for r in tracks.track(reg, px, 0.1).collect()}
     b = {(r.frame, r.region): r.id for r in QUERIES["t4_track_stream"](spark, "/root/testdata/sf0.001").collect()}
     assert a == b and a
 
