@@ -21,7 +21,8 @@ def write_token_orc(docs: DataFrame, out: str, path: str, end_id: int = 2, strip
     """Write one row a document (doc_id, part, row, ids) in ascending doc_id order, over files and in them.
 
     part numbers the files in order, row the rows in a file. A null text has the end id alone; null ids come first;
-    rows of one id stand in the order of their text's hash. The texts, not the ids, are shuffled.
+    rows of one id stand in the order of their text's hash, and are cut into ranges like others, also where they are equal.
+    The texts, not the ids, are shuffled.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,8 +39,9 @@ def write_token_orc(docs: DataFrame, out: str, path: str, end_id: int = 2, strip
             row += n
 
     bound_batches(docs.sparkSession)
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id")
-    ordered = ordered.sortWithinPartitions("doc_id", F.xxhash64("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts.withColumns({"hash": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+    ordered = texts.repartitionByRange("doc_id", "hash", "place").sortWithinPartitions("doc_id", "hash").select("doc_id", "text")
     (
         ordered.mapInArrow(encode, SCHEMA)
         .write.option("orc.stripe.size", str(stripe_mb << 20))
