@@ -98,7 +98,8 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, s
 
     Labels of pages come by their id; a null or missing label teaches nothing, a null url has no tokens. Where no
     fixed rule fits, a url is blocked if it holds all items of a mined rule. Mined rules are an inverted index by
-    their rarest item, broadcast if they are at most `bound`, else shuffled.
+    their rarest item, broadcast if they are at most `bound`, else shuffled. Urls are judged once by host and path;
+    verdicts of the few that make up a thousandth of all rows or more are broadcast, the others are joined.
     """
     host, path = host_and_path(F.col("url"))
     urls = pages.select(F.col("page_id"), F.col("url"), host.alias("host"), path.alias("path"))
@@ -106,9 +107,16 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, s
     labelled = urls.join(known, F.col("page_id") == F.col("doc_id")).select(tokens(F.col("host"), F.col("path")).alias("items"), "bad")
     index = written(mine_rules(labelled, mining), "url_rules")
     index = sized_broadcast(index.select("rare", F.col("items").alias("needs")), index.count(), bound)
-    spread = urls.select("host", "path").distinct().withColumn("items", tokens(F.col("host"), F.col("path")))
+    counts = written(urls.groupBy("host", "path").agg(F.count("*").alias("n")), "url_counts")
+    spread = counts.withColumn("items", tokens(F.col("host"), F.col("path")))
     hits = spread.select("host", "path", "items", F.explode("items").alias("rare")).join(index, "rare").where(F.size(F.array_except("needs", "items")) == 0)
-    hits = hits.select("host", "path").distinct().withColumn("mined", F.lit("block"))
+    hits = written(hits.select("host", "path").distinct().withColumn("mined", F.lit("block")), "url_hits")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where(F.col("n") >= max(2, total / 1000)).select("host", "path")  # 1000 rows at most
+    hot = F.broadcast(hot.join(hits, ["host", "path"], "left").select("host", "path", F.coalesce("mined", F.lit("allow")).alias("judged")))
+    # a url judged already gets a number of its own in place of 0, so it meets no hit and hot urls spread
+    out = urls.withColumn("place", F.monotonically_increasing_id()).join(hot, ["host", "path"], "left")
+    out = out.withColumn("apart", F.when(F.col("judged").isNull(), 0).otherwise(F.col("place") + 1))
+    out = out.join(hits.withColumn("apart", F.lit(0).cast("long")), ["host", "path", "apart"], "left")
     named, verdict = fixed_rule(F.col("host"), F.col("path"), rules)
-    out = urls.join(hits, ["host", "path"], "left")
-    return out.select("page_id", "host", "path", named.alias("rule"), F.coalesce(verdict, F.col("mined"), F.lit("allow")).alias("verdict"))
+    return out.select("page_id", "host", "path", named.alias("rule"), F.coalesce(verdict, "judged", "mined", F.lit("allow")).alias("verdict"))
