@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.times import DAY, at_micros, micros
 from ..plans.asof import bucketed_range_join
+from ..plans.tables import table
 
 
 def time_grid(spark: SparkSession, start: datetime, end: datetime, hours: float, align: bool = False) -> DataFrame:
@@ -83,15 +84,23 @@ def select_synchronic(images: DataFrame, targets: DataFrame, instruments: Sequen
     if nearest is not None:
         w = Window.partitionBy(target, "instrument").orderBy(F.abs(F.col("__t") - F.col("__c")), "__t", "data_id")
         near = near.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= nearest)
-    found = targets.select(F.col(target), micros(F.col(target)).alias("__c"))
-    one = F.struct(F.col("data_id"), F.col("__t").alias("t"))
+    near = table(near.select(target, "instrument", "data_id", "__t", "__c"), "synchronic_near")
     day = float(DAY)
+    firsts = near.groupBy(target, "__c", "instrument").agg(F.min_by("__t", F.struct(F.abs(F.col("__t") - F.col("__c")), "__t", "data_id")).alias("__t"))
+    square = lambda a, b: F.pow((a - b) / day, 2)
+    total = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda s, x: s + f(x))
+    bound = total("__ts", lambda x: square(x, F.col("__c"))) + total("__ts", lambda x: total("__ts", lambda y: square(x, y))) / 2
+    bounds = firsts.groupBy(target, "__c").agg(F.collect_list("__t").alias("__ts")).select(target, (bound * (1 + 1e-9) + 1e-14).alias("__most"))
+    near = near.join(bounds, target).where(square(F.col("__t"), F.col("__c")) <= F.col("__most"))
+    found = targets.select(F.col(target), micros(F.col(target)).alias("__c")).join(bounds, target, "left")
+    one = F.struct(F.col("data_id"), F.col("__t").alias("t"))
     found = found.withColumns({"__cost": F.lit(0.0), "__set": F.array().cast("array<struct<data_id:bigint,t:bigint>>")})
     for name in instruments:
         mine = near.where(F.col("instrument") == name).select(target, one.alias("__x"))
         found = found.join(mine, target, "left")
         gap = F.aggregate("__set", F.lit(0.0), lambda s, x: s + F.pow((F.col("__x.t") - x["t"]) / day, 2)) + F.pow((F.col("__x.t") - F.col("__c")) / day, 2)
         found = found.withColumn("__cost", F.col("__cost") + F.coalesce(gap, F.lit(0.0))).withColumn("__set", F.when(F.col("__x").isNull(), F.col("__set")).otherwise(F.array_append("__set", F.col("__x")))).drop("__x")
+        found = found.where(F.col("__most").isNull() | (F.col("__cost") <= F.col("__most")))
     best = found.groupBy(target).agg(F.min_by("__set", F.struct(F.round("__cost", 15), F.transform("__set", lambda x: x["t"]), "__set")).alias("__set"))
     picked = best.select(target, F.explode("__set").alias("x")).select(target, F.col("x.data_id").alias("data_id"))
     return picked.join(images, "data_id").select(target, *images.columns)

@@ -29,17 +29,51 @@ def region_overlap(px_a: DataFrame, px_b: DataFrame, key_a: Sequence[str] = ("fr
     return out.select(*key_a, *key_b, "shared", (F.col("shared") / F.col("__a")).alias("share_a"), (F.col("shared") / F.col("__b")).alias("share_b"))
 
 
-def knn_label_probs(test: DataFrame, train: DataFrame, k: int = 10, thr: float = 0.0, by: Sequence[str] = ()) -> DataFrame:
+def nearest_points(test: DataFrame, train: DataFrame, k: int, by: Sequence[str] = (), cell: float | None = None) -> DataFrame:
+    """(test_id, train_id, label, d): the k nearest training points of each test point (all, if they are fewer), by chord
+    rounded to 12 digits, then train_id. Points without a place are left out.
+
+    Points meet through cubes of the unit ball, within the columns of `by`. The first cubes are as wide as k / 4 points of
+    the largest group would need if spread evenly (cell: another width). What has k points within a cube's width is
+    done; the rest, less in every round, asks again with twice the width, and last among all of its group.
+    """
+    if cell is None:
+        most = train.groupBy(*by).count().agg(F.max("count")).first()[0] or 1
+        cell = min(2.0, max(1e-4, (k / most) ** 0.5))
+    x, y, z = to_cartesian(F.col("theta"), F.col("phi"))
+    place = {"__x": x, "__y": y, "__z": z}
+    todo = table(test.select(*by, "test_id", "theta", "phi").withColumns(place).where("__x IS NOT NULL AND __y IS NOT NULL AND __z IS NOT NULL"), "knn_test")
+    have = table(train.select(*by, "train_id", "label", F.col("theta").alias("__u"), F.col("phi").alias("__v"), x.alias("__x"), y.alias("__y"), z.alias("__z")), "knn_train")
+    d = F.round(chord((F.col("theta"), F.col("phi")), (F.col("__u"), F.col("__v"))), 12)
+    done = None
+    while True:
+        cube = {f"__c{c}": F.floor(F.col(f"__{c}") / cell).cast("int") for c in "xyz"}
+        around = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("abc", (a, b, c), strict=True)]) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
+        ask = todo.withColumns(cube).withColumn("__o", F.explode(around))
+        ask = ask.select(*by, "test_id", "theta", "phi", *[(F.col(f"__c{c}") + F.col(f"__o.{o}")).alias(f"__c{c}") for c, o in zip("xyz", "abc", strict=True)])
+        met = ask.join(have.withColumns(cube).drop("__x", "__y", "__z"), [*by, "__cx", "__cy", "__cz"]).withColumn("d", d)
+        met = met if cell >= 2 else met.where(F.col("d") <= cell * (1 - 1e-9) - 1e-12)
+        near = met.withColumn("__n", F.row_number().over(Window.partitionBy(*by, "test_id").orderBy("d", "train_id"))).where(F.col("__n") <= k)
+        if cell < 2:
+            near = near.withColumn("__k", F.count("*").over(Window.partitionBy(*by, "test_id"))).where(F.col("__k") == k)
+        got = table(near.select(*by, "test_id", "train_id", "label", "d"), "knn_found")
+        done = got if done is None else done.unionByName(got)
+        if cell >= 2:
+            break
+        todo = table(todo.join(got.select(*by, "test_id").distinct(), [*by, "test_id"], "left_anti"), "knn_todo")
+        if todo.isEmpty():
+            break
+        cell = 2.0 if cell > 0.5 else 2 * cell
+    return done.select("test_id", "train_id", "label", "d")
+
+
+def knn_label_probs(test: DataFrame, train: DataFrame, k: int = 10, thr: float = 0.0, by: Sequence[str] = (), cell: float | None = None) -> DataFrame:
     """(test_id, label, prob): shares of inverse chord distance of the labels of the k nearest training points.
 
     test: test_id, theta, phi; train: train_id, theta, phi, label; by: columns that both must share, such as a time
-    window. Points at distance 0 take all the weight. Labels of at most thr are dropped.
+    window. Points at distance 0 take all the weight. Labels of at most thr are dropped. cell: see nearest_points.
     """
-    d = chord((F.col("__t"), F.col("__p")), (F.col("theta"), F.col("phi")))
-    t = test.select(*by, "test_id", F.col("theta").alias("__t"), F.col("phi").alias("__p"))
-    pairs = t.join(train, list(by)) if by else t.crossJoin(train)  # without `by`, all pairs are what is asked
-    pairs = pairs.select("test_id", "train_id", "label", F.round(d, 12).alias("d"))
-    near = pairs.withColumn("__n", F.row_number().over(Window.partitionBy("test_id").orderBy("d", "train_id"))).where(F.col("__n") <= k)
+    near = nearest_points(test, train, k, by, cell)
     exact = F.min("d").over(Window.partitionBy("test_id")) == 0
     w = F.when(F.col("__exact"), F.when(F.col("d") == 0, 1.0).otherwise(0.0)).otherwise(1 / F.col("d"))
     got = near.withColumn("__exact", exact).withColumn("w", w).groupBy("test_id", "label").agg(F.sum("w").alias("w"))
