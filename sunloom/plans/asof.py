@@ -1,10 +1,10 @@
-"""As-of joins as one union and one window, without a range join."""
+"""As-of joins as one union and windows over ranges, without a range join."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .order import carried
@@ -14,8 +14,8 @@ def asof_bracket(left: DataFrame, right: DataFrame, left_time: str, right_time:
     """left with `before` and `after`: structs (time, payload) of the nearest right rows at or before, and at or after.
 
     A row at the same time is both. Of right rows at one time the least payload counts. A side without a row is null,
-    and so is a null time's. Rows of one group share a sort; groups are dealt over the cluster. Without groups, ranges
-    of time are, and each time that is asked is looked up once.
+    and so is a null time's. Ranges of group and time are dealt over the cluster, so a large group is no large task.
+    Without groups, each time that is asked is looked up once.
     """
     if not left_by:
         return _bracket_all(left, right, left_time, right_time, payload)
@@ -26,14 +26,9 @@ def asof_bracket(left: DataFrame, right: DataFrame, left_time: str, right_time:
     found = right.where(F.col(right_time).isNotNull()).select(*key_r, F.col(right_time).alias("__t"), F.struct(F.col(right_time).alias("time"), *payload).alias("__r"))
     found = found.groupBy(*keys, "__t").agg(F.min("__r").alias("__r")).withColumn("__l", F.lit(None).cast(left.schema))
     asked = left.select(*key_l, F.col(left_time).alias("__t"), F.lit(None).cast(found.schema["__r"].dataType).alias("__r"), F.struct(*left.columns).alias("__l"))
-    line = found.unionByName(asked)
-    # peers of one time are in each other's range, so order among them does not matter
-    w = Window.partitionBy(*keys).orderBy("__t")
-    before = F.last("__r", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first("__r", ignorenulls=True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
-    known = F.col("__t").isNotNull()
-    out = line.select("__l", F.when(known, before).alias("before"), F.when(known, after).alias("after"))
-    return out.where(F.col("__l").isNotNull()).select("__l.*", "before", "after")
+    # rows of one time are found alike by all that ask there
+    line = carried(found.unionByName(asked), "__t", "__r", by=keys)
+    return line.where(F.col("__l").isNotNull()).select("__l.*", "before", "after")
 
 
 def _bracket_all(left: DataFrame, right: DataFrame, left_time: str, right_time: str, payload: Sequence[str]) -> DataFrame:

@@ -18,43 +18,60 @@ def ranged(df: DataFrame, *order: Column | str, parts: int | None = None) -> Dat
     return table(df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()), "ranged")
 
 
-def row_numbers(df: DataFrame, order: Sequence[str], name: str = "number", parts: int | None = None) -> DataFrame:
-    """df with the place of each row in an order, from 1: its place in its range, and the rows of the ranges before."""
-    rows = ranged(df, *order, parts=parts)
-    sizes = sorted((r["__part"], r["count"]) for r in rows.groupBy("__part").count().collect())  # a row a range
-    starts, total = [], 0
-    for p, n in sizes:
-        starts.append((p, total))
-        total += n
-    before = F.broadcast(df.sparkSession.createDataFrame(starts, "__part int, __start long"))
-    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    return rows.withColumn("__own", own).join(before, "__part").withColumn(name, F.col("__start") + F.col("__own")).select(*df.columns, name)
-
-
-def carried(line: DataFrame, at: str, value: str, parts: int | None = None) -> DataFrame:
-    """line with `before` and `after`: the nearest value that isn't null at or before, and at or after, each row's `at`.
-
-    Rows with a null `at` have none. Within a range it is a window; over ranges, the last and the first value of each are
-    carried, which are as many rows as ranges.
+def row_numbers(df: DataFrame, order: Sequence[str], name: str = "number", parts: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """df with the place of each row in an order, within its group, from 1: its place in its range, and the group's rows
+    of the ranges before."""
+    rows = ranged(df, *by, *order, parts=parts)
+    sizes = _borders(rows, by, F.count("*").alias("__s"))
+    starts = sizes.select("__part", *by, F.sum("__s").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)).alias("__start"))
+    own = F.row_number().over(Window.partitionBy("__part", *by).orderBy(*order))
+    return _across(rows.withColumn("__own", own), starts, by).select(*df.columns, (F.coalesce("__start", F.lit(0)) + F.col("__own")).alias(name))
+
+
+def _borders(rows: DataFrame, by: Sequence[str], *values: Column) -> DataFrame:
+    """(__part, by, values) of the groups that lie in more than one range: two rows a range at most, since ranges follow
+    the groups."""
+    sums = rows.groupBy("__part", *by).agg(*values)
+    return sums.withColumn("__n", F.count("*").over(Window.partitionBy(*by))).where("__n > 1").drop("__n") if by else sums
+
+
+def _across(rows: DataFrame, borders: DataFrame, by: Sequence[str]) -> DataFrame:
+    """rows with the columns of their range and group in borders, null where there are none."""
+    right = F.broadcast(borders.select(F.col("__part").alias("__at"), *[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], *[c for c in borders.columns if c not in ("__part", *by)]))
+    on = F.col("__part") == F.col("__at")
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"__by{i}"))
+    return rows.join(right, on, "left")
+
+
+def carried(line: DataFrame, at: str, value: str, parts: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """line with `before` and `after`: the nearest value that isn't null at or before, and at or after, each row's `at`,
+    within its group. Peers of one `at` must not differ in their value.
+
+    Rows with a null `at` have none. Within a range it is a window, read once from either end, so its cost follows the
+    rows; over ranges, the last and the first value of each are carried, two rows a range at most.
     """
-    rows = ranged(line, at, parts=parts)
-    known = rows.where(F.col(at).isNotNull() & F.col(value).isNotNull())
-    ends = known.groupBy("__part").agg(F.min_by(value, at).alias("first"), F.max_by(value, at).alias("last"))
-    kind = line.schema[value].dataType.simpleString()
-    found = sorted(ends.collect(), key=lambda r: r["__part"])  # a row a range
-    every = sorted(r["__part"] for r in rows.select("__part").distinct().collect())
-    carry, k = [], 0
-    for p in every:
-        while k < len(found) and found[k]["__part"] < p:
-            k += 1
-        later = found[k + 1] if k < len(found) and found[k]["__part"] == p and k + 1 < len(found) else found[k] if k < len(found) and found[k]["__part"] > p else None
-        carry.append((p, found[k - 1]["last"] if k else None, None if later is None else later["first"]))
-    across = F.broadcast(line.sparkSession.createDataFrame(carry, f"__part int, __last {kind}, __first {kind}"))
-    w = Window.partitionBy("__part").orderBy(at)
-    before = F.coalesce(F.last(value, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.col("__last"))
-    after = F.coalesce(F.first(value, ignorenulls=True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing)), F.col("__first"))
+    rows = ranged(line, *by, at, parts=parts)
+    known = F.col(at).isNotNull() & F.col(value).isNotNull()
+    ends = _borders(rows, by, F.min_by(value, F.when(known, F.col(at))).alias("__f"), F.max_by(value, F.when(known, F.col(at))).alias("__l"))
+    up, down = Window.partitionBy(*by).orderBy("__part"), Window.partitionBy(*by).orderBy(F.desc("__part"))
+    beside = lambda c, w: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.withColumns({"__last": beside("__l", up), "__first": beside("__f", down)}).drop("__f", "__l")
+    group = Window.partitionBy("__part", *by)
+    near = lambda w: F.last(F.when(F.col(at).isNotNull(), F.col(value)), ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    # the frame after a row is read from the far end: one that ends unbounded is gone through anew for every row
+    seen = rows.withColumn("__up", near(group.orderBy(at))).withColumn("__down", near(group.orderBy(F.desc(at))))
     has = F.col(at).isNotNull()
-    return rows.join(across, "__part", "left").select(*line.columns, F.when(has, before).alias("before"), F.when(has, after).alias("after"))
+    return _across(seen, ends, by).select(*line.columns, F.when(has, F.coalesce("__up", "__last")).alias("before"), F.when(has, F.coalesce("__down", "__first")).alias("after"))
+
+
+def counted_upto(line: DataFrame, at: str, n: str, by: Sequence[str] = (), name: str = "upto", parts: int | None = None) -> DataFrame:
+    """line with the sum of n over its group's rows up to each row's `at`, peers included."""
+    rows = ranged(line, *by, at, parts=parts)
+    sums = _borders(rows, by, F.sum(n).alias("__s"))
+    sums = sums.select("__part", *by, F.sum("__s").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)).alias("__start"))
+    own = F.sum(n).over(Window.partitionBy("__part", *by).orderBy(at).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return _across(rows.withColumn("__own", own), sums, by).select(*line.columns, (F.col("__own") + F.coalesce("__start", F.lit(0))).alias(name))
 
 
 def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence[str] = (), bins: int = 1024, bound: int = 100_000) -> DataFrame:
