@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import HOUR, micros
+from ..plans.order import counted_upto
 
 
 def gaps(obs: DataFrame, cadence_hours: float, start, time: str = "date_obs", by: Sequence[str] = ()) -> DataFrame:
@@ -35,9 +36,18 @@ def flag_images(moments: DataFrame, rules: DataFrame) -> DataFrame:
 
 def frames_in_window(frames: DataFrame, hours: float, time: str = "ts", by: Sequence[str] = ()) -> DataFrame:
     """frames with `in_window`: frames in the trailing time window that ends at each, itself included."""
-    keyed = frames.withColumn("__t", micros(F.col(time)))
-    w = Window.partitionBy(*by).orderBy("__t").rangeBetween(-round(hours * HOUR), 0)
-    return keyed.withColumn("in_window", F.count("*").over(w)).drop("__t")
+    span = round(hours * HOUR)
+    keys = [f"__k{i}" for i in range(len(by))]
+    key = [F.col(c).alias(k) for c, k in zip(by, keys, strict=True)]
+    times = frames.select(*key, micros(F.col(time)).alias("__t")).groupBy(*keys, "__t").agg(F.count("*").alias("__n"))
+    # what lies up to the end, less what lies up to the last moment before the window; a window frame would count each anew
+    marks = F.array(F.struct(F.col("__t").alias("at"), F.col("__n").alias("n"), F.lit(1).alias("sign")), F.struct((F.col("__t") - span - 1).alias("at"), F.lit(0).cast("long").alias("n"), F.lit(-1).alias("sign")))
+    line = times.select(*keys, "__t", F.explode(marks).alias("m")).select(*keys, "__t", "m.at", "m.n", "m.sign")
+    got = counted_upto(line, "at", "n", keys).groupBy(*keys, "__t").agg(F.when(F.col("__t").isNull(), F.sum("n")).otherwise(F.sum(F.col("sign") * F.col("upto"))).alias("in_window"))
+    rows, on = frames.withColumn("__f", micros(F.col(time))), F.col("__f").eqNullSafe(F.col("__t"))
+    for c, k in zip(by, keys, strict=True):
+        on = on & F.col(c).eqNullSafe(F.col(k))
+    return rows.join(got, on).select(*frames.columns, "in_window")
 
 
 def diff_stores(a: DataFrame, b: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
