@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.photometry import LIMB_MODELS, limb_factors
 from ..functions.times import DAY, micros
 from ..plans.asof import bucketed_range_join
-from ..plans.order import exact_quantiles
+from ..plans.order import exact_quantiles, row_numbers
 from ..plans.tables import dropped, table
 
 
@@ -309,8 +309,8 @@ def cadence_fits(images: DataFrame, bins: DataFrame, ref: DataFrame, edges: Sequ
 
 
 def subsample_cadence(df: DataFrame, k: int, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Every k-th row of each group in order, from the first."""
-    return df.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where((F.col("__r") - 1) % k == 0).drop("__r")
+    """Every k-th row of each group in order, from the first (A29), numbered by ranges of the order."""
+    return row_numbers(df, order, "__r", by=by).where((F.col("__r") - 1) % k == 0).drop("__r")
 
 
 def optimal_bins(px: DataFrame, col: str, n_from: int = 20, n_to: int = 700) -> DataFrame:

@@ -196,7 +196,8 @@ def w8_flag_images(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber) AS r FROM lineitem) WHERE (r - 1) % 6 = 0")
 def a29_subsample_cadence(spark: SparkSession, d: str) -> DataFrame:
-    return hist.subsample_cadence(read(spark, d, "lineitem"), 6, ["l_returnflag"], ["l_shipdate", "l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber")
+    rows = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_shipdate")
+    return hist.subsample_cadence(rows, 6, ["l_returnflag"], ["l_shipdate", "l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber")
 
 
 @query("""WITH s AS (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi, count(*) AS n, quantile_cont(l_quantity, 0.75) - quantile_cont(l_quantity, 0.25) AS iqr FROM lineitem),
