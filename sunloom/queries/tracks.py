@@ -118,7 +118,7 @@ def a26_edge_stats(spark: SparkSession, d: str) -> DataFrame:
     return rounded(tracks.edge_stats(edges, nodes), 8, "mean", "std", "median")
 
 
-@query(f"""WITH {GRAPH} SELECT CAST(b AS INTEGER) AS bin, count(u) AS n FROM (SELECT unnest(range(25)) AS b) LEFT JOIN edg ON least(floor(weight * 25), 24) = b GROUP BY 1""")
+@query(f"""WITH {GRAPH} SELECT CAST(b AS INTEGER) AS bin, count(u) AS n FROM (SELECT unnest(range(25)) AS b) LEFT JOIN edg ON weight BETWEEN 0 AND 1 AND least(floor(weight * 25), 24) = b GROUP BY 1""")
 def a26_weight_hist(spark: SparkSession, d: str) -> DataFrame:
     return tracks.weight_hist(_graph(spark, d)[1])
 
