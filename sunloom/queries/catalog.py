@@ -260,12 +260,14 @@ def s5_register_files(spark: SparkSession, d: str) -> DataFrame:
     return reg.register_files(f.where("data_id % 5 < 3"), f.where("data_id % 5 >= 2")).select("data_id", "out_flag")
 
 
-@query("""WITH s AS (SELECT l_suppkey AS image_id, l_linenumber AS meth_id, round(avg(l_tax) * 1000) / 1000 + 0.01 AS lat_band, count(*) AS n FROM lineitem GROUP BY 1, 2),
+@query("""WITH s AS (SELECT l_suppkey AS image_id, l_linenumber AS meth_id, round(CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS BIGINT) * 10 / count(l_tax)) / 1000 + 0.01 AS lat_band, count(*) AS n FROM lineitem GROUP BY 1, 2),
   n AS (SELECT image_id, meth_id, lat_band * (CASE WHEN image_id % 2 = 0 THEN 1.00005 ELSE 1.0005 END) AS lat_band, n + 1000 AS n FROM s WHERE image_id % 3 <> 0)
   SELECT s.image_id, s.meth_id, round(s.lat_band, 8) AS lat_band, coalesce(n.n, s.n) AS n FROM s LEFT JOIN n ON s.image_id = n.image_id AND s.meth_id = n.meth_id AND abs(s.lat_band - n.lat_band) <= 1e-4 * abs(n.lat_band)
   UNION ALL SELECT image_id, meth_id, round(lat_band, 8), n FROM n WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.image_id = n.image_id AND s.meth_id = n.meth_id AND abs(s.lat_band - n.lat_band) <= 1e-4 * abs(n.lat_band))""")
 def s6_upsert_hists(spark: SparkSession, d: str) -> DataFrame:
-    s = read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("image_id"), F.col("l_linenumber").alias("meth_id")).agg((F.round(F.avg("l_tax") * 1000) / 1000 + 0.01).alias("lat_band"), F.array(F.count("*")).alias("hist"))
+    """Bands are mean taxes in thousandths, of sums in whole hundredths: a mean halfway rounds up, whatever the order of rows."""
+    mean = F.sum(F.round(F.col("l_tax") * 100).cast("long")) * 10 / F.count("l_tax")
+    s = read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("image_id"), F.col("l_linenumber").alias("meth_id")).agg((F.round(mean) / 1000 + 0.01).alias("lat_band"), F.array(F.count("*")).alias("hist"))
     s = s.withColumns({"n_mu_bins": F.lit(1), "n_intensity_bins": F.lit(1)})
     band = F.col("lat_band") * F.when(F.col("image_id") % 2 == 0, 1.00005).otherwise(1.0005)
     new = s.where("image_id % 3 <> 0").withColumns({"lat_band": band, "hist": F.transform("hist", lambda x: x + 1000)})
