@@ -144,13 +144,18 @@ def query_maps(maps: DataFrame, combos: DataFrame, members: DataFrame, images: D
 
 
 def match_sets(wanted: DataFrame, members: DataFrame, wanted_id: str, set_id: str, member: str) -> DataFrame:
-    """Per wanted set, the one stored set with just its members, else null; more than one counts as none."""
+    """Per wanted set, the one stored set with just its members, else null; more than one counts as none.
+
+    Sets meet by their size and 128 bits of their members, not by each member that they share; the members of those that
+    meet are then compared. Stored sets of one such name count as equal. A null member equals none.
+    """
     w, m = wanted.select(wanted_id, member).distinct(), members.select(set_id, member).distinct()
-    n_w, n_m = w.groupBy(wanted_id).agg(F.count("*").alias("n_w")), m.groupBy(set_id).agg(F.count("*").alias("n_m"))
-    both = w.join(m, member).groupBy(wanted_id, set_id).agg(F.count("*").alias("n"))
-    same = both.join(n_m, set_id).join(n_w, wanted_id).where("n = n_m AND n = n_w")
-    one = same.groupBy(wanted_id).agg(F.min(set_id).alias(set_id), F.count("*").alias("k")).where("k = 1").drop("k")
-    return n_w.join(one, wanted_id, "left").select(wanted_id, set_id)
+    name = [F.count("*").alias("__n"), F.bit_xor(F.xxhash64(member)).alias("__h"), F.bit_xor(F.xxhash64(F.lit(1), member)).alias("__g"), F.count_if(F.col(member).isNull()).alias("__null")]
+    n_w = w.groupBy(wanted_id).agg(*name)
+    n_m = m.groupBy(set_id).agg(*name).where("__null = 0").groupBy("__n", "__h", "__g").agg(F.min(set_id).alias(set_id), F.count("*").alias("k")).where("k = 1").drop("k")
+    met = n_w.where("__null = 0").join(n_m, ["__n", "__h", "__g"]).select(wanted_id, set_id, "__n")
+    both = w.join(met, wanted_id).join(m, [set_id, member]).groupBy(wanted_id, set_id, "__n").agg(F.count("*").alias("n"))
+    return n_w.select(wanted_id).join(both.where("n = __n").select(wanted_id, set_id), wanted_id, "left").select(wanted_id, set_id)
 
 
 def summarize_sets(members: DataFrame, images: DataFrame, set_id: str = "combo_id", image_id: str = "data_id", date: str = "date_obs", instrument: str = "instrument") -> DataFrame:
