@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +13,18 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None) -> Callable:
+    """Register a query. Its joins broadcast by hint, or by what a shuffle measured, never by the size of files: a written
+    table of many rows may be a small file, and would be drawn into the driver."""
+
     def add(f: Callable) -> Callable:
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def run(spark: SparkSession, d: str) -> DataFrame:
+            if spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None:
+                spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold"))
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+            return f(spark, d)
+
+        QUERIES[f.__name__] = run
         if sql:
             ORACLE_SQL[f.__name__] = sql
         return f
