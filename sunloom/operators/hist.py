@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.photometry import LIMB_MODELS, limb_factors
 from ..functions.times import DAY, micros
 from ..plans.asof import bucketed_range_join
 from ..plans.order import exact_quantiles, row_numbers
-from ..plans.tables import dropped, table
+from ..plans.tables import table
 
 
 def hist_to_bins(hists: DataFrame, key: str = "hist_id", counts: str = "hist", n_int: str = "n_intensity_bins") -> DataFrame:
@@ -127,26 +130,68 @@ def _search(bins: DataFrame, start: DataFrame, ref: DataFrame, edges: Sequence[f
     """Slope and shift of the least squared distance to the reference: by, slope, shift, sse.
 
     start: by, ref_by, __c (where the group's peak is), __s0 (first slope), __p0 (where the peak should come); ref:
-    ref_by, index, __ref. Each round tries 25 pairs of slope and peak place around the best one of all groups at once and
-    shrinks them, until they stand closer than `within`. A round is a written table, so none is computed twice.
+    ref_by, index, __ref. Each round tries 25 pairs of slope and peak place around the best one and shrinks them, until
+    they stand closer than `within`. A group's histogram and its reference are arrays of one row, where candidates are
+    scored, so they make no rows to shuffle. Bins outside the edges can't be moved.
     """
-    u, v = (F.floor(F.col("id") / 5) / 2 - 1).alias("__u"), ((F.col("id") % 5) / 2 - 1).alias("__v")
-    grid = F.broadcast(bins.sparkSession.range(25).select(F.col("id").alias("cand_id"), u, v))
-    keys = [*by, *ref_by, "__c"]
-    best, size = table(start.select(*keys, "__s0", "__p0", F.lit(None).cast("double").alias("__sse")), "fit"), 1.0
+    m = len(edges) - 1
+    inside = F.col(index).between(0, m - 1)
+
+    def lists(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+        own = F.collect_list(F.when(inside & F.col(value).isNotNull(), F.struct(F.col(index).cast("int").alias("i"), F.col(value).cast("double").alias("v"))))
+        rest = F.coalesce(F.sum(F.when(inside, 0.0).otherwise(F.pow(F.col(value), 2))), F.lit(0.0))
+        got = df.groupBy(*keys).agg(own.alias("__l"), rest.alias(f"{name}_rest"), F.count("*").alias("__all")).where("__all > 0")
+        return got.select(*keys, F.transform("__l", lambda x: x["i"]).alias(f"{name}_i"), F.transform("__l", lambda x: x["v"]).alias(f"{name}_v"), f"{name}_rest")
+
+    want = lists(ref, ref_by, "__ref", "__want")
+    rows = start.join(want, list(ref_by)) if ref_by else start.crossJoin(F.broadcast(want))  # without ref_by, one row
+    rows = rows.join(lists(bins, by, n, "__own"), list(by), "left")
+    values = [F.col(c).cast("double").alias(c) for c in ("__c", "__s0", "__p0", "__want_rest")]
+    rows = rows.select(*by, *values, "__own_i", "__own_v", "__want_i", "__want_v")
+    schema = StructType([*rows.select(*by).schema.fields, *(StructField(c, DoubleType()) for c in ("slope", "shift", "sse"))])
+    bounds, keys = (float(edges[0]), float(edges[-1])), list(by)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = _best_moves(part, bounds, m, spread, within)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keys), *(pa.array(x, from_pandas=True) for x in found)], names=[*keys, "slope", "shift", "sse"])
+
+    return table(rows.mapInArrow(fit, schema), "fit")
+
+
+def _best_moves(part: pa.RecordBatch, bounds: tuple[float, float], m: int, spread: tuple[float, float], within: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slope, shift and squared distance of each row's best candidate (_search), as hist_linear would move its bins: what
+    comes to a bin is the difference of the running sum at its edges, moved back."""
+    def dense(name: str, empty: float) -> np.ndarray:
+        i, v = part.column(f"{name}_i"), part.column(f"{name}_v")
+        at = np.repeat(np.arange(part.num_rows), i.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)), i.flatten().to_numpy(zero_copy_only=False)
+        out = np.full((part.num_rows, m), empty)
+        out[at] = 0.0
+        np.add.at(out, at, v.flatten().to_numpy(zero_copy_only=False))
+        return out
+
+    c, s0, p0, rest = (part.column(name).to_numpy(zero_copy_only=False).astype(float) for name in ("__c", "__s0", "__p0", "__want_rest"))
+    own, want = dense("__own", 0.0), dense("__want", np.nan)[:, None, :]
+    upto = np.concatenate([np.zeros((len(own), 1)), np.cumsum(own, axis=1)], axis=1)
+    lo, width = bounds[0], (bounds[1] - bounds[0]) / m
+    edge = lo + np.arange(m + 1) * width
+    u, v = np.arange(25) // 5 / 2 - 1, np.arange(25) % 5 / 2 - 1
+    size, row = 1.0, np.arange(len(own))
     while size == 1.0 or max(spread) * size * 1.25 >= within:
-        slope = F.greatest(F.col("__s0") + F.col("__u") * spread[0] * size, F.lit(0.01))
-        tried = best.crossJoin(grid).select(*keys, "cand_id", slope.alias("slope"), (F.col("__p0") + F.col("__v") * spread[1] * size).alias("place"))
-        tried = tried.withColumn("shift", F.col("place") - F.col("slope") * F.col("__c"))
-        moved = hist_linear(bins.join(tried.select(*by, "cand_id", "slope", "shift"), list(by)), edges, F.col("slope"), F.col("shift"), [*by, "cand_id"], index, n)
-        full = tried.join(ref, list(ref_by)) if ref_by else tried.crossJoin(F.broadcast(ref))  # without ref_by, one histogram
-        full = full.join(moved, [*by, "cand_id", index], "left")
-        sse = full.groupBy(*keys, "cand_id", "slope", "place").agg(F.sum(F.pow(F.coalesce(n, F.lit(0.0)) - F.col("__ref"), 2)).alias("sse"))
-        least = sse.groupBy(*keys).agg(F.min_by(F.struct("slope", "place", "sse"), F.struct(F.round("sse", 15), "cand_id")).alias("b"))
-        old, best = best, table(least.select(*keys, F.col("b.slope").alias("__s0"), F.col("b.place").alias("__p0"), F.col("b.sse").alias("__sse")), "fit")
-        dropped(old)
+        slope = np.maximum(s0[:, None] + u * spread[0] * size, 0.01)
+        place = p0[:, None] + v * spread[1] * size
+        back = ((edge - (place - slope * c[:, None])[:, :, None]) / slope[:, :, None] - lo) / width
+        back = np.clip(np.nan_to_num(back), 0, m)
+        bin_ = np.minimum(back.astype(int), m - 1)
+        flat = bin_.reshape(len(own), -1)
+        run = np.take_along_axis(upto, flat, 1) + (back.reshape(flat.shape) - flat) * np.take_along_axis(own, flat, 1)
+        sse = np.nansum((np.diff(run.reshape(back.shape), axis=2) - want) ** 2, axis=2) + rest[:, None]
+        best = np.argmin(np.round(sse, 15), axis=1)
+        s0, p0, least = slope[row, best], place[row, best], sse[row, best]
         size *= 0.4
-    return best.select(*by, F.col("__s0").alias("slope"), (F.col("__p0") - F.col("__s0") * F.col("__c")).alias("shift"), F.col("__sse").alias("sse"))
+    return s0, p0 - s0 * c, least
 
 
 def _peak(bins: DataFrame, by: Sequence[str], index: str, n: str, name: str) -> DataFrame:

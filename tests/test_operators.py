@@ -397,3 +397,21 @@ def test_unfinished_rounds_raise(spark):
     with pytest.raises(RuntimeError):
         components(chain, max_rounds=2)
     assert {r.component for r in components(chain).collect()} == {0}
+
+
+def test_fit_makes_no_rows_of_candidates(spark, monkeypatch):
+    edges = [0.1 * k for k in range(21)]
+    rng = np.random.default_rng(2)
+    rows = [(g, i, float(x)) for g in range(40) for i, x in enumerate(rng.dirichlet(np.ones(20))) if (g + i) % 7]
+    bins = spark.createDataFrame(rows, "g int, i_int int, share double")
+    ref = spark.createDataFrame([(i, 1 / 17) for i in range(17)] + [(None, 0.05)], "i_int int, share double")
+    moved = hist.hist_linear
+    monkeypatch.setattr(hist, "hist_linear", lambda *a, **k: pytest.fail("a row for each candidate and bin"))
+    fits = hist.fit_linear(bins, ref, edges, ["g"])
+    assert fits.count() == 40
+    got = moved(bins.join(fits.select("g", "slope", "shift"), "g"), edges, F.col("slope"), F.col("shift"), ["g"], "i_int", "share").toPandas()
+    for r in fits.collect():
+        at = np.zeros(20)
+        mine = got[got.g == r.g]
+        at[mine.i_int] = mine.share
+        assert r.sse == pytest.approx(((at[:17] - 1 / 17) ** 2).sum() + 0.0025, abs=1e-12)
