@@ -205,26 +205,36 @@ def project_points(points: DataFrame, mesh: DataFrame, sigma: float | None = Non
 def kth_neighbor(points: DataFrame, k: int, cell: float = 0.25, key: str = "point_id") -> DataFrame:
     """(key, distance): arc to the k-th nearest other point (J16), null with fewer than k others.
 
-    Points meet through cubes of the unit ball: neighbours within a cube's width are all in the 27 cubes around. What
-    lacks k of those is asked again with four times the width, until that is the ball's.
+    Points of one place are one row with their number. Places meet through cubes of the unit ball: neighbours within a
+    cube's width are all in the 27 cubes around. The first width is `cell`, or less: what gives a place about 2 k others
+    if they are spread evenly, and then a quarter as long as a cube holds many more. What lacks k others within the width
+    is asked again with four times the width, until that is the ball's; a round's places have few others within a quarter
+    of its width, so pairs grow as places.
     """
     x, y, z = to_cartesian(F.col("theta"), F.col("phi"))
-    pts = table(points.select(key, "theta", "phi", x.alias("__x"), y.alias("__y"), z.alias("__z")), "neighbor_points")
-    todo, done = pts.select(key), None
+    pts = table(points.select(key, "theta", "phi"), "neighbor_points")
+    had = pts.where("theta IS NOT NULL AND phi IS NOT NULL AND NOT isnan(theta) AND NOT isnan(phi)").groupBy("theta", "phi")
+    have = table(had.agg(F.min(key).alias("__k"), F.count("*").alias("__m")).withColumns({"__x": x, "__y": y, "__z": z}), "neighbor_places")
+    cube = lambda width: {f"__c{c}": F.floor(F.col(f"__{c}") / width).cast("int") for c in "xyz"}
+    cell = min(cell, max(1e-9, (8 * k / max(1, have.count())) ** 0.5))
+    while cell >= 4e-9 and (have.groupBy(*cube(cell).values()).count().agg(F.max("count")).first()[0] or 0) > 64 + 8 * k:
+        cell /= 4
+    done = have.where(F.col("__m") > k).select("__k", F.lit(0.0).alias("distance"))
+    todo = have.where(F.col("__m") <= k)
+    around = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("abc", (a, b, c), strict=True)]) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
+    d = chord((F.col("__t"), F.col("__p")), (F.col("theta"), F.col("phi")))
     while True:
-        cube = {f"__c{c}": F.floor(F.col(f"__{c}") / cell).cast("int") for c in "xyz"}
-        own = pts.withColumns(cube)
-        around = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("abc", (a, b, c), strict=True)]) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
-        ask = pts.join(todo, key, "left_semi").withColumns(cube).select(F.col(key).alias("__k"), F.col("theta").alias("__t"), F.col("phi").alias("__p"), "__cx", "__cy", "__cz", F.explode(around).alias("__o"))
-        ask = ask.select("__k", "__t", "__p", *[(F.col(f"__c{c}") + F.col(f"__o.{o}")).alias(f"__c{c}") for c, o in zip("xyz", "abc", strict=True)])
-        d = chord((F.col("__t"), F.col("__p")), (F.col("theta"), F.col("phi")))
-        near = ask.join(own, ["__cx", "__cy", "__cz"]).where(F.col("__k") != F.col(key)).withColumn("__d", d).where(F.col("__d") <= (cell if cell < 2 else 3))
-        w = Window.partitionBy("__k").orderBy("__d", key)
-        got = near.withColumn("__n", F.row_number().over(w)).where(F.col("__n") == k).select(F.col("__k").alias(key), arc_of_chord(F.col("__d")).alias("distance"))
-        got = table(got, "neighbor_found")
-        done = got if done is None else done.unionByName(got)
-        todo = table(todo.join(got, key, "left_anti"), "neighbor_todo")
+        ask = todo.withColumns(cube(cell)).select(F.col("__k").alias("__asks"), F.col("theta").alias("__t"), F.col("phi").alias("__p"), "__cx", "__cy", "__cz", F.explode(around).alias("__o"))
+        ask = ask.select("__asks", "__t", "__p", *[(F.col(f"__c{c}") + F.col(f"__o.{o}")).alias(f"__c{c}") for c, o in zip("xyz", "abc", strict=True)])
+        own = have.withColumns(cube(cell)).select("__k", "__m", "theta", "phi", "__cx", "__cy", "__cz")
+        near = ask.join(own, ["__cx", "__cy", "__cz"]).select("__asks", d.alias("__d"), (F.col("__m") - (F.col("__asks") == F.col("__k")).cast("int")).alias("__m"))
+        near = near if cell >= 2 else near.where(F.col("__d") <= cell * (1 - 1e-9) - 1e-15)
+        upto = F.sum("__m").over(Window.partitionBy("__asks").orderBy("__d").rowsBetween(Window.unboundedPreceding, 0))
+        got = near.withColumn("__n", upto).where((F.col("__n") >= k) & (F.col("__n") - F.col("__m") < k))
+        got = table(got.select(F.col("__asks").alias("__k"), arc_of_chord(F.col("__d")).alias("distance")), "neighbor_found")
+        done = done.unionByName(got)
+        todo = table(todo.join(got.select("__k"), "__k", "left_anti"), "neighbor_todo")
         if cell >= 2 or todo.isEmpty():
             break
         cell *= 4
-    return pts.select(key).join(done, key, "left")
+    return pts.join(done.join(have.select("__k", "theta", "phi"), "__k"), ["theta", "phi"], "left").select(key, "distance")

@@ -190,3 +190,26 @@ def test_neighbors_of_crowded_points(spark):
     pts = [(k, 1.0 + 1e-7 * k, 2.0) for k in range(6)] + [(9, 2.9, 5.0)]
     got = {r.point_id: r.distance for r in grid.kth_neighbor(spark.createDataFrame(pts, "point_id int, theta double, phi double"), 3, 1e-6).collect()}
     assert all(v is not None for v in got.values()) and got[9] > 1 and got[0] < 1e-6
+
+
+def test_neighbors_meet_in_pairs_as_many_as_places(spark, tmp_path, monkeypatch):
+    """Copies, and clumps in which a fixed cube would hold all points: the cubes follow the places."""
+    rng = np.random.default_rng(4)
+    base = [(1.0 + 0.01 * float(a), 2.0 + 0.01 * float(b)) for a, b in rng.random((1500, 2))] + [(float(np.arccos(rng.uniform(-1, 1))), float(rng.uniform(0, 6.28))) for _ in range(100)]
+    pts = [(i, *p) for i, p in enumerate(base)] + [(2000 + i, *base[i % 10]) for i in range(3000)] + [(9000, None, 1.0)]
+    seen = spark.sparkContext.accumulator(0)
+    chord = grid.chord
+
+    @F.udf("double")
+    def counted(d):
+        seen.add(1)
+        return d
+
+    monkeypatch.setattr(grid, "chord", lambda a, b: counted(chord(a, b)))
+    got = {r.point_id: r.distance for r in grid.kth_neighbor(spark.createDataFrame(pts, "point_id int, theta double, phi double"), 3, 0.25).collect()}
+    xyz = np.array([[np.sin(t) * np.cos(p), np.sin(t) * np.sin(p), np.cos(t)] for _, t, p in pts[:-1]])
+    for at in range(0, len(xyz), 500):
+        d = np.sort(np.sqrt(((xyz[at : at + 500, None] - xyz[None]) ** 2).sum(axis=2)), axis=1)[:, 3]
+        for (i, _, _), v in zip(pts[at : at + 500], d, strict=False):
+            assert abs(got[i] - 2 * math.asin(v / 2)) < 1e-9
+    assert got[9000] is None and 0 < seen.value < 400_000
