@@ -11,15 +11,22 @@ from .tables import table
 def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> DataFrame:
     """(node, component): the least node that each node of an undirected edge list reaches (operator I7).
 
-    Large-star and small-star rounds: each node's greater neighbours are hung on its least neighbour, then its lesser
-    ones. A round is two aggregations and two joins over a table of at most as many edges, their number falls to one
+    First the nodes without greater neighbours go, in one aggregation: each waits for its least neighbour's component, and
+    its other neighbours are tied to that one. For what is left, large-star and small-star rounds: each node's greater
+    neighbours are hung on its least neighbour, then its lesser ones. A round is two aggregations and two joins over a table of at most as many edges, their number falls to one
     a node, and rounds grow as the logarithm of a component's diameter; beyond max_rounds it raises. Nulls and loops are no edges, but a loop's
     node is a node. The fixpoint is reached when a round changes nothing.
     """
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
-    start = table(pairs.distinct(), "component_edges")
-    alone = start.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("component"))
-    now = start.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    start = table(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "component_edges")
+    ends = start.where("u <> v")
+    none = F.lit(None).cast(start.schema["v"].dataType).alias("v")
+    each = ends.select(F.col("u").alias("n"), "v", F.lit(False).alias("below")).unionByName(ends.select(F.col("v").alias("n"), none, F.lit(True).alias("below"))).unionByName(start.where("u = v").select(F.col("u").alias("n"), none, F.lit(False).alias("below")))
+    nodes = table(each.groupBy("n").agg(F.min("v").alias("m"), F.max("v").alias("x"), F.count("v").alias("d"), F.max("below").alias("below")), "component_nodes")
+    tops = nodes.where("m IS NOT NULL AND NOT below")
+    stay = nodes.where("m IS NOT NULL AND (below OR (d > 2 AND m <> x))").select(F.col("n").alias("u"), "m", "below")
+    kept = ends.join(stay, "u").select(F.when(F.col("below"), F.col("u")).otherwise(F.col("v")).alias("u"), F.when(F.col("below"), F.col("v")).otherwise(F.col("m")).alias("v")).where("u <> v")
+    now = table(kept.unionByName(tops.where("m <> x").select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct(), "component_round")
     mark = None
     for _ in range(max_rounds):
         # large star: for every node, its greater neighbours go to the least of itself and its neighbours
@@ -37,8 +44,9 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
     else:
         raise RuntimeError(f"components changed still in round {max_rounds}")
     found = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    found = found.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).unionByName(alone)
-    return found.groupBy("node").agg(F.min("component").alias("component"))
+    found = found.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+    at = nodes.select(F.col("n"), F.when(F.col("m").isNull() | F.col("below"), F.col("n")).otherwise(F.col("m")).alias("node"))
+    return at.join(found, "node", "left").select(F.col("n").alias("node"), F.coalesce("component", "node").alias("component"))
 
 
 #: Costs count in millionths, and below them the edges of a path, so that of equal costs the fewest edges win.

@@ -57,3 +57,20 @@ def test_paths_by_a_plain_search(spark, kind):
         for a, b in zip(names, names[1:], strict=False):
             sums.append(sums[-1] + cost[a, b])
         assert sums[-1] == want[0] and all(abs(c - s / 1_000_000) < 1e-9 for c, s in zip(costs, sums, strict=True))
+
+
+def test_components_of_leaves_make_no_rounds(spark, monkeypatch):
+    """Nodes without greater neighbours leave at once: only ties between the others are gone through in rounds."""
+    sizes, table = {}, graph.table
+
+    def seen(df, name, *a):
+        got = table(df, name, *a)
+        sizes.setdefault(name, []).append(got.count())
+        return got
+
+    monkeypatch.setattr(graph, "table", seen)
+    edges = [(k, 10_000 + 20 * k + j) for k in range(200) for j in range(20)] + [(7, 10_000), (8, 10_000), (9, 10_020), (50, 50), (90_000, 90_000)]
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    join = {7: 0, 8: 0, 9: 1}
+    assert got == {k: join.get(k, k) for k in range(200)} | {10_000 + 20 * k + j: join.get(k, k) for k in range(200) for j in range(20)} | {90_000: 90_000}
+    assert max(sizes["component_round"]) <= 10
