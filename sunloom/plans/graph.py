@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,34 +56,40 @@ UNIT = 1_000_000
 
 
 def _least_edges(e: DataFrame) -> DataFrame:
-    """One edge (a < b, w, via) a pair of nodes, the cheapest."""
-    best = F.min(F.struct("w", "via")).alias("s")
-    return e.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(best).select("a", "b", "s.w", "s.via")
+    """One edge (a < b, w, via, round) a pair of nodes, the cheapest."""
+    best = F.min(F.struct("w", "via", "round")).alias("s")
+    return e.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(best).select("a", "b", "s.w", "s.via", "s.round")
 
 
-def _shorten(e: DataFrame, terminals: DataFrame, max_rounds: int) -> tuple[DataFrame, DataFrame]:
-    """(core edges, removed edges): nodes of at most two edges that no path begins or ends at are taken out.
+def _shorten(e: DataFrame, terminals: DataFrame, max_rounds: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(core edges, joints of each round): nodes of at most two edges that no path begins or ends at are taken out.
 
     In a round nodes go of which no two are neighbours, about a third of a chain, so rounds grow as the logarithm of the
-    longest chain. A node between two others leaves one edge between them, `via` itself; a dead end leaves none.
+    longest chain. A node between two others leaves one edge between them, with the node as `via` and the number of its
+    `round`, and a joint with both its edges: mid, p (other node, w, via, round), q; a dead end leaves none. A round is
+    three aggregations, by node, by node of few edges, and by edge.
     """
-    gone = None
+    joints: list[DataFrame] = []
+    seat = terminals.select(F.col("node").alias("n"), F.lit(None).cast(e.select(F.struct(F.col("a").alias("o"), "w", "via", "round")).schema[0].dataType).alias("s"))
     for number in range(max_rounds):
-        ends = e.select(F.col("a").alias("n"), F.col("b").alias("o")).unionByName(e.select(F.col("b").alias("n"), F.col("a").alias("o")))
-        few = ends.groupBy("n").agg(F.count("*").alias("d"), F.min("o").alias("p"), F.max("o").alias("q")).where("d <= 2").join(terminals.select(F.col("node").alias("n")), "n", "left_anti")
-        few = table(few.withColumn("h", F.struct(F.xxhash64("n", F.lit(number)).alias("x"), F.col("n").alias("y"))), "path_few")
-        rank = lambda c: few.select(F.col("n").alias(c), F.col("h").alias(f"h{c}"))
-        first = few.join(rank("p"), "p", "left").join(rank("q"), "q", "left").where("(hp IS NULL OR h < hp) AND (hq IS NULL OR h < hq)")
-        out = table(first.select("n", "d"), "path_out")
+        side = lambda n, o: e.select(F.col(n).alias("n"), F.struct(F.col(o).alias("o"), "w", "via", "round").alias("s"))
+        nodes = side("a", "b").unionByName(side("b", "a")).unionByName(seat).groupBy("n").agg(F.count("*").alias("d"), F.min("s").alias("p"), F.max("s").alias("q"), F.max(F.col("s").isNull()).alias("held"))
+        few = table(nodes.where("d <= 2 AND NOT held").drop("held"), "path_few")
+        mark = F.struct(F.xxhash64("n", F.lit(number)).alias("x"), F.col("n").alias("y"))
+        # a node goes if its mark is less than those that its neighbours of few edges send it
+        sent = few.select(F.explode(F.array_distinct(F.array("p.o", "q.o"))).alias("n"), mark.alias("h"))
+        every = few.select("n", mark.alias("h"), F.struct(F.col("d"), "p", "q").alias("own")).unionByName(sent.withColumn("own", F.lit(None).cast(few.select(F.struct(F.col("d"), "p", "q")).schema[0].dataType)))
+        met = every.groupBy("n").agg(F.max("own").alias("own"), F.min("h").alias("h")).where(F.col("own").isNotNull() & (F.col("h.y") == F.col("n")))
+        out = table(met.select(F.col("n").alias("mid"), "own.*"), "path_out")
         if out.isEmpty():
-            return e, (gone if gone is not None else e.where(F.lit(False)))
-        at = e.join(out.select(F.col("n").alias("a"), F.lit(True).alias("x")), "a", "left").join(out.select(F.col("n").alias("b"), F.lit(True).alias("y")), "b", "left")
-        at = table(at.select("a", "b", "w", "via", F.when(F.col("x"), F.col("a")).when(F.col("y"), F.col("b")).alias("mid")), "path_at")
-        left = at.where("mid IS NOT NULL").withColumn("o", F.when(F.col("mid") == F.col("a"), F.col("b")).otherwise(F.col("a")))
-        new = left.groupBy("mid").agg(F.count("*").alias("d"), F.min("o").alias("a"), F.max("o").alias("b"), F.sum("w").alias("w")).where("d = 2").select("a", "b", "w", F.col("mid").alias("via"))
-        part = left.select("a", "b", "w", "via")
-        gone = part if gone is None else gone.unionByName(part)
-        e = table(_least_edges(at.where("mid IS NULL").select("a", "b", "w", "via").unionByName(new)), "path_core")
+            return e, joints
+        joints.append(out.where("d = 2").select("mid", "p", "q"))
+        pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+        new = out.where("d = 2").select(*pair("p.o", "q.o"), (F.col("p.w") + F.col("q.w")).alias("w"), F.col("mid").alias("via"), F.lit(number).alias("round"))
+        gone = out.select("mid", F.explode(F.array_distinct(F.array("p.o", "q.o"))).alias("o")).select(*pair("mid", "o"))
+        kept = e.unionByName(new).withColumn("s", F.struct("w", "via", "round")).select("a", "b", "s").unionByName(gone.withColumn("s", F.lit(None).cast(e.select(F.struct("w", "via", "round")).schema[0].dataType)))
+        kept = kept.groupBy("a", "b").agg(F.min("s").alias("s"), F.max(F.col("s").isNull()).alias("gone")).where("NOT gone")
+        e = table(kept.select("a", "b", "s.w", "s.via", "s.round"), "path_core")
     raise RuntimeError(f"chains were shortened still in round {max_rounds}")
 
 
@@ -140,25 +148,28 @@ def cheapest_paths(edges: DataFrame, nodes: DataFrame, pairs: DataFrame, max_rou
     e = edges.select("u", "v", "weight").where("weight IS NOT NULL").join(ids.toDF("u", "iu"), "u").join(ids.toDF("v", "iv"), "v")
     cost = F.when(F.col("iu") == F.col("iv"), 0).otherwise(F.round((1 - F.col("weight")) * 1_000_000)).cast("long")
     none = F.lit(None).cast(nodes.schema["node"].dataType)
-    e = table(_least_edges(e.select(F.col("u").alias("a"), F.col("v").alias("b"), (cost * UNIT + 1).alias("w"), none.alias("via"))), "path_edges")
+    e = table(_least_edges(e.select(F.col("u").alias("a"), F.col("v").alias("b"), (cost * UNIT + 1).alias("w"), none.alias("via"), F.lit(None).cast("int").alias("round"))), "path_edges")
     known = ids.select("node")
     pairs = table(pairs.join(known.withColumnRenamed("node", "src"), "src", "left_semi").join(known.withColumnRenamed("node", "dst"), "dst", "left_semi").select("pair", "src", "dst"), "path_pairs")
     terminals = table(pairs.select(F.col("src").alias("node")).unionByName(pairs.select(F.col("dst").alias("node"))).distinct(), "path_terminals")
-    core, gone = _shorten(e, terminals, max_rounds)
-    how = table(core.unionByName(gone), "path_how")
-    parts = table(_search(core, pairs, max_rounds), "path_parts")
-    done = None
-    while True:  # as many rounds as chains were shortened in
-        told = parts.join(how.select(F.col("a").alias("x"), F.col("b").alias("y"), "w", "via"), (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y"))).select("pair", "s", "a", "b", "w", "via")
-        told = table(told, "path_told")
-        flat = told.where("via IS NULL").select("pair", "s", "b", "w")
-        done = flat if done is None else done.unionByName(flat)
-        wide = told.where("via IS NOT NULL")
-        if wide.isEmpty():
-            break
-        first = wide.join(how.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("w").alias("half")), (F.least("a", "via") == F.col("x")) & (F.greatest("a", "via") == F.col("y")))
-        two = F.array(F.struct(F.col("s").alias("s"), F.col("a").alias("a"), F.col("via").alias("b")), F.struct((F.col("s") + F.pmod("half", F.lit(UNIT))).alias("s"), F.col("via").alias("a"), F.col("b").alias("b")))
-        parts = table(first.select("pair", F.explode(two).alias("t")).select("pair", "t.*"), "path_parts")
+    core, joints = _shorten(e, terminals, max_rounds)
+    # each pair's edges over the core, drawn out from the last round back: a joint is asked for in its own round only
+    found = table(_search(core, pairs, max_rounds), "path_parts")
+    known = core.select(F.col("a").alias("x"), F.col("b").alias("y"), "w", "via", "round")
+    parts = table(found.join(known, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y"))).select("pair", "s", "a", "b", "w", "via", "round"), "path_told")
+    done = parts.where("round IS NULL").select("pair", "s", "b", "w")
+    waits = [parts.where("round IS NOT NULL")]
+    for number in reversed(range(len(joints))):
+        wide = reduce(DataFrame.unionByName, [w.where(F.col("round") == number) for w in waits])
+        met = wide.select("pair", "s", "a", "b", F.col("via").alias("mid")).join(joints[number], "mid")
+        turned = F.col("p.o") != F.col("a")
+        first, last = F.when(turned, F.col("q")).otherwise(F.col("p")), F.when(turned, F.col("p")).otherwise(F.col("q"))
+        met = met.select("pair", "s", "a", "b", "mid", first.alias("f"), last.alias("l"))
+        part = lambda s, a, b, h: F.struct(s.alias("s"), F.col(a).alias("a"), F.col(b).alias("b"), *[F.col(f"{h}.{c}").alias(c) for c in ("w", "via", "round")])
+        two = F.array(part(F.col("s"), "a", "mid", "f"), part(F.col("s") + F.pmod("f.w", F.lit(UNIT)), "mid", "b", "l"))
+        parts = table(met.select("pair", F.explode(two).alias("t")).select("pair", "t.*"), "path_told")
+        done = done.unionByName(parts.where("round IS NULL").select("pair", "s", "b", "w"))
+        waits.append(parts.where("round IS NOT NULL"))
     starts = pairs.join(done.select("pair").distinct(), "pair", "left_semi").unionByName(pairs.where("src = dst")).select("pair", F.lit(0).cast("long").alias("step"), F.col("src").alias("node"), F.lit(0).cast("long").alias("w"))
     line = starts.unionByName(done.select("pair", (F.col("s") + 1).alias("step"), F.col("b").alias("node"), "w"))
     upto = F.sum(F.floor(F.col("w") / UNIT)).over(Window.partitionBy("pair").orderBy("step"))

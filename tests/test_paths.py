@@ -74,3 +74,14 @@ def test_components_of_leaves_make_no_rounds(spark, monkeypatch):
     join = {7: 0, 8: 0, 9: 1}
     assert got == {k: join.get(k, k) for k in range(200)} | {10_000 + 20 * k + j: join.get(k, k) for k in range(200) for j in range(20)} | {90_000: 90_000}
     assert max(sizes["component_round"]) <= 10
+
+
+def test_chains_are_drawn_out_by_their_own_round(spark, monkeypatch):
+    """A joint is asked for in the round it was taken out in, so a path's rows are joined once each."""
+    names, table = [], graph.table
+    monkeypatch.setattr(graph, "table", lambda df, name, *a: names.append(name) or table(df, name, *a))
+    edges = spark.createDataFrame([(f"n{k}", f"n{k + 1}", 0.5) for k in range(24)], "u string, v string, weight double")
+    ids = spark.createDataFrame([(f"n{k}", str(k)) for k in range(25)], "node string, id string")
+    got = graph.cheapest_paths(edges, ids, spark.createDataFrame([(1, "n0", "n24")], "pair int, src string, dst string"))
+    assert [(r.step, r.node, r.cost) for r in got.orderBy("step").collect()] == [(k, f"n{k}", 0.5 * k) for k in range(25)]
+    assert "path_how" not in names and names.count("path_parts") == 1
