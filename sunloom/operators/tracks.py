@@ -283,9 +283,9 @@ def connect(tracked: DataFrame, region_px: DataFrame, thr: float = 0.0, by: Sequ
 def rank_tracks(nodes: DataFrame, edges: DataFrame, n: int | None = None) -> DataFrame:
     """Connected parts of the graph by mean area, largest first: component, mean_area, n_nodes (A24, I7); n: the first n
     of them (O4)."""
-    loops = nodes.select(F.col("node").alias("u"), F.col("node").alias("v"))
-    at = components(edges.select("u", "v").unionByName(loops), "u", "v")
-    got = nodes.join(at, "node").groupBy("component").agg((F.sum("area") / F.count_distinct("frame")).alias("mean_area"), F.count("*").alias("n_nodes"))
+    at = components(edges.select("u", "v"), "u", "v")
+    named = nodes.where("node IS NOT NULL").join(at, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    got = named.groupBy("component").agg((F.sum("area") / F.count_distinct("frame")).alias("mean_area"), F.count("*").alias("n_nodes"))
     got = got.orderBy(F.desc("mean_area"), "component")
     return got if n is None else got.limit(n)
 

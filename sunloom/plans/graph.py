@@ -13,11 +13,13 @@ from .tables import table
 def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> DataFrame:
     """(node, component): the least node that each node of an undirected edge list reaches (operator I7).
 
-    First the nodes without greater neighbours go, in one aggregation: each waits for its least neighbour's component, and
-    its other neighbours are tied to that one. For what is left, large-star and small-star rounds: each node's greater
-    neighbours are hung on its least neighbour, then its lesser ones. A round is two aggregations and two joins over a table of at most as many edges, their number falls to one
-    a node, and rounds grow as the logarithm of a component's diameter; beyond max_rounds it raises. Nulls and loops are no edges, but a loop's
-    node is a node. The fixpoint is reached when a round changes nothing.
+    First the nodes without greater neighbours go, in one aggregation, unless they are few: each waits for its least
+    neighbour's component, and its other neighbours are tied to that one. What is left is contracted in rounds: each node
+    is drawn into that of its neighbours and itself whose hash of the round is least, so that a round leaves at most three
+    quarters of the nodes on average, of a chain about half, and all rounds together cost a few times the first, however
+    long the chains are. A round is an aggregation, two joins and a distinct over what is left; beyond max_rounds it
+    raises. At last the rounds' choices are followed back, and each part is named by its least node. Nulls and loops are
+    no edges, but a loop's node is a node.
     """
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
     start = table(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "component_edges")
@@ -26,28 +28,29 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
     each = ends.select(F.col("u").alias("n"), "v", F.lit(False).alias("below")).unionByName(ends.select(F.col("v").alias("n"), none, F.lit(True).alias("below"))).unionByName(start.where("u = v").select(F.col("u").alias("n"), none, F.lit(False).alias("below")))
     nodes = table(each.groupBy("n").agg(F.min("v").alias("m"), F.max("v").alias("x"), F.count("v").alias("d"), F.max("below").alias("below")), "component_nodes")
     tops = nodes.where("m IS NOT NULL AND NOT below")
+    few = 4 * tops.count() < nodes.count()
     stay = nodes.where("m IS NOT NULL AND (below OR (d > 2 AND m <> x))").select(F.col("n").alias("u"), "m", "below")
     kept = ends.join(stay, "u").select(F.when(F.col("below"), F.col("u")).otherwise(F.col("v")).alias("u"), F.when(F.col("below"), F.col("v")).otherwise(F.col("m")).alias("v")).where("u <> v")
-    now = table(kept.unionByName(tops.where("m <> x").select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct(), "component_round")
-    mark = None
-    for _ in range(max_rounds):
-        # large star: for every node, its greater neighbours go to the least of itself and its neighbours
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: every node's lesser neighbours, and itself, go to the least of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        now = table(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "component_round")
-        got = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
-        if (got.n, got.h) == mark:
+    now = ends if few else table(kept.unionByName(tops.where("m <> x").select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct(), "component_round")
+    drawn: list[DataFrame] = []
+    for number in range(max_rounds):
+        if now.isEmpty():
             break
-        mark = (got.n, got.h)
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        mark = lambda c: F.struct(F.xxhash64(c, F.lit(number)).alias("h"), F.col(c).alias("n"))  # noqa: E731, B023
+        least = both.groupBy("u").agg(F.min(mark("v")).alias("s")).select(F.col("u").alias("n"), F.least(mark("u"), "s")["n"].alias("r"))
+        drawn.append(table(least, "component_drawn"))
+        a, b = drawn[-1].alias("a"), drawn[-1].alias("b")
+        tied = now.join(a, F.col("u") == F.col("a.n")).join(b, F.col("v") == F.col("b.n")).where("a.r <> b.r")
+        now = table(tied.select(F.greatest("a.r", "b.r").alias("u"), F.least("a.r", "b.r").alias("v")).distinct(), "component_round")
     else:
-        raise RuntimeError(f"components changed still in round {max_rounds}")
-    found = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    found = found.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
-    at = nodes.select(F.col("n"), F.when(F.col("m").isNull() | F.col("below"), F.col("n")).otherwise(F.col("m")).alias("node"))
+        raise RuntimeError(f"components were contracted still in round {max_rounds}")
+    found = now.select(F.col("u").alias("node"), F.col("v").alias("top"))
+    for step in reversed(drawn):
+        found = step.join(found.withColumnRenamed("node", "r"), "r", "left").select(F.col("n").alias("node"), F.coalesce("top", "r").alias("top"))
+        found = table(found, "component_found")
+    found = found.join(found.groupBy("top").agg(F.min("node").alias("component")), "top").select("node", "component")
+    at = nodes.select(F.col("n"), F.when(F.lit(few) | F.col("m").isNull() | F.col("below"), F.col("n")).otherwise(F.col("m")).alias("node"))
     return at.join(found, "node", "left").select(F.col("n").alias("node"), F.coalesce("component", "node").alias("component"))
 
 

@@ -76,6 +76,64 @@ def test_components_of_leaves_make_no_rounds(spark, monkeypatch):
     assert max(sizes["component_round"]) <= 10
 
 
+def least_reached(edges):
+    at = {}
+
+    def root(n):
+        while at.setdefault(n, n) != n:
+            n = at[n]
+        return n
+
+    for u, v in edges:
+        p, q = sorted((root(u), root(v)))
+        at[q] = p
+    return {n: root(n) for n in list(at)}
+
+
+def test_rounds_over_chains_work_on_what_is_left(spark, monkeypatch):
+    """Chains in the order of their names: every round leaves about half, so all together leave less than twice the edges."""
+    left, table = [], graph.table
+
+    def seen(df, name, *a):
+        got = table(df, name, *a)
+        if name == "component_round":
+            left.append(got.count())
+        return got
+
+    monkeypatch.setattr(graph, "table", seen)
+    edges = [(f"{100 * c + k + 10_000}", f"{100 * c + k + 10_001}") for c in range(20) for k in range(99 - c)]
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "src string, dst string")).collect()}
+    assert got == least_reached(edges)
+    assert left[-1] == 0 and left[0] < 0.7 * len(edges) and sum(left) < 2 * len(edges)
+
+
+@pytest.mark.parametrize("kind", ["chains", "hubs", "sparse", "dense"])
+def test_components_by_a_plain_union(spark, kind):
+    rng = random.Random(kind)
+    name = [f"n{k}" for k in rng.sample(range(1000), 400)]
+    edges = {
+        "chains": [(name[k], name[k + 1]) for k in range(399) if k % 37] + [(name[k], name[k]) for k in range(0, 400, 37)],
+        "hubs": [(name[rng.randrange(4)], name[rng.randrange(300)]) for _ in range(400)] + [(name[390], name[391])],
+        "sparse": [(rng.choice(name), rng.choice(name)) for _ in range(180)],
+        "dense": [(name[a + 50 * g], name[b + 50 * g]) for g in range(8) for a, b in [(rng.randrange(50), rng.randrange(50)) for _ in range(300)]],
+    }[kind]
+    edges += edges[:20] + [(v, u) for u, v in edges[:20]]
+    got = spark.createDataFrame([*edges, (None, name[0]), (name[1], None)], "src string, dst string")
+    rows = graph.components(got).collect()
+    assert {r.node: r.component for r in rows} == least_reached(edges) and len(rows) == len(least_reached(edges))
+
+
+def test_tracks_without_edges_are_ranked(spark):
+    """Nodes without edges are tracks of their own, ends of edges that are no nodes count for nothing."""
+    from sunloom.operators import tracks
+
+    nodes = spark.createDataFrame([("b", 1, 4.0), ("c", 2, 2.0), ("d", 1, 9.0), ("e", 3, 1.0), (None, 1, 99.0)], "node string, frame int, area double")
+    edges = spark.createDataFrame([("c", "b"), ("c", "x"), ("e", "e"), ("y", "z")], "u string, v string")
+    got = [(r.component, r.mean_area, r.n_nodes) for r in tracks.rank_tracks(nodes, edges).collect()]
+    assert got == [("d", 9.0, 1), ("b", 3.0, 2), ("e", 1.0, 1)]
+    assert [r.component for r in tracks.rank_tracks(nodes, edges, 2).collect()] == ["d", "b"]
+
+
 def test_chains_are_drawn_out_by_their_own_round(spark, monkeypatch):
     """A joint is asked for in the round it was taken out in, so a path's rows are joined once each."""
     names, table = [], graph.table
