@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections import defaultdict, deque
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -166,10 +167,11 @@ def fold_tracks(regions: pd.DataFrame, overlaps: pd.DataFrame, thr: float, windo
             else:
                 state["last"] += 1
                 named[region] = state["last"]
+        run = int(rows["run"].iloc[0])
         for region, i in named.items():
             labels[frame, region] = i
             held[i].append(ts)
-            out.append((int(rows["run"].iloc[0]), int(frame), int(region), int(i), used[i]))
+            out.append((run, int(frame), int(region), int(i), used[i]))
             used[i] += 1
         recent.append((frame, ts, list(named)))
     return pd.DataFrame(out, columns=["run", "frame", "region", "id", "count"])
@@ -183,51 +185,119 @@ def window_overlaps(regions: DataFrame, region_px: DataFrame, window_hours: floa
     long as the window, so a pixel meets what lies at most two windows before, however long the run.
     """
     width = max(1, round(window_hours * HOUR))
-    times = regions.select("run", "frame", micros(F.col("ts")).alias("__t")).distinct()
-    px = region_px.join(times, ["run", "frame"]).withColumn("__b", F.floor(F.col("__t") / width))
+    times = regions.select("run", "frame", micros(F.col("ts")).alias("__t")).distinct().withColumn("__b", F.floor(F.col("__t") / width))
+    times = times.withColumn("__last", F.max("__b").over(Window.partitionBy("run")))  # one row a frame
+    px = region_px.join(times, ["run", "frame"])
     size = region_px.groupBy("run", "frame", "region").agg(F.sum("da").alias("size"))
     new = px.select("run", "iy", "ix", "__b", "frame", "region", "da", "__t")
-    old = px.select("run", "iy", "ix", F.explode(F.array("__b", F.col("__b") + 1)).alias("__b"), F.col("frame").alias("old_frame"), F.col("region").alias("old_region"), F.col("__t").alias("__o"))
+    old = px.select("run", "iy", "ix", F.explode(F.sequence("__b", F.least(F.col("__b") + 1, "__last"))).alias("__b"), F.col("frame").alias("old_frame"), F.col("region").alias("old_region"), F.col("__t").alias("__o"))
     met = new.join(old, ["run", "iy", "ix", "__b"]).where((F.col("__o") < F.col("__t")) & (F.col("__t") - F.col("__o") <= width))
     shared = met.groupBy("run", "frame", "region", "old_frame", "old_region").agg(F.sum("da").alias("shared"))
     o = shared.join(size, ["run", "frame", "region"]).withColumnRenamed("size", "__n").join(size.toDF("run", "old_frame", "old_region", "__m"), ["run", "old_frame", "old_region"])
     return o.select("run", "frame", "region", "old_frame", "old_region", (F.col("shared") / F.col("__n")).alias("share_new"), (F.col("shared") / F.col("__m")).alias("share_old"))
 
 
-def nearest_before(regions: DataFrame, k: int, window_hours: float, cell: float = 0.25) -> DataFrame:
-    """The k nearest regions of earlier frames within a window (all, if they are fewer): run, frame, region, old_frame,
-    old_region, d (chord). regions: run, frame, region, ts, theta, phi (J18's neighbours in I5).
+#: Entries of a matrix of distances at a time.
+_AT_ONCE = 1 << 19
+
+#: Regions of two windows up to which nearest_lists compares a window as a whole.
+_WHOLE = 4096
 
-    Regions meet through cubes of the unit ball and stretches of time as long as the window. What has k within a cube's
-    width is done; the rest, less in every round, asks again with twice the width, and last among all in the window. Of
-    equal distances the least frame and region counts.
+
+def _nearest_rows(k: int, width: int, near: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """One row (run, frame, region, old_frames, old_regions, ds) for each asking region of a cube that has its k nearest,
+    or all in its window, at most `near` away; by matrices of distances between a few regions and those of their windows.
+    """
+
+    def rows(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values(["frame", "region"], ignore_index=True).rename_axis("name").reset_index()
+        df = df.sort_values(["__t", "name"], ignore_index=True)
+        t, name, frame, region, run = *(df[c].to_numpy() for c in ("__t", "name", "frame", "region")), df["run"].iat[0]
+        at, ask = [df[f"__{c}"].to_numpy() for c in "xyz"], np.flatnonzero(df["__ask"].to_numpy())
+        lo, hi = np.searchsorted(t, t[ask] - width), np.searchsorted(t, t[ask])  # where the window begins and ends
+        reach = near * (1 - 1e-9) - 1e-12 if near < 2 else np.inf
+        out, begin = [], 0
+        while begin < len(ask):
+            end = begin + 1
+            while end < len(ask) and (end + 1 - begin) * (hi[end] - lo[begin]) <= _AT_ONCE:
+                end += 1
+            mine, old = ask[begin:end], np.arange(lo[begin], hi[end - 1])
+            old = old[np.argsort(name[old])]  # equal distances count in this order
+            d = np.round(np.sqrt(sum((v[mine, None] - v[None, old]) ** 2 for v in at)), 12)
+            d[(old < lo[begin:end, None]) | (old >= hi[begin:end, None]) | ~(d <= reach)] = np.inf
+            most = np.partition(d, k - 1, axis=1)[:, k - 1] if len(old) > k else np.full(len(mine), np.inf)
+            r, c = np.nonzero((d <= most[:, None]) & np.isfinite(d))
+            by = np.lexsort((c, d[r, c], r))
+            by = by[np.arange(len(r)) - np.searchsorted(r, r) < k]  # r is in order before and after
+            r, c = r[by], c[by]
+            cut = np.searchsorted(r, np.arange(len(mine) + 1))
+            have = np.diff(cut)
+            full = have == np.minimum(k, df["__want"].to_numpy()[mine]) if near < 2 else have > 0
+            for i in np.flatnonzero(full):
+                j = old[c[cut[i] : cut[i + 1]]]
+                out.append((run, frame[mine[i]], region[mine[i]], frame[j], region[j], d[i, c[cut[i] : cut[i + 1]]]))
+            begin = end
+        return pd.DataFrame(out, columns=["run", "frame", "region", "old_frames", "old_regions", "ds"])
+
+    return rows
+
+
+def nearest_lists(regions: DataFrame, k: int, window_hours: float, cell: float | None = None) -> DataFrame:
+    """nearest_before with one row a region: run, frame, region, old_frames, old_regions, ds (arrays, nearest first).
+
+    A task compares the regions of a run that lie in one cube of the unit ball and in a stretch of four windows. Where no
+    two windows on end hold more than 4096 regions, the ball is one cube, so each region is moved about once. Else a cube
+    is four times as wide as the k nearest are looked for, and holds the earlier regions that near its sides as well:
+    what has its k nearest is done, and the rest, less in every round, asks again at twice the distance, and last among
+    all in the window. cell: another distance to begin with.
     """
     width = max(1, round(window_hours * HOUR))
+    span = 4 * width
     x, y, z = to_cartesian(F.col("theta"), F.col("phi"))
-    w = Window.partitionBy("run").orderBy("__t").rangeBetween(-width, -1)
-    pts = regions.select("run", "frame", "region", micros(F.col("ts")).alias("__t"), x.alias("__x"), y.alias("__y"), z.alias("__z"))
-    pts = table(pts.withColumn("__want", F.least(F.lit(k), F.count("*").over(w))).withColumn("__b", F.floor(F.col("__t") / width)), "near_points")
-    todo, done = pts.where("__want > 0"), None
-    d = F.round(F.sqrt(F.pow(F.col("__x") - F.col("__u"), 2) + F.pow(F.col("__y") - F.col("__v"), 2) + F.pow(F.col("__z") - F.col("__w"), 2)), 12)
-    key = ["run", "frame", "region"]
+    pts = regions.select("run", "frame", "region", micros(F.col("ts")).alias("__t"), x.alias("__x"), y.alias("__y"), z.alias("__z"), F.lit(True).alias("__ask"))
+    pts = table(pts.where("__t IS NOT NULL AND __x IS NOT NULL AND __y IS NOT NULL AND __z IS NOT NULL"), "near_points")
+    near = cell
+    if near is None:
+        before = Window.partitionBy("run").orderBy("__b").rangeBetween(-1, 0)
+        held = pts.groupBy("run", F.floor(F.col("__t") / width).alias("__b")).count()
+        most = held.select(F.sum("count").over(before).alias("n")).agg(F.max("n")).first()[0] or 0
+        near = 2.0 if most <= _WHOLE else max(1e-3, 2 * (2 * k / most) ** 0.5)
+    if near < 2:
+        earlier = Window.partitionBy("run").orderBy("__t").rangeBetween(-width, -1)
+        pts = table(pts.withColumn("__want", F.count("*").over(earlier)).withColumn("__ask", F.col("__want") > 0), "near_wanted")
+    kind = {f.name: f.dataType.simpleString() for f in pts.schema}
+    shape = f"run {kind['run']}, frame {kind['frame']}, region {kind['region']}, old_frames array<{kind['frame']}>, old_regions array<{kind['region']}>, ds array<double>"
+    key, done = ["run", "frame", "region"], None
     while True:
-        cube = {f"__c{c}": F.floor(F.col(f"__{c}") / cell).cast("int") for c in "xyz"}
-        around = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("abc", (a, b, c), strict=True)]) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
-        ask = todo.withColumns(cube).withColumn("__o", F.explode(around))
-        ask = ask.select(*key, "__t", "__b", "__want", "__x", "__y", "__z", *[(F.col(f"__c{c}") + F.col(f"__o.{o}")).alias(f"__c{c}") for c, o in zip("xyz", "abc", strict=True)])
-        old = pts.withColumns(cube).select("run", F.explode(F.array("__b", F.col("__b") + 1)).alias("__b"), *cube, F.col("frame").alias("old_frame"), F.col("region").alias("old_region"), F.col("__t").alias("__s"), F.col("__x").alias("__u"), F.col("__y").alias("__v"), F.col("__z").alias("__w"))
-        met = ask.join(old, ["run", "__b", *cube]).where((F.col("__s") < F.col("__t")) & (F.col("__t") - F.col("__s") <= width)).withColumn("d", d)
-        met = met if cell >= 2 else met.where(F.col("d") <= cell)
-        rank = F.row_number().over(Window.partitionBy(*key).orderBy("d", "old_frame", "old_region"))
-        met = met.withColumn("__r", rank).where(F.col("__r") <= F.col("__want")).withColumn("__n", F.count("*").over(Window.partitionBy(*key)))
-        got = table(met.where(F.col("__n") == F.col("__want")).select(*key, "old_frame", "old_region", "d"), "near_found")
+        b = F.floor(F.col("__t") / span)
+        late = (b + 1) * span - F.col("__t") <= width  # may lie in windows of the next stretch
+        rows = pts.withColumn("__b", F.explode(F.when(late, F.array(b, b + 1)).otherwise(F.array(b)))).withColumn("__ask", F.col("__ask") & (F.col("__b") == b))
+        cube = ["__cx", "__cy", "__cz"] if near < 2 else []
+        for c, v in zip(cube, (F.col("__x"), F.col("__y"), F.col("__z")), strict=False):
+            own = F.floor(v / (4 * near))
+            sides = F.array_distinct(F.array(F.floor((v - near) / (4 * near)), own, F.floor((v + near) / (4 * near))))
+            rows = rows.withColumn(c, F.explode(sides)).withColumn("__ask", F.col("__ask") & (F.col(c) == own))
+        got = rows.groupBy("run", "__b", *cube).applyInPandas(_nearest_rows(k, width, near), shape)
+        if near >= 2:
+            return got if done is None else done.unionByName(got)
+        got = table(got, "near_found")
         done = got if done is None else done.unionByName(got)
-        if cell >= 2:
-            return done
-        todo = table(todo.join(got.select(*key).distinct(), key, "left_anti"), "near_todo")
-        if todo.isEmpty():
+        pts = table(pts.join(got.select(*key, F.lit(True).alias("__done")), key, "left").withColumn("__ask", F.col("__ask") & F.col("__done").isNull()).drop("__done"), "near_todo")
+        if pts.where("__ask").isEmpty():
             return done
-        cell = min(2.0, cell * 2)
+        near = 2.0 if near > 0.5 else 2 * near
+
+
+def nearest_before(regions: DataFrame, k: int, window_hours: float, cell: float | None = None) -> DataFrame:
+    """The k nearest regions of earlier frames within a window (all, if they are fewer): run, frame, region, old_frame,
+    old_region, d (chord). regions: run, frame, region, ts, theta, phi (J18's neighbours in I5).
+
+    Of equal distances the least frame and region counts. Regions without a place or time are left out. How regions
+    meet, and cell: see nearest_lists.
+    """
+    one = F.explode(F.arrays_zip("old_frames", "old_regions", "ds")).alias("o")
+    got = nearest_lists(regions, k, window_hours, cell).select("run", "frame", "region", one)
+    return got.select("run", "frame", "region", F.col("o.old_frames").alias("old_frame"), F.col("o.old_regions").alias("old_region"), F.col("o.ds").alias("d"))
 
 
 def track(regions: DataFrame, region_px: DataFrame, thr: float = 0.0, window_hours: float = 168.0, weight: str = "proximity", k: int | None = None, near_thr: float = 0.0, keep: float | None = None) -> DataFrame:
@@ -240,19 +310,22 @@ def track(regions: DataFrame, region_px: DataFrame, thr: float = 0.0, window_hou
     all frames are found in joins; only the fold of ids over them is sequential, one small row a pair, run by run.
     """
     kinds = [F.col(c).cast("long").alias(c) for c in ("run", "frame", "region")]
-    rows = regions.select(*kinds, F.col("ts").cast("timestamp_ntz").alias("ts"), F.lit(None).cast("long").alias("old_frame"), F.lit(None).cast("long").alias("old_region"), *[F.lit(None).cast("double").alias(c) for c in ("share_new", "share_old", "d")], F.lit(0).alias("what"))
-    old = [F.col("old_frame").cast("long").alias("old_frame"), F.col("old_region").cast("long").alias("old_region")]
-    none = lambda c, kind="double": F.lit(None).cast(kind).alias(c)
-    over = window_overlaps(regions, region_px, window_hours).select(*kinds, none("ts", "timestamp_ntz"), *old, "share_new", "share_old", none("d"), F.lit(1).alias("what"))
-    rows = rows.unionByName(over)
+    some = {"ts": "timestamp_ntz", "old_frame": "long", "old_region": "long", "share_new": "double", "share_old": "double", "old_frames": "array<long>", "old_regions": "array<long>", "ds": "array<double>"}
+    part = lambda df, what, *has: df.select(*kinds, *[(F.col(c) if c in has else F.lit(None)).cast(t).alias(c) for c, t in some.items()], F.lit(what).alias("what"))
+    rows = part(regions, 0, "ts").unionByName(part(window_overlaps(regions, region_px, window_hours), 1, "old_frame", "old_region", "share_new", "share_old"))
     if k is not None:
-        rows = rows.unionByName(nearest_before(regions, k, window_hours).select(*kinds, none("ts", "timestamp_ntz"), *old, none("share_new"), none("share_old"), "d", F.lit(2).alias("what")))
+        rows = rows.unionByName(part(nearest_lists(regions, k, window_hours), 2, "old_frames", "old_regions", "ds"))
 
     def fold(df: pd.DataFrame) -> pd.DataFrame:
         parts = [df[df["what"] == i] for i in range(3)]
         if not len(parts[0]):
             return pd.DataFrame([], columns=["run", "frame", "region", "id", "count"])
-        return fold_tracks(parts[0], parts[1], thr, window_hours, weight, None, parts[2] if k is not None else None, near_thr, keep)
+        near = None
+        if k is not None:
+            lists, flat = parts[2], lambda c: np.concatenate([np.zeros(0, int), *parts[2][c]])
+            n = np.array([len(ds) for ds in lists["ds"]], int)
+            near = pd.DataFrame({**{c: np.repeat(lists[c].to_numpy(), n) for c in ("frame", "region")}, "old_frame": flat("old_frames"), "old_region": flat("old_regions"), "d": flat("ds")})
+        return fold_tracks(parts[0], parts[1], thr, window_hours, weight, None, near, near_thr, keep)
 
     return rows.groupBy("run").applyInPandas(fold, TRACKED)
 
@@ -260,24 +333,25 @@ def track(regions: DataFrame, region_px: DataFrame, thr: float = 0.0, window_hou
 def connect(tracked: DataFrame, region_px: DataFrame, thr: float = 0.0, by: Sequence[str] = ()) -> DataFrame:
     """Edges (u, v, weight) between a region and those of the frame before, and the latest earlier ones of its id.
 
-    tracked: frame, region, id, count; region_px: frame, region, iy, ix, da; both with the columns of `by`, such as the
-    run, over which no edge goes. Frame numbers are not shared by runs. An edge needs a mean overlap over thr; nodes
-    are named frame_id_count, weights have three decimals.
+    tracked: frame, region, id, count; region_px: frame, region, iy, ix, da; tracked with the columns of `by`, such as the
+    run, over which no edge goes. Frame numbers are integers and not shared by runs. An edge needs a mean overlap over
+    thr; nodes are named frame_id_count, weights have three decimals. Regions meet by the pixels that they share, so what
+    is moved follows the pixels and not the pairs of regions of two frames.
     """
-    t = tracked.select(*by, "frame", "region", "id", F.concat_ws("_", "frame", "id", "count").alias("node"))
+    t = tracked.select(*by, "frame", "region", "id", "count").repartition(*by, "id").distinct()
+    earlier = Window.partitionBy(*by, "id").orderBy("frame").rangeBetween(Window.unboundedPreceding, -1)
+    t = table(t.withColumn("same", F.max("frame").over(earlier)), "connect_tracked")
     frames = t.select(*by, "frame").distinct().withColumn("prev", F.lag("frame").over(Window.partitionBy(*by).orderBy("frame")))  # one row a frame
-    last = t.select(*by, "id", "frame").distinct().withColumn("same", F.lag("frame").over(Window.partitionBy(*by, "id").orderBy("frame")))
-    now = t.join(frames, [*by, "frame"]).join(last, [*by, "id", "frame"], "left")
-    old = t.select(F.col("frame").alias("of"), F.col("id").alias("oid"), F.col("region").alias("oregion"), F.col("node").alias("u"))
-    near = now.join(old, F.col("of") == F.col("prev")).select("frame", "region", "node", "of", "oregion", "u")
-    back = now.where("same <> prev").join(old, (F.col("of") == F.col("same")) & (F.col("oid") == F.col("id"))).select("frame", "region", "node", "of", "oregion", "u")
-    asked = near.unionByName(back).distinct()
-    size = region_px.groupBy("frame", "region").agg(F.sum("da").alias("size"))
-    p = region_px.select("frame", "region", "iy", "ix", "da")
-    shared = asked.join(p, ["frame", "region"]).join(p.select(F.col("frame").alias("of"), F.col("region").alias("oregion"), "iy", "ix"), ["of", "oregion", "iy", "ix"]).groupBy("frame", "region", "node", "of", "oregion", "u").agg(F.sum("da").alias("s"))
-    both = shared.join(size.withColumnRenamed("size", "a"), ["frame", "region"]).join(size.toDF("of", "oregion", "b"), ["of", "oregion"])
-    mean = (F.col("s") / F.col("a") + F.col("s") / F.col("b")) / 2
-    return both.where(mean > thr).select("u", F.col("node").alias("v"), F.round(mean, 3).alias("weight"))
+    key = [F.col(c).cast(t.schema[c].dataType).alias(c) for c in ("frame", "region")]
+    px = region_px.select(*key, "iy", "ix", "da").withColumn("size", F.sum("da").over(Window.partitionBy("frame", "region")))
+    px = table(px.join(t.join(frames, [*by, "frame"]).drop(*by), ["frame", "region"]), "connect_px")
+    old = px.select("iy", "ix", F.col("frame").alias("of"), F.col("region").alias("oregion"), F.col("id").alias("oid"), F.col("count").alias("ocount"), F.col("size").alias("osize"))
+    asked = px.withColumn("of", F.explode(F.array_compact(F.array_distinct(F.array("prev", "same"))))).withColumn("any", F.col("of") == F.col("prev")).drop("prev", "same")
+    met = asked.join(old, ["of", "iy", "ix"]).where(F.col("any") | (F.col("oid") == F.col("id")))
+    both = met.groupBy("frame", "region", "id", "count", "size", "of", "oregion", "oid", "ocount", "osize").agg(F.sum("da").alias("s"))
+    mean = (F.col("s") / F.col("size") + F.col("s") / F.col("osize")) / 2
+    node = lambda *c: F.concat_ws("_", *c)
+    return both.where(mean > thr).select(node("of", "oid", "ocount").alias("u"), node("frame", "id", "count").alias("v"), F.round(mean, 3).alias("weight"))
 
 
 def rank_tracks(nodes: DataFrame, edges: DataFrame, n: int | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import regions, tracks
 from ..plans.graph import cheapest_paths
+from ..plans.tables import table
 from .base import PIXELS, pixels, query, read, rounded
 from .grids import DA, LABEL, SPHERE, _region_px, _sphere
 
@@ -65,9 +66,14 @@ def j19_interp_maps(spark: SparkSession, d: str) -> DataFrame:
     return rounded(tracks.interp_maps(targets, maps, px.select("map_id", "iy", "ix", F.col("data").alias("br"))), 4, "br")
 
 
+def _located(px: DataFrame) -> DataFrame:
+    """The regions with time and centroid."""
+    return regions.region_centroids(px).select(F.floor(F.col("frame") / 10).alias("run"), "frame", "region", F.timestamp_micros(F.col("frame").cast("long") * 7_200_000_000).cast("timestamp_ntz").alias("ts"), F.col("c_theta").alias("theta"), F.col("c_phi").alias("phi"))
+
+
 def _tracked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     px = _region_px(spark, d).withColumn("run", F.floor(F.col("frame") / 10))  # a series of maps is a run
-    reg = regions.region_features(px).select(F.floor(F.col("frame") / 10).alias("run"), "frame", "region", F.timestamp_micros(F.col("frame").cast("long") * 7_200_000_000).cast("timestamp_ntz").alias("ts"), F.col("c_theta").alias("theta"), F.col("c_phi").alias("phi"))
+    reg = table(_located(px), "located")
     return tracks.track(reg, px.select("run", "frame", "region", "iy", "ix", "da"), 0.1, k=10, near_thr=0.1), px
 
 
@@ -78,8 +84,7 @@ def _tracked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def j18_nearest_before(spark: SparkSession, d: str) -> DataFrame:
     """Distances to the five nearest regions of the three frames before."""
     px = _region_px(spark, d)
-    reg = regions.region_features(px).select(F.floor(F.col("frame") / 10).alias("run"), "frame", "region", F.timestamp_micros(F.col("frame").cast("long") * 7_200_000_000).cast("timestamp_ntz").alias("ts"), F.col("c_theta").alias("theta"), F.col("c_phi").alias("phi"))
-    return rounded(tracks.nearest_before(reg, 5, 6.0), 3, "d").select("run", "frame", "region", "d")
+    return rounded(tracks.nearest_before(_located(px), 5, 6.0), 3, "d").select("run", "frame", "region", "d")
 
 
 @query()

@@ -4,6 +4,7 @@ import math
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -124,6 +125,67 @@ def test_nearest_before_by_all_pairs(spark):
     assert tracks.nearest_before(df.where(F.lit(False)), 4, 12).count() == 0
 
 
+@pytest.mark.parametrize("cell", [None, 0.05, 0.4])
+def test_nearest_before_whole_and_by_cubes(spark, cell):
+    """Windows over the ends of stretches, equal places in several frames, a region without a place, frames without news."""
+    rng, rows = random.Random(8), []
+    spots = [(math.acos(rng.uniform(-1, 1)), rng.uniform(0, 2 * math.pi)) for _ in range(6)]
+    for run in range(2):
+        for f in range(60):
+            for r in range(rng.choice([0, 2, 7])):
+                t, p = rng.choice(spots) if rng.random() < 0.3 else (math.acos(rng.uniform(-1, 1)), rng.uniform(0, 2 * math.pi))
+                rows.append((run, 100 * run + f, r, START + timedelta(hours=run + 3 * f), t, p))
+    rows.append((2, 300, 1, START, 1.0, 1.0))  # a run of one frame
+    df = spark.createDataFrame([*rows, (0, 20, 9, START + timedelta(hours=60), None, 1.0)], "run long, frame long, region int, ts timestamp_ntz, theta double, phi double")
+    point = lambda t, p: (math.sin(t) * math.cos(p), math.sin(t) * math.sin(p), math.cos(t))
+    want = {}
+    for run, f, r, ts, t, p in rows:
+        old = [(round(math.dist(point(t, p), point(t2, p2)), 12), f2, r2) for run2, f2, r2, ts2, t2, p2 in rows if run2 == run and timedelta(0) < ts - ts2 <= timedelta(hours=12)]
+        want |= {(run, f, r, f2, r2): d for d, f2, r2 in sorted(old)[:4]}
+    found = tracks.nearest_before(df, 4, 12, cell)
+    assert found.schema["region"].dataType == df.schema["region"].dataType == found.schema["old_region"].dataType
+    got = {(x.run, x.frame, x.region, x.old_frame, x.old_region): x.d for x in found.collect()}
+    assert got.keys() == want.keys() and all(abs(got[g] - want[g]) < 2e-12 for g in want)
+    reg = df.where("theta IS NOT NULL")
+    px = reg.select("run", "frame", "region", F.col("region").alias("iy"), F.lit(0).alias("ix"), F.lit(1.0).alias("da"))
+    assert tracks.track(reg, px, 0.1, 12, k=4).where("run = 2").collect() == [(2, 300, 1, 1, 0)]
+
+
+def test_nearest_rows_in_parts(monkeypatch):
+    """A few distances at a time give the lists of all at once."""
+    rng = np.random.default_rng(2)
+    xyz = rng.normal(size=(90, 3)).round(1)
+    df = pd.DataFrame({"run": 1, "frame": np.arange(90) // 5, "region": np.arange(90) % 5, "__t": np.arange(90) // 5 * 10, "__ask": True}).assign(**dict(zip(("__x", "__y", "__z"), xyz.T, strict=True)))
+    whole = tracks._nearest_rows(3, 40, 2.0)(df)
+    monkeypatch.setattr(tracks, "_AT_ONCE", 50)
+    parts = tracks._nearest_rows(3, 40, 2.0)(df.sample(frac=1, random_state=1))
+    assert len(whole) == 85 and whole.map(np.ravel).map(list).equals(parts.map(np.ravel).map(list))
+
+
+def moved(spark, df):
+    """Records that the stages of a run of df, and of the tables that come before it, write for shuffles."""
+    store, bus = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    stages = lambda: store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    bus.waitUntilEmpty()
+    known = {(s.stageId(), s.attemptId()) for s in map(stages().apply, range(stages().size()))}
+    df().write.format("noop").mode("overwrite").save()
+    bus.waitUntilEmpty()
+    now = stages()
+    return sum(s.shuffleWriteRecords() for s in map(now.apply, range(now.size())) if (s.stageId(), s.attemptId()) not in known)
+
+
+def test_edges_and_neighbours_move_no_pairs(spark):
+    """What is shuffled follows the regions and pixels, not the pairs of regions of two frames or the cubes around each."""
+    n = 300
+    rows = [(1, f, r, START + timedelta(hours=2 * f), math.acos(1 - 2 * (r + 0.5) / n), 2.4 * r + 0.01 * f) for f in range(4) for r in range(n)]
+    reg = spark.createDataFrame(rows, "run long, frame long, region int, ts timestamp_ntz, theta double, phi double").localCheckpoint()
+    px = reg.select("run", "frame", "region", (F.col("region") / 20).cast("int").alias("iy"), (F.col("region") % 20).alias("ix"), F.lit(1.0).alias("da")).localCheckpoint()
+    tracked = reg.select("run", "frame", F.col("region").cast("long").alias("region"), (F.col("region") + 1).cast("long").alias("id"), F.lit(0).alias("count")).localCheckpoint()
+    assert moved(spark, lambda: tracks.connect(tracked, px, 0.05, ["run"])) < 15 * len(rows)
+    assert moved(spark, lambda: tracks.nearest_before(reg, 10, 168.0)) < 5 * len(rows)
+    assert tracks.connect(tracked, px, 0.05, ["run"]).count() == 3 * n
+
+
 def test_fold_over_pages_is_the_whole_fold():
     """The state of a page carries all that the next needs."""
     regions, _ = scene(5)
